@@ -8,7 +8,7 @@ copied to each cell where a partner's centre may lie. Each pair meets exactly on
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = tuple[Column, Column, Column, Column]
@@ -63,15 +63,19 @@ def centre_cell(b: Box, cell_px: float = CELL_PX) -> Column:
     return _axis_cell(cx, cell_px) * GRID + _axis_cell(cy, cell_px)
 
 
-def cover_cells(b: Box, reach_x: Column, reach_y: Column, cell_px: float = CELL_PX) -> Column:
-    """Array of the cells within ``reach`` of the centre of ``b`` along each axis."""
-    cx, cy = centre(b)
+def explode_cells(
+    df: DataFrame, name: str, reach_x: Column, reach_y: Column, cell_px: float = CELL_PX, b: Box | None = None
+) -> DataFrame:
+    """One copy of each row per cell within ``reach`` of the centre of its box, the cell in column ``name``."""
+    cx, cy = centre(b or box_of())
     # a hair wider than the bound, so that rounding never loses a partner
     rx = reach_x * (1 + 1e-9) + 1e-6
     ry = reach_y * (1 + 1e-9) + 1e-6
-    xs = F.sequence(_axis_cell(cx - rx, cell_px), _axis_cell(cx + rx, cell_px))
-    ys = F.sequence(_axis_cell(cy - ry, cell_px), _axis_cell(cy + ry, cell_px))
-    return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: i * GRID + j)))
+    # two plain explodes stay in generated code, unlike one over nested lambdas
+    across = F.explode(F.sequence(_axis_cell(cx - rx, cell_px), _axis_cell(cx + rx, cell_px))).alias("_across")
+    down = F.explode(F.sequence(_axis_cell(cy - ry, cell_px), _axis_cell(cy + ry, cell_px))).alias("_down")
+    copies = df.select("*", across).select("*", down)
+    return copies.withColumn(name, F.col("_across") * GRID + F.col("_down")).drop("_across", "_down")
 
 
 def iou_reach(min_iou: float) -> float:
@@ -85,6 +89,7 @@ def iou_reach(min_iou: float) -> float:
     return max(1 - min_iou, (1 / min_iou - 1) / 2)
 
 
-def iou_cover_cells(b: Box, min_iou: float, cell_px: float = CELL_PX) -> Column:
+def explode_iou_cells(df: DataFrame, name: str, min_iou: float, cell_px: float = CELL_PX) -> DataFrame:
+    """Copies of boxes ``x, y, w, h`` to every cell that can hold the centre of a partner with IoU >= ``min_iou``."""
     reach = iou_reach(min_iou)
-    return cover_cells(b, b[2] * reach, b[3] * reach, cell_px)
+    return explode_cells(df, name, F.col("w") * reach, F.col("h") * reach, cell_px)

@@ -31,8 +31,12 @@ def with_earlier_chunks(
 
     ``values`` maps a new column to (aggregate of one chunk, function that merges those
     aggregates). The column is NULL in the first chunk of a key. ``descending`` counts the
-    chunks with larger numbers as the earlier ones.
+    chunks with larger numbers as the earlier ones. Rows with a NULL key or chunk have no
+    place in the order and are dropped.
     """
+    # Stated before the table is used twice, so that both uses plan the same shuffle and share it.
+    for name in (*keys, chunk):
+        df = df.filter(F.col(name).isNotNull())
     summary = df.groupBy(*keys, chunk).agg(*[one.alias(name) for name, (one, _) in values.items()])
     order = F.col(chunk).desc() if descending else F.col(chunk).asc()
     earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rinkspark.functions.boxes import CELL_PX
 from rinkspark.functions.chunks import with_earlier_chunks
-from rinkspark.operators.matching import GROUP, _first_claims, best_truth
+from rinkspark.operators.matching import GROUP, best_hits
 
 SCORE_BUCKETS = 65536
 COCO_IOUS = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -110,15 +110,16 @@ def coco_ap(
 ) -> DataFrame:
     """101-point AP per class and IoU threshold, VOC matching at each threshold.
 
-    The best truth does not depend on the threshold: it is found once, and only the hits
-    are repeated per threshold they reach. All detections enter as counts per score.
+    The best truth does not depend on the threshold: it is found once, and each truth keeps
+    one winning score per threshold. All detections enter as counts per score.
     """
-    best = best_truth(det, truth, min(ious), cell_px)
+    best = best_hits(det, truth, min(ious), cell_px)
     levels = F.array(*[F.lit(float(t)) for t in ious])
-    hits = best.filter("gt_id IS NOT NULL").select(
-        *GROUP, "det_id", "score", "gt_id", F.explode(F.filter(levels, lambda t: t <= F.col("iou"))).alias("min_iou")
-    )
-    tps = _first_claims(hits, "min_iou").groupBy("class_id", "min_iou", "score").agg(F.count("*").alias("tp"))
+    # Only the winner's score matters here: the best score among the claimants of each level.
+    winners = [F.max(F.when(F.col("iou") >= t, F.col("score"))).alias(f"s{i}") for i, t in enumerate(ious)]
+    per_level = F.array(*[F.struct(F.lit(float(t)).alias("min_iou"), F.col(f"s{i}").alias("score")) for i, t in enumerate(ious)])
+    claims = best.groupBy(*GROUP, "gt_id").agg(*winners).select("class_id", F.inline(per_level))
+    tps = claims.filter("score IS NOT NULL").groupBy("class_id", "min_iou", "score").agg(F.count("*").alias("tp"))
     counts = (
         det.groupBy("class_id", "score")
         .agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.functions.boxes import CELL_PX, box_of, centre_cell, contains_centre, cover_cells
+from rinkspark.functions.boxes import CELL_PX, box_of, centre_cell, contains_centre, explode_cells
 from rinkspark.operators.detections import EVAL_SCORE, FRAME, above_score
 
 
@@ -18,11 +18,12 @@ def _inner_outer(det: DataFrame, inner: str, outer: str, cell_px: float) -> tupl
         *[F.col(n).alias(f"i_{n}") for n in "xywh"],
         centre_cell(box_of(), cell_px).alias("i_cell"),
     )
-    big = det.filter(F.col("name") == outer).select(
+    goals = det.filter(F.col("name") == outer).select(*FRAME, "det_id", *"xywh")
+    big = explode_cells(goals, "o_cell", F.col("w") / 2, F.col("h") / 2, cell_px).select(
         *[F.col(k).alias(f"o_{k}") for k in FRAME],
         F.col("det_id").alias("outer_id"),
         *[F.col(n).alias(f"o_{n}") for n in "xywh"],
-        F.explode(cover_cells(box_of(), F.col("w") / 2, F.col("h") / 2, cell_px)).alias("o_cell"),
+        "o_cell",
     )
     inside = contains_centre(box_of("o_"), box_of("i_")) & (F.col("i_cell") == F.col("o_cell"))
     for k in FRAME:

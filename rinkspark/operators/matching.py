@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.functions.boxes import CELL_PX, box_of, centre_cell, iou, iou_cover_cells
+from rinkspark.functions.boxes import CELL_PX, box_of, centre_cell, iou, explode_iou_cells
 from rinkspark.operators.detections import FRAME
 from rinkspark.session import ensure_checkpoint_dir
 
@@ -24,11 +24,9 @@ def _detections_in_cells(det: DataFrame, cell_px: float) -> DataFrame:
 
 
 def _truth_in_cells(truth: DataFrame, min_iou: float, cell_px: float) -> DataFrame:
-    return truth.select(
-        *[F.col(k).alias(f"t_{k}") for k in GROUP],
-        "gt_id",
-        *[F.col(c).alias(f"t_{c}") for c in "xywh"],
-        F.explode(iou_cover_cells(box_of(), min_iou, cell_px)).alias("t_cell"),
+    copies = explode_iou_cells(truth.select(*GROUP, "gt_id", *"xywh"), "t_cell", min_iou, cell_px)
+    return copies.select(
+        *[F.col(k).alias(f"t_{k}") for k in GROUP], "gt_id", *[F.col(c).alias(f"t_{c}") for c in "xywh"], "t_cell"
     )
 
 
@@ -48,35 +46,40 @@ def iou_pairs(
 ) -> DataFrame:
     """Every (detection, truth) pair of equal frame and class with IoU >= ``min_iou`` > 0."""
     pairs = _detections_in_cells(det, cell_px).join(
-        _truth_in_cells(truth, min_iou, cell_px), _same_group() & (_overlap() >= min_iou)
+        # Two fact tables: merge-joined whatever their compressed size promises, so that a hot
+        # cell is split by the adaptive skew join and nothing must fit in memory.
+        _truth_in_cells(truth, min_iou, cell_px).hint("merge"),
+        _same_group() & (_overlap() >= min_iou),
     )
     return pairs.select(*GROUP, "det_id", "gt_id", "score", _overlap().alias("iou"))
 
 
-def best_truth(
+def best_hits(
     det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_px: float = CELL_PX
 ) -> DataFrame:
-    """Every detection with its best truth (highest IoU, then lowest ``gt_id``), NULL if none reaches ``min_iou``."""
+    """The best truth (highest IoU, then lowest ``gt_id``) of every detection that has one at ``min_iou``."""
     # Copies of a truth box can never win against the lowest id, so they go first.
     distinct_truth = truth.groupBy(*GROUP, *"xywh").agg(F.min("gt_id").alias("gt_id"))
-    joined = _detections_in_cells(det, cell_px).join(
-        _truth_in_cells(distinct_truth, min_iou, cell_px), _same_group() & (_overlap() >= min_iou), "left"
-    )
-    choice = F.min(F.struct((-_overlap()).alias("neg_iou"), F.col("gt_id").alias("gt_id")))
-    best = joined.groupBy(*GROUP, "det_id", "score").agg(choice.alias("best"))
-    gt = F.col("best.gt_id")
+    pairs = iou_pairs(det.filter(F.col("det_id").isNotNull()), distinct_truth, min_iou, cell_px)
+    # the score rides along instead of being a key, so that later joins by detection find the rows in place
+    choice = F.min(F.struct((-F.col("iou")).alias("neg_iou"), F.col("gt_id").alias("gt_id"), F.col("score").alias("score")))
+    best = pairs.groupBy(*GROUP, "det_id").agg(choice.alias("best"))
     return best.select(
-        *GROUP, "det_id", "score", gt.alias("gt_id"), F.when(gt.isNotNull(), -F.col("best.neg_iou")).alias("iou")
+        *GROUP,
+        "det_id",
+        F.col("best.score").alias("score"),
+        F.col("best.gt_id").alias("gt_id"),
+        (-F.col("best.neg_iou")).alias("iou"),
     )
 
 
-def _first_claims(hits: DataFrame, *extra: str) -> DataFrame:
+def _first_claims(hits: DataFrame) -> DataFrame:
     """For each truth the claimant with the highest score, then the lowest ``det_id``."""
     claim = F.min(F.struct((-F.col("score")).alias("neg_score"), F.col("det_id").alias("det_id")))
     return (
-        hits.groupBy(*extra, *GROUP, "gt_id")
+        hits.groupBy(*GROUP, "gt_id")
         .agg(claim.alias("claim"))
-        .select(*extra, *GROUP, "gt_id", F.col("claim.det_id").alias("det_id"), (-F.col("claim.neg_score")).alias("score"))
+        .select(*GROUP, "gt_id", F.col("claim.det_id").alias("det_id"))
     )
 
 
@@ -88,10 +91,16 @@ def match_voc(
     Returns one row per detection with ``gt_id`` and ``iou`` of its best truth (NULL when no
     truth reaches ``min_iou``) and ``tp``. ``det_id`` must be unique within frame and class.
     """
-    best = best_truth(det, truth, min_iou, cell_px)
-    winners = _first_claims(best.filter("gt_id IS NOT NULL")).select(*GROUP, "det_id", F.lit(True).alias("won"))
-    joined = best.join(winners, [*GROUP, "det_id"], "left")
-    return joined.select(*GROUP, "det_id", "score", "gt_id", "iou", F.coalesce("won", F.lit(False)).alias("tp"))
+    # The hits feed the claims and the result: their shuffle by detection is planned once and
+    # reused. A caller who reads only ``tp`` drops the last join, its keys being distinct.
+    hits = best_hits(det, truth, min_iou, cell_px)
+    winners = _first_claims(hits).select(*GROUP, "det_id", F.lit(True).alias("tp"))
+    key = [*GROUP, "det_id"]
+    flagged = det.select(*GROUP, "det_id", "score").join(winners.hint("merge"), key, "left")
+    found = hits.select(*key, "gt_id", "iou")
+    return flagged.join(found.hint("merge"), key, "left").select(
+        *key, "score", "gt_id", "iou", F.coalesce("tp", F.lit(False)).alias("tp")
+    )
 
 
 def match_coco(
@@ -116,7 +125,7 @@ def match_coco(
             .agg(best_gt.alias("best"))
             .select(*GROUP, "det_id", F.col("best.gt_id").alias("gt_id"), (-F.col("best.neg_iou")).alias("iou"))
         )
-        owner = _first_claims(edges).select(*GROUP, "det_id", "gt_id")
+        owner = _first_claims(edges)
         agreed = wish.join(owner, [*GROUP, "det_id", "gt_id"], "left_semi").checkpoint()
         settled = agreed if settled is None else settled.unionByName(agreed)
         edges = (

@@ -30,13 +30,13 @@ from rinkspark.functions.boxes import (
     box_of,
     centre_cell,
     centre_distance,
-    cover_cells,
+    explode_cells,
+    explode_iou_cells,
     iou,
-    iou_reach,
 )
 from rinkspark.functions.chunks import CHUNK, chunk_of, with_earlier_chunks
 from rinkspark.operators.detections import FRAME
-from rinkspark.session import ensure_checkpoint_dir
+from rinkspark.session import ensure_checkpoint_dir, for_python
 
 TRACK_IOU = 0.3
 MAX_DISTANCE = 50.0
@@ -82,12 +82,11 @@ def _cost_column(a: tuple, b: tuple, algorithm: str, threshold: float, max_dista
     return F.when(dist <= max_distance, dist)
 
 
-def _reach_cells(algorithm: str, threshold: float, max_distance: float, cell_px: float) -> Column:
-    b = box_of()
+def _in_reach(df: DataFrame, algorithm: str, threshold: float, max_distance: float, cell_px: float) -> DataFrame:
+    """Copies of the boxes to every cell where their next detection may be centred."""
     if algorithm == "iou":
-        reach = iou_reach(threshold)
-        return cover_cells(b, b[2] * reach, b[3] * reach, cell_px)
-    return cover_cells(b, F.lit(float(max_distance)), F.lit(float(max_distance)), cell_px)
+        return explode_iou_cells(df, "cell", threshold, cell_px)
+    return explode_cells(df, "cell", F.lit(float(max_distance)), F.lit(float(max_distance)), cell_px)
 
 
 def _link_chunk(costs: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -210,7 +209,8 @@ def track(
         ]
     )
     # Read three times below, and costly to recompute after a lost executor: written once.
-    links = states.groupBy("video_id", "chunk").applyInPandas(_link_chunk(costs), link_schema).checkpoint()
+    grouped = for_python(states, "video_id", "chunk").groupBy("video_id", "chunk")
+    links = grouped.applyInPandas(_link_chunk(costs), link_schema).checkpoint()
 
     # Bridges: tails against later chunks, the next one first, the rest only for those it leaves open.
     tails = links.filter("next_pos < 0").select("video_id", "chunk", "pos", *BOX)
@@ -225,10 +225,9 @@ def track(
         centre_cell(box_of(), cell_px).alias("e_cell"),
     )
     cost = _cost_column(box_of(), box_of("e_"), algorithm, threshold, max_distance)
-    cells = _reach_cells(algorithm, threshold, max_distance, cell_px)
 
     def reappear(lost: DataFrame, later: Column) -> DataFrame:
-        probes = lost.withColumn("cell", F.explode(cells))
+        probes = _in_reach(lost, algorithm, threshold, max_distance, cell_px)
         near = (F.col("video_id") == F.col("e_video")) & (F.col("cell") == F.col("e_cell")) & cost.isNotNull()
         choice = F.min(F.struct("e_frame", cost.alias("cost"), "e_node", "e_chunk", "e_pos", "e_last"))
         return (
@@ -263,7 +262,10 @@ def track(
         f"{c} double" for c in BOX
     )
     seen = (
-        links.groupBy("video_id", "chunk").cogroup(routes.groupBy("video_id", "chunk")).applyInPandas(_walk, walk_schema)
+        for_python(links, "video_id", "chunk")
+        .groupBy("video_id", "chunk")
+        .cogroup(for_python(routes, "video_id", "chunk").groupBy("video_id", "chunk"))
+        .applyInPandas(_walk, walk_schema)
     )
 
     # Report every frame after the start; failures carry the last good box.

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _cents(price: Column) -> Column:
-    return F.round(price * 100).cast("bigint")
+    return F.floor(price * 100 + 0.5).cast("bigint")
 
 
 def _boxes(lineitem: DataFrame, classes: int = 2) -> DataFrame:
@@ -36,7 +36,7 @@ def _boxes(lineitem: DataFrame, classes: int = 2) -> DataFrame:
         (F.col("l_quantity") + 40).alias("w"),
         (F.col("l_quantity") + 60).alias("h"),
         ((cents % 1000).cast("double") / 1000).alias("score"),
-        (F.round(F.col("l_tax") * 100).cast("bigint") * 6).cast("double").alias("shift"),
+        (F.floor(F.col("l_tax") * 100 + 0.5).cast("bigint") * 6).cast("double").alias("shift"),
         (F.col("l_returnflag") != "R").alias("is_real"),
     )
 

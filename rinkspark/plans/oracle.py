@@ -5,12 +5,12 @@ from __future__ import annotations
 BOXES = """
 boxes AS (
   SELECT l_orderkey % 16 AS video_id, CAST(floor(l_orderkey / 16) AS BIGINT) AS frame_idx,
-    (l_partkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS det_id,
+    (l_partkey * 10 + l_linenumber) * 100000000 + CAST(floor(l_extendedprice * 100 + 0.5e0) AS BIGINT) AS det_id,
     CAST(l_quantity AS INTEGER) AS quantity,
     CAST(l_partkey % 100 * 10 AS DOUBLE) AS x, CAST(l_suppkey % 100 * 5 AS DOUBLE) AS y,
     l_quantity + 40 AS w, l_quantity + 60 AS h,
-    CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 AS DOUBLE) / 1000 AS score,
-    CAST(CAST(round(l_tax * 100) AS BIGINT) * 6 AS DOUBLE) AS shift, l_returnflag <> 'R' AS is_real
+    CAST(CAST(floor(l_extendedprice * 100 + 0.5e0) AS BIGINT) % 1000 AS DOUBLE) / 1000 AS score,
+    CAST(CAST(floor(l_tax * 100 + 0.5e0) AS BIGINT) * 6 AS DOUBLE) AS shift, l_returnflag <> 'R' AS is_real
   FROM lineitem)"""
 
 MATCH_TABLES = (
@@ -305,6 +305,27 @@ QUALIFY row_number() OVER (PARTITION BY map_id, id ORDER BY pos) = 1""",
 SELECT video_id, frame_idx, gt_id AS id, class_id, x, y, w, h FROM truth""",
     "iou_pairs": f"WITH {PAIRS} SELECT * FROM pairs WHERE iou >= 0.1e0",
     "voc_match": f"WITH {VOC} SELECT * FROM matches",
+    "coco_match": f"""WITH RECURSIVE {PAIRS},
+hits AS (SELECT * FROM pairs WHERE iou >= 0.5),
+ranked AS (
+  SELECT video_id, frame_idx, class_id, det_id,
+    row_number() OVER (PARTITION BY video_id, frame_idx, class_id ORDER BY score DESC, det_id) AS n
+  FROM (SELECT DISTINCT video_id, frame_idx, class_id, det_id, score FROM hits)),
+greedy AS (
+  SELECT DISTINCT video_id, frame_idx, class_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken,
+    CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS BIGINT) AS gt_id, CAST(NULL AS DOUBLE) AS iou FROM hits
+  UNION ALL
+  SELECT g.video_id, g.frame_idx, g.class_id, r.n,
+    CASE WHEN b.gt_id IS NULL THEN g.taken ELSE list_append(g.taken, b.gt_id) END, r.det_id, b.gt_id, b.iou
+  FROM greedy g
+  JOIN ranked r ON r.video_id = g.video_id AND r.frame_idx = g.frame_idx AND r.class_id = g.class_id AND r.n = g.n + 1
+  LEFT JOIN LATERAL (
+    SELECT h.gt_id, h.iou FROM hits h
+    WHERE h.video_id = r.video_id AND h.frame_idx = r.frame_idx AND h.class_id = r.class_id AND h.det_id = r.det_id
+      AND NOT list_contains(g.taken, h.gt_id)
+    ORDER BY h.iou DESC, h.gt_id LIMIT 1) b ON true)
+SELECT d.video_id, d.frame_idx, d.class_id, d.det_id, d.score, g.gt_id, g.iou, g.gt_id IS NOT NULL AS tp
+FROM det d LEFT JOIN greedy g USING (video_id, frame_idx, class_id, det_id)""",
     "prf_by_class": f"WITH {PRF} SELECT * FROM prf",
     "pr_curve": f"WITH {CURVE} SELECT * FROM curve",
     "average_precision": f"""WITH {CURVE},
@@ -335,8 +356,7 @@ SELECT video_id, track_id, frame_idx,
   CASE WHEN NOT success THEN 'Tracking failure detected' END AS message
 FROM players""",
     "trajectory": f"""WITH {MOVES}
-SELECT video_id, track_id, frame_idx, round(dx, 6) AS dx, round(dy, 6) AS dy, round(distance, 6) AS distance,
-  round(speed, 6) AS speed FROM paths""",
+SELECT video_id, track_id, frame_idx, dx, dy, distance, speed FROM paths""",
     "track_summary": f"""WITH {MOVES},
 counts AS (
   SELECT video_id, track_id, count(*) FILTER (success) AS frames_seen, count(*) FILTER (NOT success) AS failures
@@ -345,7 +365,7 @@ totals AS (
   SELECT video_id, track_id, coalesce(sum(distance), 0) AS path_length, max(speed) AS max_speed,
     max(frame_idx) - min(frame_idx) AS span, any_value(fps) AS fps FROM paths GROUP BY 1, 2)
 SELECT video_id, track_id, frames_seen, failures, round(coalesce(path_length, 0), 6) AS path_length,
-  round(path_length * fps / nullif(span, 0), 6) AS mean_speed, round(max_speed, 6) AS max_speed
+  round(path_length * fps / nullif(span, 0), 8) AS mean_speed, max_speed
 FROM counts LEFT JOIN totals USING (video_id, track_id)""",
     "early_stop": f"WITH {EARLY}",
     "checkpoints_kept": f"""WITH {CHECKPOINTS}

@@ -212,7 +212,7 @@ def track_annotation(spark: SparkSession, d: str) -> DataFrame:
 def trajectory(spark: SparkSession, d: str) -> DataFrame:
     tracks = _player_tracks(spark, d)
     return tracking.trajectory(tracks, fx.videos_of(tracks)).select(
-        "video_id", "track_id", "frame_idx", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "distance", "speed")]
+        "video_id", "track_id", "frame_idx", "dx", "dy", "distance", "speed"
     )
 
 
@@ -223,7 +223,9 @@ def track_summary(spark: SparkSession, d: str) -> DataFrame:
         "track_id",
         "frames_seen",
         "failures",
-        *[F.round(c, 6).alias(c) for c in ("path_length", "mean_speed", "max_speed")],
+        F.round("path_length", 6).alias("path_length"),
+        F.round("mean_speed", 8).alias("mean_speed"),
+        "max_speed",
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,3 +35,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rinkspark-checkpoint-"))
+
+
+def for_python(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by ``keys`` into the configured number of partitions ahead of a grouped Python stage.
+
+    Adaptive coalescing goes by bytes; Python work on few bytes can still be long, so the
+    partitions are fixed here. The grouping that follows adds no shuffle of its own.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
