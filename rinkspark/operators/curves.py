@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rinkspark.functions.boxes import CELL_PX
 from rinkspark.functions.chunks import with_earlier_chunks
 from rinkspark.operators.matching import GROUP, best_hits
+from rinkspark.session import ensure_checkpoint_dir
 
 SCORE_BUCKETS = 65536
 COCO_IOUS = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -24,7 +25,13 @@ def _bucket(score: Column) -> Column:
 
 
 def _curve(points: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    """``points``: (by, score, n, tp) with distinct scores; ``wanted``: (by, n_truth)."""
+    """``points``: (by, score, n, tp) with distinct scores; ``wanted``: (by, n_truth).
+
+    The points are read four times below and come out of the whole matching: they are few,
+    and are written once.
+    """
+    ensure_checkpoint_dir(points.sparkSession)
+    points = points.checkpoint()
     bucketed = points.withColumn("bucket", _bucket(F.col("score")))
     totals = {"n_above": (F.sum("n"), F.sum), "tp_above": (F.sum("tp"), F.sum)}
     run = with_earlier_chunks(bucketed, by, "bucket", totals, descending=True)

@@ -16,15 +16,16 @@ def sample_frames(frames: DataFrame, videos: DataFrame, seconds: int = 1, on_zer
     """
     if on_zero not in ("raise", "skip"):
         raise ValueError("on_zero must be 'raise' or 'skip'")
-    interval = frame_interval(F.col("fps"), seconds)
-    if on_zero == "raise":
-        bad = F.raise_error(F.concat(F.lit("sampling interval below one frame in video "), F.col("video_id").cast("string")))
-        interval = F.when(interval >= 1, interval).otherwise(bad.cast("bigint"))
-    rates = videos.select("video_id", interval.alias("frame_interval"))
+    rates = videos.select("video_id", frame_interval(F.col("fps"), seconds).alias("frame_interval"))
     if on_zero == "skip":
         rates = rates.filter("frame_interval >= 1")
     # No hint: Spark broadcasts the rates when their size allows, else the skew join splits a long video.
-    return frames.join(rates, "video_id").filter(F.col("frame_idx") % F.col("frame_interval") == 0)
+    joined = frames.join(rates, "video_id")
+    bad = F.raise_error(F.concat(F.lit("sampling interval below one frame in video "), F.col("video_id").cast("string")))
+    on_sample = F.col("frame_idx") % F.col("frame_interval") == 0
+    if on_zero == "raise":
+        on_sample = F.when(F.col("frame_interval") >= 1, on_sample).otherwise(bad.cast("boolean"))
+    return joined.filter(on_sample)
 
 
 def training_frames(labelled: DataFrame, augmented: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ be found again. This is sequential, but a video need not be one task:
    gives its chunk-final detection, its *tail*.
 2. *bridges*: each tail is joined with the detections of later chunks to find where the
    target reappears; the grid keeps that join local in space.
-3. *routes*: per track, from the initial box, tail and bridge alternate. Only tails and
-   bridges are read here, a small part of the detections.
+3. *routes*: per track, from the initial box, tail and bridge alternate. Only bridges are
+   read here, a small part of the detections: in one group per video while they are few,
+   by repeated doubling joins when a video is too long for that.
 4. *walks*: each chunk a route enters is walked from its entry; the visited detections are
    the track's successes. Frames without one are failures, with the last good box carried on.
 """
@@ -41,6 +42,8 @@ from rinkspark.session import ensure_checkpoint_dir, for_python
 TRACK_IOU = 0.3
 MAX_DISTANCE = 50.0
 CHUNK_FRAMES = 1024
+# Most bridges of one video that are followed inside one group.
+ROUTE_ROWS = 200_000
 FAILURE_TEXT = "Tracking failure detected"
 
 BOX = ("x", "y", "w", "h")
@@ -142,6 +145,38 @@ def _route(key: tuple, starts: pd.DataFrame, bridges: pd.DataFrame) -> pd.DataFr
     return pd.DataFrame(out, columns=["video_id", "track_id", "chunk", "pos"])
 
 
+def _routes_by_doubling(starts: DataFrame, bridges: DataFrame) -> DataFrame:
+    """The same entries as :func:`_route` for videos of any length, in log2(route length) rounds of joins.
+
+    ``reached`` holds the tails within 2^k bridges of a start, ``jump`` leads 2^k bridges on.
+    """
+    at = ["video_id", "chunk", "pos"]
+    reached = starts.select("video_id", "track_id", "chunk", F.col("last_pos").alias("pos")).checkpoint()
+    jump = bridges.select(*at, F.col("entry_chunk").alias("to_chunk"), F.col("entry_last").alias("to_pos"))
+    while True:
+        new = reached.join(jump, at).select("video_id", "track_id", F.col("to_chunk").alias("chunk"), F.col("to_pos").alias("pos"))
+        new = new.checkpoint()
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        onward = jump.select(
+            "video_id",
+            F.col("chunk").alias("to_chunk"),
+            F.col("pos").alias("to_pos"),
+            F.col("to_chunk").alias("far_chunk"),
+            F.col("to_pos").alias("far_pos"),
+        )
+        jump = (
+            jump.join(onward, ["video_id", "to_chunk", "to_pos"])
+            .select(*at, F.col("far_chunk").alias("to_chunk"), F.col("far_pos").alias("to_pos"))
+            .checkpoint()
+        )
+    entered = bridges.join(reached, at).select(
+        "video_id", "track_id", F.col("entry_chunk").alias("chunk"), F.col("entry_pos").alias("pos")
+    )
+    return starts.select("video_id", "track_id", "chunk", "pos").unionByName(entered)
+
+
 def _walk(links: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     """Detections each track visits in one chunk, from its entry to the last link."""
     columns = ["video_id", "track_id", "frame_idx", "node_id", *BOX]
@@ -173,6 +208,7 @@ def track(
     max_distance: float = MAX_DISTANCE,
     chunk_frames: int = CHUNK_FRAMES,
     cell_px: float = CELL_PX,
+    route_rows: int = ROUTE_ROWS,
 ) -> DataFrame:
     """One row per track and frame after its initial frame: ``success`` and the last good box.
 
@@ -246,18 +282,20 @@ def track(
 
     soon = reappear(tails, F.col("e_chunk") == F.col("chunk") + 1).checkpoint()
     still_lost = tails.join(soon.select("video_id", "chunk", "pos"), ["video_id", "chunk", "pos"], "left_anti")
-    bridges = soon.unionByName(reappear(still_lost, F.col("e_chunk") > F.col("chunk") + 1))
+    bridges = soon.unionByName(reappear(still_lost, F.col("e_chunk") > F.col("chunk") + 1)).checkpoint()
 
     # aliased anew: both sides of the cogroup descend from the same table
     starts = links.filter("is_init").select(
         F.col("node_id").alias("track_id"), *[F.col(c).alias(c) for c in ("video_id", "chunk", "pos", "last_pos")]
     )
     video_type, track_type = by_type["video_id"].simpleString(), by_type["node_id"].simpleString()
-    routes = (
-        starts.groupBy("video_id")
-        .cogroup(bridges.groupBy("video_id"))
-        .applyInPandas(_route, f"video_id {video_type}, track_id {track_type}, chunk bigint, pos bigint")
-    )
+    route_schema = f"video_id {video_type}, track_id {track_type}, chunk bigint, pos bigint"
+    # A video whose bridges are few is followed in one group; beyond the bound all are followed by doubling.
+    longest = bridges.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
+    if longest <= route_rows:
+        routes = starts.groupBy("video_id").cogroup(bridges.groupBy("video_id")).applyInPandas(_route, route_schema)
+    else:
+        routes = _routes_by_doubling(starts, bridges)
     walk_schema = f"video_id {video_type}, track_id {track_type}, frame_idx bigint, node_id {track_type}, " + ", ".join(
         f"{c} double" for c in BOX
     )
