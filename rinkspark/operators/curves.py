@@ -153,4 +153,4 @@ def metric_rows(metrics: DataFrame, ids: list[str] | None = None) -> DataFrame:
     values = [c for c in metrics.columns if c not in ids]
     wide = metrics.select(*ids, *[F.col(c).cast("double").alias(c) for c in values])
     rows = wide.unpivot(ids, values, "key", "value")
-    return rows.withColumn("message", F.concat(F.col("key"), F.lit(": "), F.col("value").cast("string")))
+    return rows.withColumn("message", F.concat(F.col("key"), F.lit(": "), F.coalesce(F.col("value").cast("string"), F.lit("None"))))

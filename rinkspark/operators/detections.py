@@ -30,8 +30,10 @@ def trim_detections(raw: DataFrame, nan_class: str = "raise") -> DataFrame:
     n = F.col("num_detections").cast("int")
     n = F.when(n >= 0, n).otherwise(F.raise_error(F.lit("num_detections is negative or missing")).cast("int"))
 
-    def whole(c: Column) -> Column:
-        return c.cast("bigint") if nan_class == "raise" else c.try_cast("bigint")
+    def whole(classes: Column) -> Column:
+        if nan_class == "raise":
+            return classes.cast("array<bigint>")
+        return F.transform(classes, lambda c: c.try_cast("bigint"))
 
     columns = []
     arrays = set(_array_fields(raw))
@@ -40,7 +42,7 @@ def trim_detections(raw: DataFrame, nan_class: str = "raise") -> DataFrame:
             columns.append(n.alias(name))
         elif name in arrays:
             cut = F.slice(F.col(name), F.lit(1), n)
-            columns.append((F.transform(cut, whole) if name == "detection_classes" else cut).alias(name))
+            columns.append((whole(cut) if name == "detection_classes" else cut).alias(name))
         else:
             columns.append(F.col(name))
     return raw.select(*columns)

@@ -116,26 +116,27 @@ def videos_of(frame_table: DataFrame) -> DataFrame:
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector output per order: 0 to 12 detections in arrays padded to 20 with zeros."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    n = cust % 13
-    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(PAD - 1).cast("bigint"))
+    n = (cust % 13).cast("int")
+    used = F.slice(F.sequence(F.lit(0).cast("bigint"), F.lit(PAD - 1).cast("bigint")), F.lit(1), n)
 
-    def padded(value) -> Column:
-        return F.transform(slots, lambda j: F.when(j < n, value(j)).otherwise(F.lit(0.0)).cast("float"))
+    def padded(value, nothing: Column) -> Column:
+        return F.concat(F.transform(used, value), F.array_repeat(nothing, F.lit(PAD) - n))
 
     def box(j: Column) -> Column:
         ymin = ((key * 7 + j * 53) % 600) / F.lit(720.0)
         xmin = ((cust * 11 + j * 97) % 1100) / F.lit(1280.0)
         ymax = ymin + (40 + (j * 13 + cust) % 80) / F.lit(720.0)
         xmax = xmin + (40 + (key + j * 29) % 120) / F.lit(1280.0)
-        return F.array(*[F.when(j < n, c).otherwise(F.lit(0.0)).cast("float") for c in (ymin, xmin, ymax, xmax)])
+        return F.array(*[c.cast("float") for c in (ymin, xmin, ymax, xmax)])
 
+    zero = F.lit(0.0).cast("float")
     return table(spark, sf_dir, "orders").select(
         (key % VIDEOS).alias("video_id"),
         F.floor(key / VIDEOS).cast("bigint").alias("frame_idx"),
         n.cast("float").alias("num_detections"),
-        F.transform(slots, box).alias("detection_boxes"),
-        padded(lambda j: ((cust + j * 7) % 4 + 1).cast("double")).alias("detection_classes"),
-        padded(lambda j: ((key * 31 + cust * 17 + j * 271) % 1000) / F.lit(1000.0)).alias("detection_scores"),
+        padded(box, F.array(zero, zero, zero, zero)).alias("detection_boxes"),
+        padded(lambda j: ((cust + j * 7) % 4 + 1).cast("float"), zero).alias("detection_classes"),
+        padded(lambda j: (((key * 31 + cust * 17 + j * 271) % 1000) / F.lit(1000.0)).cast("float"), zero).alias("detection_scores"),
     )
 
 

@@ -134,7 +134,7 @@ def test_coco_ap_equals_matching_at_each_threshold(spark):
 def test_metric_rows(spark):
     wide = spark.createDataFrame([(1, 2.0, None)], "class_id int, recall double, f1 double")
     assert rows(curves.metric_rows(wide, ["class_id"])) == [
-        (1, "f1", None, None),
+        (1, "f1", None, "f1: None"),
         (1, "recall", 2.0, "recall: 2.0"),
     ]
 
