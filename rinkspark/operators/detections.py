@@ -107,9 +107,9 @@ def bounded_labels(label_map: DataFrame, max_classes: int = MAX_CLASSES) -> Data
 def with_labels(det: DataFrame, label_map: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
     """Add ``name`` by class id; ids without a label become ``N/A``."""
     # Broadcast is safe: bounded_labels admits no more than max_classes rows.
-    labels = F.broadcast(bounded_labels(label_map, max_classes))
-    joined = det.join(labels, det["class_id"] == labels["id"], "left").drop("id")
-    return joined.withColumn("name", F.coalesce("name", F.lit("N/A")))
+    labels = bounded_labels(label_map, max_classes).toDF("_label_id", "_label")
+    joined = det.join(F.broadcast(labels), F.col("class_id") == F.col("_label_id"), "left")
+    return joined.withColumn("name", F.coalesce("_label", F.lit("N/A"))).drop("_label_id", "_label")
 
 
 def display_text(name: Column, score: Column) -> Column:

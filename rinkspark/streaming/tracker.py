@@ -12,17 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rinkspark.operators.tracking import BOX, MAX_DISTANCE, TRACK_IOU, check_algorithm, step_costs
 
-OUTPUT = (
-    "video_id bigint, track_id bigint, frame_idx bigint, success boolean, "
-    "x double, y double, w double, h double, late_dropped bigint"
-)
 STATE = "last_frame bigint, x double, y double, w double, h double, late_dropped bigint"
 
 
 def frame_rows(det: DataFrame, frames: DataFrame) -> DataFrame:
     """Batch helper: one row per frame with its boxes as an array, the tracker stream's input."""
-    box = F.struct("det_id", *[F.col(c).cast("double").alias(c) for c in BOX])
-    boxes = det.groupBy("video_id", "frame_idx").agg(F.collect_list(box).alias("boxes"))
+    # copies of a box never win against its lowest id: they collapse before the boxes are gathered
+    doubles = [F.col(c).cast("double").alias(c) for c in BOX]
+    distinct = det.select("video_id", "frame_idx", "det_id", *doubles)
+    distinct = distinct.groupBy("video_id", "frame_idx", *BOX).agg(F.min("det_id").alias("det_id"))
+    boxes = distinct.groupBy("video_id", "frame_idx").agg(F.collect_list(F.struct("det_id", *BOX)).alias("boxes"))
     return frames.select("video_id", "frame_idx").join(boxes, ["video_id", "frame_idx"], "left")
 
 
@@ -76,6 +75,11 @@ def track_stream(
             out, columns=["video_id", "track_id", "frame_idx", "success", *BOX, "late_dropped"]
         )
 
+    video_type, track_type = (rows.schema[c].dataType.simpleString() for c in ("video_id", "track_id"))
+    output = (
+        f"video_id {video_type}, track_id {track_type}, frame_idx bigint, success boolean, "
+        "x double, y double, w double, h double, late_dropped bigint"
+    )
     return rows.groupBy("video_id", "track_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+        advance, output, STATE, "append", GroupStateTimeout.NoTimeout
     )
