@@ -44,6 +44,8 @@ MAX_DISTANCE = 50.0
 CHUNK_FRAMES = 1024
 # Most bridges of one video that are followed inside one group.
 ROUTE_ROWS = 200_000
+# Most different boxes of one frame that a Python group takes; beyond it frames are chunks of their own.
+FRAME_BOXES = 20_000
 FAILURE_TEXT = "Tracking failure detected"
 
 BOX = ("x", "y", "w", "h")
@@ -179,7 +181,7 @@ def _routes_by_doubling(starts: DataFrame, bridges: DataFrame) -> DataFrame:
 
 def _walk(links: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     """Detections each track visits in one chunk, from its entry to the last link."""
-    columns = ["video_id", "track_id", "frame_idx", "node_id", *BOX]
+    columns = ["video_id", "track_id", "frame_idx", *BOX]
     if links.empty or entries.empty:
         return pd.DataFrame(columns=columns)
     links = links.set_index("pos")
@@ -209,6 +211,7 @@ def track(
     chunk_frames: int = CHUNK_FRAMES,
     cell_px: float = CELL_PX,
     route_rows: int = ROUTE_ROWS,
+    frame_boxes: int = FRAME_BOXES,
 ) -> DataFrame:
     """One row per track and frame after its initial frame: ``success`` and the last good box.
 
@@ -228,7 +231,19 @@ def track(
     boxes = det.select(*FRAME, "det_id", *doubles).groupBy(*FRAME, *BOX).agg(F.min("det_id").alias("node_id"))
     inits = init_boxes.select(*FRAME, F.col("track_id").alias("node_id"), *doubles)
     states = boxes.withColumn("is_init", F.lit(False)).unionByName(inits.withColumn("is_init", F.lit(True)))
-    states = states.withColumn("chunk", chunk_of(F.col("frame_idx"), chunk_frames))
+    # A chunk is named by its first frame. Where a frame is crowded, each frame of its chunk is a chunk
+    # alone ("solo"): nothing links inside one frame, so no group has to hold it.
+    states = states.withColumn("base", chunk_of(F.col("frame_idx"), chunk_frames))
+    crowded = (
+        boxes.groupBy(*FRAME)
+        .count()
+        .filter(F.col("count") > frame_boxes)
+        .select("video_id", chunk_of(F.col("frame_idx"), chunk_frames).alias("base"))
+        .distinct()
+        .withColumn("solo", F.lit(True))
+    )
+    states = states.join(crowded, ["video_id", "base"], "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
+    states = states.withColumn("chunk", F.when(F.col("solo"), F.col("frame_idx")).otherwise(F.col("base") * chunk_frames))
 
     by_type = {f.name: f.dataType for f in states.schema.fields}
     link_schema = T.StructType(
@@ -245,14 +260,19 @@ def track(
         ]
     )
     # Read three times below, and costly to recompute after a lost executor: written once.
-    grouped = for_python(states, "video_id", "chunk").groupBy("video_id", "chunk")
-    links = grouped.applyInPandas(_link_chunk(costs), link_schema).checkpoint()
+    grouped = for_python(states.filter(~F.col("solo")), "video_id", "chunk").groupBy("video_id", "chunk")
+    linked = grouped.applyInPandas(_link_chunk(costs), link_schema).withColumn("solo", F.lit(False))
+    alone = states.filter("solo").withColumn("pos", F.monotonically_increasing_id())
+    alone = alone.withColumns({"next_pos": F.lit(-1).cast("bigint"), "last_pos": F.col("pos")})
+    links = linked.unionByName(alone.select(*linked.columns)).checkpoint()
 
     # Bridges: tails against later chunks, the next one first, the rest only for those it leaves open.
-    tails = links.filter("next_pos < 0").select("video_id", "chunk", "pos", *BOX)
+    base = chunk_of(F.col("chunk"), chunk_frames)
+    tails = links.filter("next_pos < 0").select("video_id", "chunk", "pos", "solo", base.alias("base"), *BOX)
     entries = links.filter(~F.col("is_init")).select(
         F.col("video_id").alias("e_video"),
         F.col("chunk").alias("e_chunk"),
+        base.alias("e_base"),
         F.col("pos").alias("e_pos"),
         F.col("last_pos").alias("e_last"),
         F.col("frame_idx").alias("e_frame"),
@@ -280,9 +300,12 @@ def track(
             )
         )
 
-    soon = reappear(tails, F.col("e_chunk") == F.col("chunk") + 1).checkpoint()
+    # a solo chunk goes on in its own stretch of frames, then like all others in the next one
+    ahead = F.when(F.col("solo"), F.array(F.col("base"), F.col("base") + 1)).otherwise(F.array(F.col("base") + 1))
+    nearby = tails.withColumn("ahead", F.explode(ahead))
+    soon = reappear(nearby, (F.col("e_base") == F.col("ahead")) & (F.col("e_chunk") > F.col("chunk"))).checkpoint()
     still_lost = tails.join(soon.select("video_id", "chunk", "pos"), ["video_id", "chunk", "pos"], "left_anti")
-    bridges = soon.unionByName(reappear(still_lost, F.col("e_chunk") > F.col("chunk") + 1)).checkpoint()
+    bridges = soon.unionByName(reappear(still_lost, F.col("e_base") > F.col("base") + 1)).checkpoint()
 
     # aliased anew: both sides of the cogroup descend from the same table
     starts = links.filter("is_init").select(
@@ -296,15 +319,17 @@ def track(
         routes = starts.groupBy("video_id").cogroup(bridges.groupBy("video_id")).applyInPandas(_route, route_schema)
     else:
         routes = _routes_by_doubling(starts, bridges)
-    walk_schema = f"video_id {video_type}, track_id {track_type}, frame_idx bigint, node_id {track_type}, " + ", ".join(
-        f"{c} double" for c in BOX
-    )
-    seen = (
-        for_python(links, "video_id", "chunk")
+    walk_schema = f"video_id {video_type}, track_id {track_type}, frame_idx bigint, " + ", ".join(f"{c} double" for c in BOX)
+    walked = (
+        for_python(links.filter(~F.col("solo")), "video_id", "chunk")
         .groupBy("video_id", "chunk")
         .cogroup(for_python(routes, "video_id", "chunk").groupBy("video_id", "chunk"))
         .applyInPandas(_walk, walk_schema)
     )
+    stops = links.filter("solo AND NOT is_init").select(
+        *[F.col(c).alias(c) for c in ("video_id", "chunk", "pos", "frame_idx", *BOX)]
+    )
+    seen = walked.unionByName(routes.join(stops, ["video_id", "chunk", "pos"]).select(*walked.columns))
 
     # Report every frame after the start; failures carry the last good box.
     listed = (det if frames is None else frames).select(*FRAME).distinct()
@@ -312,7 +337,7 @@ def track(
         "video_id", "track_id", F.col("frame_idx").alias("first_frame"), *[F.col(c).cast("double").alias(f"i_{c}") for c in BOX]
     )
     grid = listed.join(first, "video_id").filter(F.col("frame_idx") > F.col("first_frame"))
-    rows = grid.join(seen.drop("node_id"), ["video_id", "track_id", "frame_idx"], "left")
+    rows = grid.join(seen, ["video_id", "track_id", "frame_idx"], "left")
     rows = rows.withColumns(
         {
             "success": F.col("x").isNotNull(),

@@ -35,6 +35,10 @@ def test_track_equals_the_sequential_rule(spark, seed, algorithm, chunk):
     assert {r[3] for r in want} == {True, False}
     doubled = tracking.track(d, i, f, algorithm, chunk_frames=chunk, route_rows=0)
     assert rows(doubled, *OUT) == want
+    per_frame = [sum(1 for _ in {x[3:] for x in det if x[:2] == k}) for k in set(listed)]
+    assert any(n > 3 for n in per_frame) and any(n <= 3 for n in per_frame)
+    crowded = tracking.track(d, i, f, algorithm, chunk_frames=chunk, frame_boxes=3)
+    assert rows(crowded, *OUT) == want
 
 
 def test_one_long_video_spans_chunks(spark):
