@@ -241,8 +241,13 @@ def track(
         .select("video_id", chunk_of(F.col("frame_idx"), chunk_frames).alias("base"))
         .distinct()
         .withColumn("solo", F.lit(True))
+        .checkpoint()
     )
-    states = states.join(crowded, ["video_id", "base"], "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
+    any_crowded = not crowded.isEmpty()
+    if any_crowded:
+        states = states.join(crowded, ["video_id", "base"], "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
+    else:
+        states = states.withColumn("solo", F.lit(False))
     states = states.withColumn("chunk", F.when(F.col("solo"), F.col("frame_idx")).otherwise(F.col("base") * chunk_frames))
 
     by_type = {f.name: f.dataType for f in states.schema.fields}
@@ -262,9 +267,11 @@ def track(
     # Read three times below, and costly to recompute after a lost executor: written once.
     grouped = for_python(states.filter(~F.col("solo")), "video_id", "chunk").groupBy("video_id", "chunk")
     linked = grouped.applyInPandas(_link_chunk(costs), link_schema).withColumn("solo", F.lit(False))
-    alone = states.filter("solo").withColumn("pos", F.monotonically_increasing_id())
-    alone = alone.withColumns({"next_pos": F.lit(-1).cast("bigint"), "last_pos": F.col("pos")})
-    links = linked.unionByName(alone.select(*linked.columns)).checkpoint()
+    if any_crowded:
+        alone = states.filter("solo").withColumn("pos", F.monotonically_increasing_id())
+        alone = alone.withColumns({"next_pos": F.lit(-1).cast("bigint"), "last_pos": F.col("pos")})
+        linked = linked.unionByName(alone.select(*linked.columns))
+    links = linked.checkpoint()
 
     # Bridges: tails against later chunks, the next one first, the rest only for those it leaves open.
     base = chunk_of(F.col("chunk"), chunk_frames)
@@ -326,10 +333,12 @@ def track(
         .cogroup(for_python(routes, "video_id", "chunk").groupBy("video_id", "chunk"))
         .applyInPandas(_walk, walk_schema)
     )
-    stops = links.filter("solo AND NOT is_init").select(
-        *[F.col(c).alias(c) for c in ("video_id", "chunk", "pos", "frame_idx", *BOX)]
-    )
-    seen = walked.unionByName(routes.join(stops, ["video_id", "chunk", "pos"]).select(*walked.columns))
+    seen = walked
+    if any_crowded:
+        stops = links.filter("solo AND NOT is_init").select(
+            *[F.col(c).alias(c) for c in ("video_id", "chunk", "pos", "frame_idx", *BOX)]
+        )
+        seen = walked.unionByName(routes.join(stops, ["video_id", "chunk", "pos"]).select(*walked.columns))
 
     # Report every frame after the start; failures carry the last good box.
     listed = (det if frames is None else frames).select(*FRAME).distinct()
