@@ -14,6 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rinkspark.llm.token_counts import count_tokens
 
@@ -21,6 +39,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op5_simhash": op5_simhash,
+    "op7_packing": op7_packing,
     "op10_token_counts": op10_token_counts,
 }
 
