@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,18 +21,43 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rinkspark.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.personal import find_personal
+
+    found = find_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rinkspark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rinkspark.llm.token_counts import count_tokens
 
@@ -40,8 +66,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_near_vectors": op3_near_vectors,
+    "op4_top_k": op4_top_k,
     "op5_simhash": op5_simhash,
+    "op6_personal": op6_personal,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 
