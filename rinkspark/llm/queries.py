@@ -52,6 +52,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rinkspark.llm.quality import classify
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_personal": op6_personal,
     "op7_packing": op7_packing,
+    "op8_scoring": op8_scoring,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
