@@ -150,7 +150,7 @@ def mix(
     for _ in range(REPAIRS):
         # Per source: the copy whose size is nearest to what is still missing, or too much.
         now = rated.join(changed, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-        gap = now.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+        gap = staged(now.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")), "mixing-gap")
         sign = F.signum("gap").cast("long")
         open_ = F.col("change").isNull() & (F.col("copies") + sign).between(0, most)
         left = F.abs(F.abs("gap") - F.col("size"))
