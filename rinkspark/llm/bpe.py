@@ -10,7 +10,9 @@ import json
 import re
 import sys
 import unicodedata
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -36,10 +38,17 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+def looked_up(table: dict | ChainMap, found: list[str]) -> list:
+    if isinstance(table, dict):
+        return list(map(table.__getitem__, found))
+    batch, known = table.maps
+    return [batch[p] if p in batch else known[p] for p in found]
+
+
 class Bpe:
-    """``cache`` bounds the pre-tokens remembered by one worker; beyond it the memory starts anew."""
+    """``cache`` bounds the pre-tokens that one worker remembers; later ones are merged anew in each batch."""
 
-    def __init__(self, path: str, cache: int = 300_000, window: int = 1 << 20) -> None:
+    def __init__(self, path: str, cache: int = 600_000, window: int = 1 << 20, held: int = 300_000) -> None:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         vocab, merges = file["model"]["vocab"], file["model"]["merges"]
@@ -52,7 +61,7 @@ class Bpe:
         special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.special = special
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.bound, self.window = cache, window
+        self.bound, self.window, self.held = cache, window, held
         self.counts: dict[str, int] = {}
         self.packed: dict[str, bytes] = {}
 
@@ -135,27 +144,28 @@ class Bpe:
             elif part:
                 yield from self.pre_tokens(part)
 
-    def learn(self, found: list[str], known: dict) -> None:
-        missing = [p for p in dict.fromkeys(found) if p not in known]
+    def learnt(self, found: list[str], known: dict) -> dict:
+        """A table that holds all of ``found``: the worker's own, with this batch's rest on top if it is full."""
+        missing = list(set(found).difference(known))
         if not missing:
-            return
-        if len(known) + len(missing) > self.bound:
-            known.clear()
-            missing = list(dict.fromkeys(found))
+            return known
         ids, sizes = self.merge(missing)
         if known is self.counts:
-            known.update(zip(missing, sizes.tolist()))
+            more = zip(missing, sizes.tolist())
         else:
             whole, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-            known.update((p, whole[e - 4 * n : e]) for p, n, e in zip(missing, sizes.tolist(), ends))
+            more = ((p, whole[e - 4 * n : e]) for p, n, e in zip(missing, sizes.tolist(), ends))
+        if len(known) + len(missing) > self.bound:
+            return ChainMap(dict(more), known)
+        known.update(more)
+        return known
 
     def counts_of(self, texts: list[str]) -> list[int]:
         """Tokens of each text. Texts are gathered until their pre-tokens make a batch worth merging."""
         totals, held, spans = [0] * len(texts), [], []
 
         def settle() -> None:
-            self.learn(held, self.counts)
-            n = list(map(self.counts.__getitem__, held))
+            n = looked_up(self.learnt(held, self.counts), held)
             for k, a, b in spans:
                 totals[k] += sum(n[a:b])
             held.clear()
@@ -168,7 +178,7 @@ class Bpe:
                     continue
                 spans.append((k, len(held), len(held) + len(run)))
                 held.extend(run)
-                if len(held) > 100_000:
+                if len(held) > self.held:
                     settle()
         settle()
         return totals
@@ -179,10 +189,9 @@ class Bpe:
         held, spans = [], []
 
         def settle() -> None:
-            self.learn(held, self.packed)
-            get = self.packed.__getitem__
+            ids = looked_up(self.learnt(held, self.packed), held)
             for part, a, b in spans:
-                part.append(a if isinstance(a, bytes) else b"".join(map(get, held[a:b])))
+                part.append(a if isinstance(a, bytes) else b"".join(ids[a:b]))
             held.clear()
             spans.clear()
 
@@ -193,7 +202,13 @@ class Bpe:
                     continue
                 spans.append((part, len(held), len(held) + len(run)))
                 held.extend(run)
-                if len(held) > 100_000:
+                if len(held) > self.held:
                     settle()
         settle()
         return [b"".join(p) for p in parts]
+
+
+@lru_cache(maxsize=2)
+def bpe_of(path: str) -> Bpe:
+    """One per worker process, so that its memory serves all tasks that the process runs."""
+    return Bpe(path)

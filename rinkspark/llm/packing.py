@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rinkspark.llm.bpe import Bpe
+from rinkspark.llm.bpe import bpe_of
 from rinkspark.llm.common import shared_value, shuffle_partitions, staged, text_of
 
 CAPACITY, GRAIN = 2048, 4
@@ -170,7 +170,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capa
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(vocabulary)
+        bpe = bpe_of(vocabulary)
         for batch in batches:
             n, crcs, kept = [], [], []
             for ids in bpe.ids_of(batch.column(1).to_pylist()):

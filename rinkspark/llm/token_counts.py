@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.llm.bpe import Bpe
+from rinkspark.llm.bpe import bpe_of
 from rinkspark.llm.common import text_of
 
 #: The fullest sequence that the report calls within its limit.
@@ -25,7 +25,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     narrow = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(vocabulary)
+        bpe = bpe_of(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = pa.array(bpe.counts_of(texts), pa.int64())
