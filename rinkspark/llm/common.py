@@ -48,6 +48,18 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number per row that stays the same in every job of a query.
+
+    The number follows from the scan's splits, whose size would follow the executors at hand; the
+    number of splits that Spark aims at is pinned for the session, so that a lost one changes nothing.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def slices(n: int, step: int) -> Iterator[slice]:
     for start in range(0, n, step):
         yield slice(start, min(n, start + step))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.llm.common import shuffle_partitions, staged, text_of
+from rinkspark.llm.common import numbered, shuffle_partitions, staged, text_of
 
 GRAM = 8
 #: Bytes of text looked at in one piece, and tuples gathered before they are settled.
@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
+    plain = numbered(docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")), "row")
     keys = plain.select("row", "text").mapInArrow(lambda b: cored(b, length), "key bigint, row bigint, place bigint")
     twice = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(repeated, "key bigint, row bigint, place bigint")
     twice = staged(twice, "repeats-picks")
