@@ -41,11 +41,14 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def picks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Places whose 8-gram is the leftmost smallest of some ``length``-byte string inside a document."""
+def picks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose 8-gram is the leftmost smallest of some ``length``-byte strings inside a document.
+
+    Also how far before the place the last and the first of those strings start.
+    """
     n, span = len(data), length - GRAM + 1
     if n < length:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     gram = data.astype(np.uint64)
     for shift in (1, 2, 4):
         gram = gram[:-shift] | gram[shift:] << np.uint64(8 * shift)
@@ -60,8 +63,9 @@ def picks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -
     long_ = ends - starts >= length
     np.add.at(inside, starts[long_], 1)
     np.add.at(inside, ends[long_] - length + 1, -1)
-    chosen = least[np.flatnonzero(inside.cumsum()[: len(least)])] & np.uint64(0xFFFFFFFF)
-    return np.unique(chosen.astype(np.int64))
+    begins = np.flatnonzero(inside.cumsum()[: len(least)])
+    at, first, times = np.unique((least[begins] & np.uint64(0xFFFFFFFF)).astype(np.int64), return_index=True, return_counts=True)
+    return at, at - begins[first + times - 1], at - begins[first]
 
 
 def cores(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -73,19 +77,40 @@ def cores(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 class Shape:
-    """Lengths that follow from the repeat length. Forward: pivot is the pick; backward: the end of its gram."""
+    """Lengths that follow from the repeat length, and the two directions of a pick.
+
+    Forward, the pivot is the pick; backward, the end of its gram. Strings that start up to ``tail``
+    bytes before the pick are told apart forward, the others backward; either way a string takes its
+    first bytes from the tail's side, counted from the pivot.
+    """
 
     def __init__(self, length: int) -> None:
         self.length = length
         self.tail = (length - GRAM) // 2
-        self.core = length - self.tail  # every string has at most `tail` bytes on the tail's side
+        self.core = length - self.tail  # what every string has on the body's side, at least
+
+    def sides(self, at: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each direction: rows of ``at`` with strings there, where the core begins, least and most tail bytes."""
+        rows = np.flatnonzero(near <= self.tail)
+        yield 0, rows, at[rows], near[rows], np.minimum(far[rows], self.tail)
+        rows = np.flatnonzero(far > self.tail)
+        whole = self.length - GRAM
+        yield 1, rows, at[rows] + GRAM - self.core, whole - far[rows], whole - np.maximum(near[rows], self.tail + 1)
+
 
-    def sides(self, data: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each direction: rows of ``at`` that have a whole core, and where it begins."""
-        for side in (0, 1):
-            begin = at if side == 0 else at + GRAM - self.core
-            rows = np.flatnonzero((begin >= starts) & (begin + self.core <= ends))
-            yield side, rows, begin[rows]
+def packed(at: np.ndarray, low: np.ndarray, high: np.ndarray, side: int) -> np.ndarray:
+    return (at << 33 | low << 17 | high << 1 | side).astype(np.int64)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the text, least and most tail bytes, and whether the direction is backward."""
+    return place >> 33, place >> 17 & 0xFFFF, place >> 1 & 0xFFFF, (place & 1).astype(bool)
+
+
+def covered(at: np.ndarray, back: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the strings that take ``low`` to ``high`` bytes from the tail."""
+    pivot = at + GRAM * back
+    return np.where(back, pivot + low - length, pivot - high), np.where(back, pivot + high, pivot - low + length)
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -108,13 +133,13 @@ def cored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             sizes = np.array([len(t) for t in texts[low:high]], np.int64)
             ends = np.cumsum(sizes)
             starts, data = ends - sizes, np.frombuffer(b"".join(texts[low:high]), np.uint8)
-            at = picks(data, starts, ends, length)
+            at, near, far = picks(data, starts, ends, length)
             if not len(at):
                 continue
             doc = np.searchsorted(ends, at, "right")
-            for side, own, begin in shape.sides(data, at, starts[doc], ends[doc]):
+            for side, own, begin, least, most in shape.sides(at, near, far):
                 key = cores(data, begin, shape.core) ^ np.uint64(side)
-                place = ((at - starts[doc])[own] << 1 | side).astype(np.int64)
+                place = packed((at - starts[doc])[own], least, most, side)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rows[low:high][doc[own]]), pa.array(place)], ["key", "row", "place"])
 
 
@@ -153,14 +178,17 @@ def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             padded = np.concatenate([np.zeros(width, np.uint8), data, np.zeros(width, np.uint8)])
             place = np.array([m["place"] for m in marks], np.int64)
             key = np.array([m["key"] for m in marks], np.int64)
-            at, back = place >> 1, (place & 1).astype(bool)
+            at, low, high, back = unpacked(place)
             pivot = at + GRAM * back
             step = np.where(back, -1, 1)[:, None]
             first = pivot - back  # backward: the byte before the pivot
             body = padded[width + first[:, None] + step * np.arange(length)]
             tail = padded[width + (first[:, None] - step) - step * np.arange(shape.tail)]
             right, left = len(data) - pivot, pivot
-            body_n, tail_n = np.where(back, left, right).clip(0, length), np.where(back, right, left).clip(0, shape.tail)
+            body_n, tail_n = np.minimum(np.where(back, left, right), length - low), np.minimum(np.where(back, right, left), high)
+            # Bytes that no string of this pick takes are blanked: fewer contexts differ.
+            body[np.arange(length) >= body_n[:, None]] = 0
+            tail[np.arange(shape.tail) >= tail_n[:, None]] = 0
             context = np.hstack([body, tail])
             n = len(at)
             offsets = pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes())
@@ -192,7 +220,7 @@ def induced(table: pa.Table, length: int) -> pa.RecordBatch:
     missing = np.array(ids.is_null())  # a NULL id comes last
     rank_of_id = renamed(ids.fill_null(0).to_numpy())
     order = np.empty(n, np.int64)
-    order[np.lexsort((place >> 1, row, rank_of_id, missing))] = np.arange(n)
+    order[np.lexsort((place >> 33, row, rank_of_id, missing))] = np.arange(n)
     differs = body[1:] != body[:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
     common = np.concatenate([[0], np.where(key[1:] == key[:-1], common, -1)])
@@ -212,10 +240,8 @@ def induced(table: pa.Table, length: int) -> pa.RecordBatch:
     at, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
     high -= 1
-    back = (place[at] & 1).astype(bool)
-    pivot = (place[at] >> 1) + GRAM * back
-    start = np.where(back, pivot + low - length, pivot - high)
-    end = np.where(back, pivot + high, pivot - low + length)
+    pick, _, _, back = unpacked(place[at])
+    start, end = covered(pick, back, low, high, length)
     return pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(start), pa.array(end)], ["row", "start", "end"])
 
 
@@ -225,7 +251,6 @@ def settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     Sorted by context and place, equal tuples follow each other: all strings of the later ones are
     repeats. Only different tuples of one core are held together.
     """
-    shape = Shape(length)
     names = ["key", "context", "id", "row", "place", "body", "tail"]
     held: list[pa.Table] = []
     count = 0
@@ -240,13 +265,9 @@ def settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         last = marks[-1]
         if again.any():
             place, body_n, tail_n, row = (table.column(c).to_numpy()[again] for c in ("place", "body", "tail", "row"))
-            back = (place & 1).astype(bool)
-            pivot = (place >> 1) + GRAM * back
-            low, high = length - body_n, np.minimum(tail_n, shape.tail)  # bytes taken from the tail, least and most
-            fits = low <= high
-            start = np.where(back, pivot + low - length, pivot - high)[fits]
-            end = np.where(back, pivot + high, pivot - low + length)[fits]
-            yield pa.RecordBatch.from_arrays([pa.array(row[fits]), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["row", "start", "end"])
+            pick, _, _, back = unpacked(place)
+            start, end = covered(pick, back, (length - body_n).astype(np.int64), tail_n.astype(np.int64), length)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(start), pa.array(end)], ["row", "start", "end"])
         held.append(table.filter(pa.array(~again)))
         count += held[-1].num_rows
         if count >= GATHER:
