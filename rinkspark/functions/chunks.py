@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rinkspark.functions.joins import null_safe_join
+
 CHUNK = 4096
 
 
@@ -26,21 +28,23 @@ def with_earlier_chunks(
     chunk: str,
     values: dict[str, tuple[Column, Callable[[Column], Column]]],
     descending: bool = False,
+    nulls_first: bool = False,
 ) -> DataFrame:
     """Add one column per entry of ``values``: its aggregate over the earlier chunks.
 
     ``values`` maps a new column to (aggregate of one chunk, function that merges those
     aggregates). The column is NULL in the first chunk of a key. ``descending`` counts the
-    chunks with larger numbers as the earlier ones. Rows with a NULL key or chunk have no
-    place in the order and are dropped.
+    chunks with larger numbers as the earlier ones. A NULL key is a key of its own, a NULL
+    chunk the last one of its key, or the first with ``nulls_first``.
     """
-    # Stated before the table is used twice, so that both uses plan the same shuffle and share it.
-    for name in (*keys, chunk):
-        df = df.filter(F.col(name).isNotNull())
     summary = df.groupBy(*keys, chunk).agg(*[one.alias(name) for name, (one, _) in values.items()])
-    order = F.col(chunk).desc() if descending else F.col(chunk).asc()
+    place = F.col(chunk)
+    if descending:
+        order = place.desc_nulls_first() if nulls_first else place.desc_nulls_last()
+    else:
+        order = place.asc_nulls_first() if nulls_first else place.asc_nulls_last()
     earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         *keys, chunk, *[merge(F.col(name)).over(earlier).alias(name) for name, (_, merge) in values.items()]
     )
-    return df.join(carried, [*keys, chunk])
+    return null_safe_join(df, carried, [*keys, chunk])

@@ -1,21 +1,16 @@
-"""Reproducible uniform draws: a function of row id and seed, so a retried task repeats them."""
+"""Reproducible uniform draws: bits of a hash of row key, seed and name, so a retried task repeats them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The C-standard linear congruential generator.
-LCG_A = 1103515245
-LCG_C = 12345
-LCG_M = 2147483648
+#: Hex digits of the hash that make one draw.
+DIGITS = 8
 
 
-def uniform_draws(row_id: Column, seed: int, count: int) -> list[Column]:
-    """``count`` columns in [0, 1): successive states of the generator started at id + seed."""
-    state = F.pmod(F.pmod(row_id, F.lit(LCG_M)) + F.lit(seed), F.lit(LCG_M))
-    draws = []
-    for _ in range(count):
-        state = F.pmod(state * F.lit(LCG_A) + F.lit(LCG_C), F.lit(LCG_M))
-        draws.append(state / F.lit(float(LCG_M)))
-    return draws
+def uniform_draw(name: str, seed: int, *keys: Column) -> Column:
+    """A column in [0, 1): independent between rows, seeds and names. A NULL key is written as ``NULL``."""
+    parts = [F.coalesce(k.cast("string"), F.lit("NULL")) for k in keys]
+    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed)), F.lit(name)).cast("binary"))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("bigint") / F.lit(float(16**DIGITS))

@@ -1,8 +1,9 @@
 """Precision-recall curves and average precision.
 
 There are few classes, so a window over a class would be one huge task. Scores are merged
-first (equal scores are one point of the curve), then cut into SCORE_BUCKETS ranges; only
-the per-bucket totals, at most SCORE_BUCKETS + 1 rows per class, are scanned class-wide.
+first (equal scores are one point of the curve), then cut into SCORE_BUCKETS ranges of about
+equally many points; only the per-bucket totals, at most SCORE_BUCKETS + 1 rows per class, are
+scanned class-wide. Detections without a score or a class count: they come last, or are a class.
 """
 
 from __future__ import annotations
@@ -12,16 +13,22 @@ from pyspark.sql import functions as F
 
 from rinkspark.functions.boxes import CELL_PX
 from rinkspark.functions.chunks import with_earlier_chunks
-from rinkspark.operators.matching import GROUP, best_hits
+from rinkspark.functions.joins import null_safe_join
+from rinkspark.operators.matching import GROUP, greedy_pairs, iou_pairs, named
 from rinkspark.session import ensure_checkpoint_dir
 
-SCORE_BUCKETS = 65536
+SCORE_BUCKETS = 128
 COCO_IOUS = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
 RECALL_STEPS = 100
 
 
-def _bucket(score: Column) -> Column:
-    return F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)) * SCORE_BUCKETS).cast("bigint")
+def _bucketed(points: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``bucket``: score ranges of about equally many points, whatever the scores are; a NULL score has none."""
+    share = [k / SCORE_BUCKETS for k in range(1, SCORE_BUCKETS)]
+    cuts = points.groupBy(*by).agg(F.percentile_approx("score", share, 10 * SCORE_BUCKETS).alias("cuts"))
+    joined = null_safe_join(points, cuts, by)
+    below = F.size(F.filter("cuts", lambda c: c <= F.col("score"))).cast("bigint")
+    return joined.withColumn("bucket", F.when(F.col("score").isNotNull(), below)).drop("cuts")
 
 
 def _curve(points: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
@@ -32,7 +39,7 @@ def _curve(points: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     """
     ensure_checkpoint_dir(points.sparkSession)
     points = points.checkpoint()
-    bucketed = points.withColumn("bucket", _bucket(F.col("score")))
+    bucketed = _bucketed(points, by)
     totals = {"n_above": (F.sum("n"), F.sum), "tp_above": (F.sum("tp"), F.sum)}
     run = with_earlier_chunks(bucketed, by, "bucket", totals, descending=True)
     inside = Window.partitionBy(*by, "bucket").orderBy(F.col("score").desc())
@@ -45,11 +52,11 @@ def _curve(points: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
         }
     ).withColumn("precision", F.col("cum_tp") / F.col("cum_n"))
     # envelope: the best precision at this score or any lower one
-    run = with_earlier_chunks(run, by, "bucket", {"best_below": (F.max("precision"), F.max)})
+    run = with_earlier_chunks(run, by, "bucket", {"best_below": (F.max("precision"), F.max)}, nulls_first=True)
     onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     run = run.withColumn("envelope", F.greatest(F.max("precision").over(onward), F.col("best_below")))
     # at most one row per group; Spark broadcasts it only if its measured size allows
-    run = run.join(wanted, by, "left")
+    run = null_safe_join(run, wanted, by, "left")
     return run.select(
         *by,
         "score",
@@ -93,7 +100,7 @@ def _area(curve: DataFrame, by: list[str], method: str) -> DataFrame:
 
 def _with_unseen(area: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     """A group with truth and no detection has AP 0; one without truth has none."""
-    joined = area.drop("n_truth").join(wanted, by, "full")
+    joined = null_safe_join(area.drop("n_truth"), wanted, by, "full")
     ap = F.when(F.col("n_truth") > 0, F.coalesce("ap", F.lit(0.0)))
     return joined.select(*by, ap.alias("ap"), F.coalesce("n_truth", F.lit(0)).cast("bigint").alias("n_truth"))
 
@@ -115,25 +122,24 @@ def average_precision(
 def coco_ap(
     det: DataFrame, truth: DataFrame, ious: tuple[float, ...] = COCO_IOUS, cell_px: float = CELL_PX
 ) -> DataFrame:
-    """101-point AP per class and IoU threshold, VOC matching at each threshold.
+    """101-point AP per class and IoU threshold, greedy matching at each threshold.
 
-    The best truth does not depend on the threshold: it is found once, and each truth keeps
-    one winning score per threshold. All detections enter as counts per score.
+    Pairs are made once, at the lowest threshold, and matched at all thresholds side by side. All
+    detections enter as counts per score; those with a NULL id are misses.
     """
-    best = best_hits(det, truth, min(ious), cell_px)
     levels = F.array(*[F.lit(float(t)) for t in ious])
-    # Only the winner's score matters here: the best score among the claimants of each level.
-    winners = [F.max(F.when(F.col("iou") >= t, F.col("score"))).alias(f"s{i}") for i, t in enumerate(ious)]
-    per_level = F.array(*[F.struct(F.lit(float(t)).alias("min_iou"), F.col(f"s{i}").alias("score")) for i, t in enumerate(ious)])
-    claims = best.groupBy(*GROUP, "gt_id").agg(*winners).select("class_id", F.inline(per_level))
-    tps = claims.filter("score IS NOT NULL").groupBy("class_id", "min_iou", "score").agg(F.count("*").alias("tp"))
+    pairs = iou_pairs(named(det, "det_id"), named(truth, "gt_id"), min(ious), cell_px)
+    reached = F.filter(levels, lambda t: t <= F.col("iou"))
+    settled = greedy_pairs(pairs.withColumn("min_iou", F.explode(reached)), (*GROUP, "min_iou"))
+    scored = settled.join(pairs.select(*GROUP, "det_id", "gt_id", "score"), [*GROUP, "det_id", "gt_id"])
+    by = ["class_id", "min_iou"]
+    tps = scored.groupBy(*by, "score").agg(F.count("*").alias("tp"))
     counts = (
         det.groupBy("class_id", "score")
         .agg(F.count("*").alias("n"))
         .select("class_id", "score", "n", F.explode(levels).alias("min_iou"))
     )
-    by = ["class_id", "min_iou"]
-    points = counts.join(tps, [*by, "score"], "left").na.fill(0, ["tp"])
+    points = null_safe_join(counts, tps, [*by, "score"], "left").na.fill(0, ["tp"])
     wanted = _truth_counts(truth, ["class_id"]).select("class_id", "n_truth", F.explode(levels).alias("min_iou"))
     return _with_unseen(_area(_curve(points, wanted, by), by, "coco101"), wanted, by)
 

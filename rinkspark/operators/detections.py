@@ -51,13 +51,16 @@ def trim_detections(raw: DataFrame, nan_class: str = "raise") -> DataFrame:
 def explode_detections(trimmed: DataFrame) -> DataFrame:
     """One row per array position, 0-based in ``det_pos``; frames without detections vanish.
 
+    A NULL array counts as empty, and shorter arrays give NULLs: no other array costs a frame its rows.
+
     ``detection_boxes`` becomes the struct ``box``, ``detection_classes`` ``class_id``,
     ``detection_scores`` ``score``; any other array keeps its name.
     """
     arrays = _array_fields(trimmed)
     keep = [c for c in trimmed.columns if c not in arrays and c != "num_detections"]
+    filled = [F.coalesce(F.col(a), F.array().cast(trimmed.schema[a].dataType)).alias(a) for a in arrays]
     rows = trimmed.select(
-        *keep, F.posexplode(F.arrays_zip(*[F.col(a) for a in arrays])).alias("det_pos", "d")
+        *keep, F.posexplode(F.arrays_zip(*filled)).alias("det_pos", "d")
     )
     out = [F.col(c) for c in keep] + [F.col("det_pos").cast("bigint").alias("det_pos")]
     for a in arrays:
@@ -94,21 +97,16 @@ def to_pixels(det: DataFrame, width: int, height: int) -> DataFrame:
     ).drop("box")
 
 
-def bounded_labels(label_map: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """At most ``max_classes`` rows, whatever comes in: one name for each id in 1..max."""
-    return (
-        label_map.select(F.col("id").cast("int").alias("id"), "name")
-        .filter(F.col("id").between(1, max_classes))
-        .groupBy("id")
-        .agg(F.min("name").alias("name"))
-    )
+def one_name_per_id(label_map: DataFrame) -> DataFrame:
+    """``id, name``; of a repeated id the row with the lowest ``pos`` if there is one, else the lowest name."""
+    order = F.struct("pos", "name") if "pos" in label_map.columns else F.struct("name")
+    return label_map.groupBy("id").agg(F.min(order).alias("first")).select("id", F.col("first.name").alias("name"))
 
 
-def with_labels(det: DataFrame, label_map: DataFrame, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """Add ``name`` by class id; ids without a label become ``N/A``."""
-    # Broadcast is safe: bounded_labels admits no more than max_classes rows.
-    labels = bounded_labels(label_map, max_classes).toDF("_label_id", "_label")
-    joined = det.join(F.broadcast(labels), F.col("class_id") == F.col("_label_id"), "left")
+def with_labels(det: DataFrame, label_map: DataFrame) -> DataFrame:
+    """Add ``name`` by class id; ids without a label become ``N/A``. Which ids count is the map's affair."""
+    labels = one_name_per_id(label_map).toDF("_label_id", "_label")
+    joined = det.join(labels, F.col("class_id") == F.col("_label_id"), "left")
     return joined.withColumn("name", F.coalesce("_label", F.lit("N/A"))).drop("_label_id", "_label")
 
 

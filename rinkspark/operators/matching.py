@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinkspark.functions.boxes import CELL_PX, box_of, centre_cell, iou, explode_iou_cells
+from rinkspark.functions.joins import null_safe_join
 from rinkspark.operators.detections import FRAME
 from rinkspark.session import ensure_checkpoint_dir
 
@@ -73,13 +74,18 @@ def best_hits(
     )
 
 
-def _first_claims(hits: DataFrame) -> DataFrame:
-    """For each truth the claimant with the highest score, then the lowest ``det_id``."""
-    claim = F.min(F.struct((-F.col("score")).alias("neg_score"), F.col("det_id").alias("det_id")))
+def last_score() -> Column:
+    """Falling score as a rising key; a NULL score comes last, with NaN."""
+    return F.coalesce(-F.col("score"), F.lit(float("nan")))
+
+
+def _first_claims(hits: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """For each truth the claimant with the highest score, NULL last, then the lowest ``det_id``."""
+    claim = F.min(F.struct(last_score().alias("neg_score"), F.col("det_id").alias("det_id")))
     return (
-        hits.groupBy(*GROUP, "gt_id")
+        hits.groupBy(*group, "gt_id")
         .agg(claim.alias("claim"))
-        .select(*GROUP, "gt_id", F.col("claim.det_id").alias("det_id"))
+        .select(*group, "gt_id", F.col("claim.det_id").alias("det_id"))
     )
 
 
@@ -112,40 +118,46 @@ def match_coco(
     best claimant gets it in any order of events, so all such pairs are settled together
     and leave with their rivals' edges. Every round settles at least the best-scored open
     detection of each group; rounds end when no edge is open. Only pairs, not boxes, are
-    re-read, and each round is checkpointed.
+    re-read, and each round is checkpointed. Rows with a NULL id cannot be told apart: such
+    detections are misses, such truth boxes stay unfound.
     """
-    spark = det.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = iou_pairs(det, truth, min_iou, cell_px).checkpoint()
-    settled = None
+    settled = greedy_pairs(iou_pairs(named(det, "det_id"), named(truth, "gt_id"), min_iou, cell_px), GROUP)
+    return det.select(*GROUP, "det_id", "score").join(settled, [*GROUP, "det_id"], "left").withColumn("tp", F.col("gt_id").isNotNull())
+
+
+def named(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.filter(F.col(id_col).isNotNull())
+
+
+def greedy_pairs(pairs: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """``(*group, det_id, gt_id, iou)`` that the greedy rule settles among ``pairs``, group by group."""
+    ensure_checkpoint_dir(pairs.sparkSession)
+    edges = pairs.checkpoint()
+    settled = edges.select(*group, "det_id", "gt_id", "iou").limit(0)
     while not edges.isEmpty():
         best_gt = F.min(F.struct((-F.col("iou")).alias("neg_iou"), F.col("gt_id").alias("gt_id")))
         wish = (
-            edges.groupBy(*GROUP, "det_id")
+            edges.groupBy(*group, "det_id")
             .agg(best_gt.alias("best"))
-            .select(*GROUP, "det_id", F.col("best.gt_id").alias("gt_id"), (-F.col("best.neg_iou")).alias("iou"))
+            .select(*group, "det_id", F.col("best.gt_id").alias("gt_id"), (-F.col("best.neg_iou")).alias("iou"))
         )
-        owner = _first_claims(edges)
-        agreed = wish.join(owner, [*GROUP, "det_id", "gt_id"], "left_semi").checkpoint()
-        settled = agreed if settled is None else settled.unionByName(agreed)
+        agreed = wish.join(_first_claims(edges, group), [*group, "det_id", "gt_id"], "left_semi").checkpoint()
+        if agreed.isEmpty():
+            raise RuntimeError("no pair can be settled: group columns must not be NULL")
+        settled = settled.unionByName(agreed)
         edges = (
-            edges.join(agreed.select(*GROUP, "det_id"), [*GROUP, "det_id"], "left_anti")
-            .join(agreed.select(*GROUP, "gt_id"), [*GROUP, "gt_id"], "left_anti")
+            edges.join(agreed.select(*group, "det_id"), [*group, "det_id"], "left_anti")
+            .join(agreed.select(*group, "gt_id"), [*group, "gt_id"], "left_anti")
             .checkpoint()
         )
-    base = det.select(*GROUP, "det_id", "score")
-    if settled is None:
-        no_gt = F.lit(None).cast(truth.schema["gt_id"].dataType)
-        return base.select("*", no_gt.alias("gt_id"), F.lit(None).cast("double").alias("iou"), F.lit(False).alias("tp"))
-    joined = base.join(settled, [*GROUP, "det_id"], "left")
-    return joined.withColumn("tp", F.col("gt_id").isNotNull())
+    return settled
 
 
 def detection_prf(matches: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
     """True positives, precision, recall and F1 per group; a zero denominator gives NULL."""
     found = matches.groupBy(*by).agg(F.count("*").alias("n_det"), F.count_if("tp").alias("tp"))
     wanted = truth.groupBy(*by).agg(F.count("*").alias("n_truth"))
-    both = found.join(wanted, list(by), "full").na.fill(0, ["n_det", "tp", "n_truth"])
+    both = null_safe_join(found, wanted, by, "full").na.fill(0, ["n_det", "tp", "n_truth"])
     tp = F.col("tp")
     return both.select(
         *by,

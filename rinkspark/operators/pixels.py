@@ -2,8 +2,9 @@
 
 Images are the struct of Spark's ``image`` source: BGR bytes, row-major. Pixel work runs in
 scalar Arrow functions that receive only the image fields they use; all other columns stay
-in the JVM. Frames are wide (a 1080p frame is about 6 MB), so keep
-``spark.sql.execution.arrow.maxRecordsPerBatch`` near 32 for these jobs.
+in the JVM. Frames are wide (a 1080p frame is about 6 MB): ``session.DEFAULTS`` bounds an Arrow
+batch by bytes. Grey images are expanded to three channels and alpha is dropped, as image readers
+for three-channel work do; rows that could not be decoded pass unchanged.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.functions.draws import uniform_draws
+from rinkspark.functions.draws import uniform_draw
 from rinkspark.operators.detections import FRAME
 
 # Augmentation ranges and the colour and thickness of a track's rectangle.
@@ -25,42 +26,58 @@ TRACK_COLOUR_BGR = (255, 0, 0)
 THICKNESS = 2
 
 
-def _pixels(data: bytes, height: int, width: int) -> np.ndarray:
+def _pixels(data: bytes, height: int, width: int) -> np.ndarray | None:
+    """Three channels of an image with one, three or four; None if it was not decoded."""
+    if data is None or not height > 0 or not width > 0:
+        return None
     flat = np.frombuffer(data, dtype=np.uint8)
-    if flat.size != height * width * 3:
-        raise ValueError(f"{flat.size} bytes cannot be a {height}x{width} three-channel image")
-    return flat.reshape(height, width, 3)
+    channels, rest = divmod(flat.size, int(height) * int(width))
+    if rest or channels not in (1, 3, 4):
+        raise ValueError(f"{flat.size} bytes cannot be a {height}x{width} image of 1, 3 or 4 channels")
+    img = flat.reshape(int(height), int(width), channels)
+    return np.repeat(img, 3, axis=2) if channels == 1 else img[..., :3]
 
 
 def _image_fields() -> list[Column]:
     return [F.col("image.data"), F.col("image.height"), F.col("image.width")]
 
 
+def _with_pixels(frames: DataFrame, data: Column, **fields: Column) -> DataFrame:
+    """Three-channel ``data`` (NULL: not decoded) in the image of each frame, and any other ``fields``."""
+    decoded = frames.withColumn("_data", data)
+    image, ok = F.col("image"), F.col("_data").isNotNull()
+    # fixed values: the number of channels, and the code for eight-bit images with three of them
+    for field, value in {"data": F.col("_data"), "nChannels": F.lit(3), "mode": F.lit(16), **fields}.items():
+        if field in frames.schema["image"].dataType.names:
+            image = image.withField(field, F.when(ok, value).otherwise(F.col(f"image.{field}")))
+    return decoded.withColumn("image", F.when(F.col("image").isNotNull(), image)).drop("_data")
+
+
 @F.pandas_udf(T.BinaryType())
 def _swapped(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([_pixels(d, h, w)[..., ::-1].tobytes() for d, h, w in zip(data, height, width)])
+    images = [_pixels(d, h, w) for d, h, w in zip(data, height, width)]
+    return pd.Series([None if img is None else img[..., ::-1].tobytes() for img in images])
 
 
 def swap_channels(frames: DataFrame) -> DataFrame:
     """BGR to RGB or back."""
-    return frames.withColumn("image", F.col("image").withField("data", _swapped(*_image_fields())))
+    return _with_pixels(frames, _swapped(*_image_fields()))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _flat_floats(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([_pixels(d, h, w).astype(np.float32).ravel() for d, h, w in zip(data, height, width)])
+    images = [_pixels(d, h, w) for d, h, w in zip(data, height, width)]
+    return pd.Series([None if img is None else img.astype(np.float32).ravel() for img in images])
 
 
 def image_tensor(frames: DataFrame, column: str = "tensor") -> DataFrame:
-    """Add the pixels as a flat float array (height, width, channel order) for batched scoring."""
+    """Add the pixels as a flat float array (height, width, channel order) for batched scoring; NULL if not decoded."""
     return frames.withColumn(column, _flat_floats(*_image_fields()))
 
 
 def aug_params(frames: DataFrame, seed: int) -> DataFrame:
     """Add ``angle``, ``scale`` and ``flip`` of each frame, a function of frame key and seed only."""
-    row_id = F.pmod(F.col("video_id"), F.lit(2147483648)) * F.lit(1000003) + F.pmod(F.col("frame_idx"), F.lit(2147483648))
-    # the first state still resembles the row id; draws start at the second
-    _, a, s, f = uniform_draws(row_id, seed, 4)
+    a, s, f = (uniform_draw(name, seed, F.col("video_id"), F.col("frame_idx")) for name in ("angle", "scale", "flip"))
     return frames.withColumns(
         {
             "angle": a * (ROTATE_DEGREES[1] - ROTATE_DEGREES[0]) + ROTATE_DEGREES[0],
@@ -107,21 +124,23 @@ def _augmented(
 ) -> pd.DataFrame:
     out = []
     for d, h, w, a, s, f in zip(data, height, width, angle, scale, flip):
-        img = resize_nearest(rotate_nearest(_pixels(d, h, w), a), s)
+        img = _pixels(d, h, w)
+        if img is None:
+            out.append((None, None, None))
+            continue
+        img = resize_nearest(rotate_nearest(img, a), s)
         if f:
             img = img[:, ::-1]
         out.append((img.shape[0], img.shape[1], img.tobytes()))
-    return pd.DataFrame(out, columns=["height", "width", "data"])
+    made = pd.DataFrame(out, columns=["height", "width", "data"])
+    return made.astype({"height": "Int32", "width": "Int32"})
 
 
 def apply_augmentation(frames: DataFrame) -> DataFrame:
     """Rotate, resize, flip each image by its own ``angle``, ``scale`` and ``flip`` columns."""
     new = _augmented(*_image_fields(), F.col("angle"), F.col("scale"), F.col("flip"))
     with_new = frames.withColumn("_new", new)
-    image = F.col("image")
-    for field in ("height", "width", "data"):
-        image = image.withField(field, F.col(f"_new.{field}"))
-    return with_new.withColumn("image", image).drop("_new")
+    return _with_pixels(with_new, F.col("_new.data"), height=F.col("_new.height"), width=F.col("_new.width")).drop("_new")
 
 
 def augment(frames: DataFrame, seed: int) -> DataFrame:
@@ -164,6 +183,9 @@ def draw_boxes(
         out = []
         for d, h, w, rects in zip(data, height, width, todo):
             img = _pixels(d, h, w)
+            if img is None:
+                out.append(None)
+                continue
             if rects is not None and len(rects):
                 img = img.copy()
                 for r in rects:
@@ -172,8 +194,8 @@ def draw_boxes(
         return pd.Series(out)
 
     joined = frames.join(per_frame, list(FRAME), "left")
-    new = F.when(F.col("corners").isNotNull(), drawn(*_image_fields(), F.col("corners"))).otherwise(F.col("image.data"))
-    return joined.withColumn("image", F.col("image").withField("data", new)).drop("corners")
+    new = F.when(F.col("corners").isNotNull(), drawn(*_image_fields(), F.col("corners")))
+    return _with_pixels(joined, new).drop("corners")
 
 
 def decode_audit(images: DataFrame) -> DataFrame:

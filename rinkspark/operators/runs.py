@@ -16,7 +16,7 @@ def early_stop(run_log: DataFrame, patience: int = PATIENCE, chunk: int = CHUNK)
 
     Only a strictly lower ``val_loss`` is an improvement; NULL and NaN never are. ``stop_step``
     is NULL for a run that never stops; ``best_step`` is the last improvement up to the stop.
-    Rows are counted, so steps may have gaps; a step occurs once per run.
+    Rows are counted, so steps may have gaps; a step occurs once per run. Rows without a step come last.
     """
     loss = F.col("val_loss")
     usable = F.when(~F.isnan(loss), loss)
@@ -24,7 +24,7 @@ def early_stop(run_log: DataFrame, patience: int = PATIENCE, chunk: int = CHUNK)
     log = with_earlier_chunks(
         log, ["run_id"], "chunk", {"min_before": (F.min("loss"), F.min), "rows_before": (F.count("*"), F.sum)}
     )
-    inside = Window.partitionBy("run_id", "chunk").orderBy("step")
+    inside = Window.partitionBy("run_id", "chunk").orderBy(F.col("step").asc_nulls_last())
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     best_so_far = F.coalesce(F.least(F.col("min_before"), F.min("loss").over(earlier)), F.lit(float("inf")))
     log = log.withColumns(

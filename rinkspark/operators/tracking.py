@@ -4,14 +4,14 @@ A tracker's state is its last good box. In each later frame it moves to the best
 that is near enough, else it reports a failure and keeps its state, so a lost target may
 be found again. This is sequential, but a video need not be one task:
 
-1. *links*: videos are cut into chunks of frames; inside a chunk every detection is taken
-   as a state and linked to the detection it would move to next. Following links to the end
-   gives its chunk-final detection, its *tail*.
+1. *links*: videos are cut into chunks of whole frames with about equally many boxes; inside a
+   chunk every detection is taken as a state and linked to the detection it would move to
+   next. Following links to the end gives its chunk-final detection, its *tail*.
 2. *bridges*: each tail is joined with the detections of later chunks to find where the
-   target reappears; the grid keeps that join local in space.
+   target reappears. The grid keeps that join local in space, and a horizon that doubles
+   from round to round keeps it local in time: only targets still lost look further.
 3. *routes*: per track, from the initial box, tail and bridge alternate. Only bridges are
-   read here, a small part of the detections: in one group per video while they are few,
-   by repeated doubling joins when a video is too long for that.
+   read here, a small part of the detections, by repeated doubling joins.
 4. *walks*: each chunk a route enters is walked from its entry; the visited detections are
    the track's successes. Frames without one are failures, with the last good box carried on.
 """
@@ -34,18 +34,19 @@ from rinkspark.functions.boxes import (
     explode_cells,
     explode_iou_cells,
     iou,
+    iou_reach,
 )
 from rinkspark.functions.chunks import CHUNK, chunk_of, with_earlier_chunks
+from rinkspark.functions.joins import null_safe_join
 from rinkspark.operators.detections import FRAME
 from rinkspark.session import ensure_checkpoint_dir, for_python
 
 TRACK_IOU = 0.3
 MAX_DISTANCE = 50.0
-CHUNK_FRAMES = 1024
-# Most bridges of one video that are followed inside one group.
-ROUTE_ROWS = 200_000
-# Most different boxes of one frame that a Python group takes; beyond it frames are chunks of their own.
-FRAME_BOXES = 20_000
+# A chunk ends with the frame in which its boxes reach this number.
+CHUNK_BOXES = 32_768
+# States compared with boxes at a time.
+BLOCK_STATES, BLOCK_BOXES = 256, 4096
 FAILURE_TEXT = "Tracking failure detected"
 
 BOX = ("x", "y", "w", "h")
@@ -94,7 +95,37 @@ def _in_reach(df: DataFrame, algorithm: str, threshold: float, max_distance: flo
     return explode_cells(df, "cell", F.lit(float(max_distance)), F.lit(float(max_distance)), cell_px)
 
 
-def _link_chunk(costs: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _widest_step(algorithm: str, threshold: float, max_distance: float) -> Callable[[np.ndarray], float]:
+    """How far along x the next box can be centred, given the boxes to choose from."""
+    if algorithm == "iou":
+        return lambda boxes: float(boxes[:, 2].max() * iou_reach(threshold) * (1 + 1e-9) + 1e-6)
+    return lambda boxes: max_distance * (1 + 1e-9)
+
+
+def _choose(costs: Callable, widest: Callable, states: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """For each state the first of its cheapest boxes, -1 without any. States meet only boxes near along x."""
+    chosen = np.full(len(states), -1)
+    at, to = states[:, 0] + states[:, 2] / 2, boxes[:, 0] + boxes[:, 2] / 2
+    by_state, by_box = np.argsort(at, kind="stable"), np.argsort(to, kind="stable")
+    at, to, reach = at[by_state], to[by_box], widest(boxes)
+    for s in range(0, len(states), BLOCK_STATES):
+        own = by_state[s : s + BLOCK_STATES]
+        low = np.searchsorted(to, at[s] - reach, "left")
+        high = np.searchsorted(to, at[s + len(own) - 1] + reach, "right")
+        near = np.sort(by_box[low:high])
+        best = np.full(len(own), np.inf)
+        for b in range(0, len(near), BLOCK_BOXES):
+            part = near[b : b + BLOCK_BOXES]
+            cost = costs(states[own], boxes[part])
+            pick = cost.argmin(axis=1)  # first of equals: boxes are in node_id order
+            value = cost[np.arange(len(own)), pick]
+            better = value < best
+            best[better] = value[better]
+            chosen[own[better]] = part[pick[better]]
+    return chosen
+
+
+def _link_chunk(costs: Callable, widest: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Next and last state of every state of one (video, chunk); -1 marks no next."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
@@ -110,9 +141,8 @@ def _link_chunk(costs: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
             here = np.arange(s, e)
             targets = here[~is_init[s:e]]
             if len(open_states) and len(targets):
-                cost = costs(boxes[open_states], boxes[targets])
-                pick = cost.argmin(axis=1)  # first of equals: targets are in node_id order
-                hit = np.isfinite(cost[np.arange(len(open_states)), pick])
+                pick = _choose(costs, widest, boxes[open_states], boxes[targets])
+                hit = pick >= 0
                 following[open_states[hit]] = targets[pick[hit]]
                 open_states = open_states[~hit]
             open_states = np.r_[open_states, here]
@@ -123,32 +153,13 @@ def _link_chunk(costs: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
         rows["next_pos"] = following
         rows["last_pos"] = last
         rows["pos"] = np.arange(len(rows))
-        return rows[["video_id", "chunk", "pos", "frame_idx", "is_init", "node_id", *BOX, "next_pos", "last_pos"]]
+        return rows[["video_id", "chunk", "pos", "frame_idx", "is_init", "node_id", "track_id", *BOX, "next_pos", "last_pos"]]
 
     return link
 
 
-def _route(key: tuple, starts: pd.DataFrame, bridges: pd.DataFrame) -> pd.DataFrame:
-    """Entries of every track of one video: from its start along tail -> entry -> tail."""
-    onward = {
-        (c, p): (ec, ep, elast)
-        for c, p, ec, ep, elast in zip(
-            bridges["chunk"], bridges["pos"], bridges["entry_chunk"], bridges["entry_pos"], bridges["entry_last"]
-        )
-    }
-    out = []
-    for track, c, p, last in zip(starts["track_id"], starts["chunk"], starts["pos"], starts["last_pos"]):
-        out.append((key[0], track, c, p))
-        step = onward.get((c, last))
-        while step is not None:
-            c, p, last = step
-            out.append((key[0], track, c, p))
-            step = onward.get((c, last))
-    return pd.DataFrame(out, columns=["video_id", "track_id", "chunk", "pos"])
-
-
-def _routes_by_doubling(starts: DataFrame, bridges: DataFrame) -> DataFrame:
-    """The same entries as :func:`_route` for videos of any length, in log2(route length) rounds of joins.
+def _routes(starts: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Entries of every track from its start along tail -> entry -> tail, in log2(route length) rounds of joins.
 
     ``reached`` holds the tails within 2^k bridges of a start, ``jump`` leads 2^k bridges on.
     """
@@ -197,6 +208,15 @@ def _walk(links: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[~rows["is_init"], columns]
 
 
+def _frame_chunks(states: DataFrame, chunk_boxes: int) -> DataFrame:
+    """``chunk`` of every frame: how often the boxes of the video's earlier frames fill ``chunk_boxes``."""
+    sizes = states.groupBy(*FRAME).agg(F.count("*").alias("n")).withColumn("span", chunk_of(F.col("frame_idx")))
+    sizes = with_earlier_chunks(sizes, ["video_id"], "span", {"n_before": (F.sum("n"), F.sum)})
+    inside = Window.partitionBy("video_id", "span").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce("n_before", F.lit(0)) + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return sizes.select(*FRAME, F.floor(before / chunk_boxes).cast("bigint").alias("chunk"))
+
+
 def _last_seen_struct() -> Column:
     return F.struct("frame_idx", *BOX)
 
@@ -208,10 +228,8 @@ def track(
     algorithm: str = "iou",
     threshold: float = TRACK_IOU,
     max_distance: float = MAX_DISTANCE,
-    chunk_frames: int = CHUNK_FRAMES,
+    chunk_boxes: int = CHUNK_BOXES,
     cell_px: float = CELL_PX,
-    route_rows: int = ROUTE_ROWS,
-    frame_boxes: int = FRAME_BOXES,
 ) -> DataFrame:
     """One row per track and frame after its initial frame: ``success`` and the last good box.
 
@@ -229,28 +247,12 @@ def track(
     doubles = [F.col(c).cast("double").alias(c) for c in BOX]
     # Copies of a box in a frame never win against its lowest id: collapse them before grouping.
     boxes = det.select(*FRAME, "det_id", *doubles).groupBy(*FRAME, *BOX).agg(F.min("det_id").alias("node_id"))
-    inits = init_boxes.select(*FRAME, F.col("track_id").alias("node_id"), *doubles)
-    states = boxes.withColumn("is_init", F.lit(False)).unionByName(inits.withColumn("is_init", F.lit(True)))
-    # A chunk is named by its first frame. Where a frame is crowded, each frame of its chunk is a chunk
-    # alone ("solo"): nothing links inside one frame, so no group has to hold it.
-    states = states.withColumn("base", chunk_of(F.col("frame_idx"), chunk_frames))
-    crowded = (
-        boxes.groupBy(*FRAME)
-        .count()
-        .filter(F.col("count") > frame_boxes)
-        .select("video_id", chunk_of(F.col("frame_idx"), chunk_frames).alias("base"))
-        .distinct()
-        .withColumn("solo", F.lit(True))
-        .checkpoint()
-    )
-    any_crowded = not crowded.isEmpty()
-    if any_crowded:
-        states = states.join(crowded, ["video_id", "base"], "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
-    else:
-        states = states.withColumn("solo", F.lit(False))
-    states = states.withColumn("chunk", F.when(F.col("solo"), F.col("frame_idx")).otherwise(F.col("base") * chunk_frames))
-
-    by_type = {f.name: f.dataType for f in states.schema.fields}
+    by_type = {f.name: f.dataType for f in [*boxes.schema.fields, init_boxes.schema["track_id"]]}
+    inits = init_boxes.select(*FRAME, *doubles, F.lit(None).cast(by_type["node_id"]).alias("node_id"), "track_id")
+    states = boxes.withColumns({"track_id": F.lit(None).cast(by_type["track_id"]), "is_init": F.lit(False)})
+    states = states.unionByName(inits.withColumn("is_init", F.lit(True)))
+    states = null_safe_join(states, _frame_chunks(states, chunk_boxes), FRAME)
+
     link_schema = T.StructType(
         [
             T.StructField("video_id", by_type["video_id"]),
@@ -259,27 +261,21 @@ def track(
             T.StructField("frame_idx", by_type["frame_idx"]),
             T.StructField("is_init", T.BooleanType()),
             T.StructField("node_id", by_type["node_id"]),
+            T.StructField("track_id", by_type["track_id"]),
             *[T.StructField(c, T.DoubleType()) for c in BOX],
             T.StructField("next_pos", T.LongType()),
             T.StructField("last_pos", T.LongType()),
         ]
     )
-    # Read three times below, and costly to recompute after a lost executor: written once.
-    grouped = for_python(states.filter(~F.col("solo")), "video_id", "chunk").groupBy("video_id", "chunk")
-    linked = grouped.applyInPandas(_link_chunk(costs), link_schema).withColumn("solo", F.lit(False))
-    if any_crowded:
-        alone = states.filter("solo").withColumn("pos", F.monotonically_increasing_id())
-        alone = alone.withColumns({"next_pos": F.lit(-1).cast("bigint"), "last_pos": F.col("pos")})
-        linked = linked.unionByName(alone.select(*linked.columns))
-    links = linked.checkpoint()
-
-    # Bridges: tails against later chunks, the next one first, the rest only for those it leaves open.
-    base = chunk_of(F.col("chunk"), chunk_frames)
-    tails = links.filter("next_pos < 0").select("video_id", "chunk", "pos", "solo", base.alias("base"), *BOX)
+    # Read several times below, and costly to recompute after a lost executor: written once.
+    link = _link_chunk(costs, _widest_step(algorithm, threshold, max_distance))
+    grouped = for_python(states, "video_id", "chunk").groupBy("video_id", "chunk")
+    links = grouped.applyInPandas(link, link_schema).checkpoint()
+
+    tails = links.filter("next_pos < 0").select("video_id", "chunk", "pos", *BOX)
     entries = links.filter(~F.col("is_init")).select(
         F.col("video_id").alias("e_video"),
         F.col("chunk").alias("e_chunk"),
-        base.alias("e_base"),
         F.col("pos").alias("e_pos"),
         F.col("last_pos").alias("e_last"),
         F.col("frame_idx").alias("e_frame"),
@@ -289,12 +285,16 @@ def track(
     )
     cost = _cost_column(box_of(), box_of("e_"), algorithm, threshold, max_distance)
 
-    def reappear(lost: DataFrame, later: Column) -> DataFrame:
-        probes = _in_reach(lost, algorithm, threshold, max_distance, cell_px)
+    def reappear(lost: DataFrame, far: int, step: int) -> DataFrame:
+        """Where targets lost in a chunk come back, ``far`` + 1 to ``far`` + ``step`` chunks later."""
+        here = F.col("chunk") + far
+        bins = F.sequence(F.floor((here + 1) / step), F.floor((here + step) / step))  # two at most
+        probes = _in_reach(lost.withColumn("bin", F.explode(bins)), algorithm, threshold, max_distance, cell_px)
         near = (F.col("video_id") == F.col("e_video")) & (F.col("cell") == F.col("e_cell")) & cost.isNotNull()
+        soon = (F.col("e_bin") == F.col("bin")) & (F.col("e_chunk") > here) & (F.col("e_chunk") <= here + step)
         choice = F.min(F.struct("e_frame", cost.alias("cost"), "e_node", "e_chunk", "e_pos", "e_last"))
         return (
-            probes.join(entries, near & later)
+            probes.join(entries.withColumn("e_bin", F.floor(F.col("e_chunk") / step)), near & soon)
             .groupBy("video_id", "chunk", "pos")
             .agg(choice.alias("e"))
             .select(
@@ -307,38 +307,27 @@ def track(
             )
         )
 
-    # a solo chunk goes on in its own stretch of frames, then like all others in the next one
-    ahead = F.when(F.col("solo"), F.array(F.col("base"), F.col("base") + 1)).otherwise(F.array(F.col("base") + 1))
-    nearby = tails.withColumn("ahead", F.explode(ahead))
-    soon = reappear(nearby, (F.col("e_base") == F.col("ahead")) & (F.col("e_chunk") > F.col("chunk"))).checkpoint()
-    still_lost = tails.join(soon.select("video_id", "chunk", "pos"), ["video_id", "chunk", "pos"], "left_anti")
-    bridges = soon.unionByName(reappear(still_lost, F.col("e_base") > F.col("base") + 1)).checkpoint()
+    last_chunk = links.agg(F.max("chunk")).first()[0] or 0
+    bridges, lost, far, step = None, tails, 0, 1
+    while bridges is None or far < last_chunk:
+        found = reappear(lost, far, step).checkpoint()
+        bridges = found if bridges is None else bridges.unionByName(found)
+        far, step = far + step, 2 * step
+        if far < last_chunk:
+            still = lost.join(found.select("video_id", "chunk", "pos"), ["video_id", "chunk", "pos"], "left_anti")
+            lost = still.filter(F.col("chunk") + far < last_chunk).checkpoint()
 
     # aliased anew: both sides of the cogroup descend from the same table
-    starts = links.filter("is_init").select(
-        F.col("node_id").alias("track_id"), *[F.col(c).alias(c) for c in ("video_id", "chunk", "pos", "last_pos")]
-    )
-    video_type, track_type = by_type["video_id"].simpleString(), by_type["node_id"].simpleString()
-    route_schema = f"video_id {video_type}, track_id {track_type}, chunk bigint, pos bigint"
-    # A video whose bridges are few is followed in one group; beyond the bound all are followed by doubling.
-    longest = bridges.groupBy("video_id").count().agg(F.max("count")).first()[0] or 0
-    if longest <= route_rows:
-        routes = starts.groupBy("video_id").cogroup(bridges.groupBy("video_id")).applyInPandas(_route, route_schema)
-    else:
-        routes = _routes_by_doubling(starts, bridges)
+    starts = links.filter("is_init").select(*[F.col(c).alias(c) for c in ("video_id", "track_id", "chunk", "pos", "last_pos")])
+    routes = _routes(starts, bridges)
+    video_type, track_type = by_type["video_id"].simpleString(), by_type["track_id"].simpleString()
     walk_schema = f"video_id {video_type}, track_id {track_type}, frame_idx bigint, " + ", ".join(f"{c} double" for c in BOX)
-    walked = (
-        for_python(links.filter(~F.col("solo")), "video_id", "chunk")
+    seen = (
+        for_python(links.drop("track_id"), "video_id", "chunk")
         .groupBy("video_id", "chunk")
         .cogroup(for_python(routes, "video_id", "chunk").groupBy("video_id", "chunk"))
         .applyInPandas(_walk, walk_schema)
     )
-    seen = walked
-    if any_crowded:
-        stops = links.filter("solo AND NOT is_init").select(
-            *[F.col(c).alias(c) for c in ("video_id", "chunk", "pos", "frame_idx", *BOX)]
-        )
-        seen = walked.unionByName(routes.join(stops, ["video_id", "chunk", "pos"]).select(*walked.columns))
 
     # Report every frame after the start; failures carry the last good box.
     listed = (det if frames is None else frames).select(*FRAME).distinct()
@@ -383,7 +372,8 @@ def annotate_tracks(tracks: DataFrame) -> DataFrame:
 def trajectory(tracks: DataFrame, videos: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Movement between consecutive successful rows of a track: offset, distance, pixels per second.
 
-    The first sighting has NULLs. Failures move nothing and are left out.
+    The first sighting has NULLs, and so have the speeds of a video without a frame rate. Failures
+    move nothing and are left out.
     """
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
     seen = tracks.filter("success").select("video_id", "track_id", "frame_idx", cx.alias("cx"), cy.alias("cy"))
@@ -393,7 +383,7 @@ def trajectory(tracks: DataFrame, videos: DataFrame, chunk: int = CHUNK) -> Data
     inside = Window.partitionBy(*keys, "chunk").orderBy("frame_idx")
     seen = seen.withColumn("prev", F.coalesce(F.lag("at").over(inside), F.col("at_before")))
     dx, dy = F.col("cx") - F.col("prev.cx"), F.col("cy") - F.col("prev.cy")
-    seen = seen.join(videos.select("video_id", "fps"), "video_id")
+    seen = seen.join(videos.select("video_id", "fps"), "video_id", "left")
     seconds = (F.col("frame_idx") - F.col("prev.frame_idx")) / F.col("fps")
     distance = F.sqrt(dx * dx + dy * dy)
     return seen.select(

@@ -209,11 +209,11 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One label-map text per part: a repeated id, a display name, and an id that may exceed the bound."""
+    """One label-map text per part: comments, a nested block, a quoted key, a repeated id, an id over the bound."""
     size = F.col("p_size")
     text = F.format_string(
-        "item {\n  id: %d\n  name: '%s'\n}\nitem {\n  name: \"%s\"\n  id: %d\n  display_name: \"%s\"\n}\n"
-        "item {\n  id: %d\n  name: 'repeat'\n}\nitem {\n  id: %d\n  name: '%s'\n}\n",
+        "# item { id: 5 name: 'no' }\nitem {\n  id: %d # id: 6\n  name: '%s'\n}\nitem {\n  name: \"id: 7 } %s\"\n  id: %d\n  display_name: \"%s\"\n}\n"
+        "item {\n  keypoints { id: 8 label: 'x' }\n  id: %d\n  name: 'repeat'\n}\nitem {\n  id: %d\n  name: '%s'\n}\n",
         size, F.col("p_name"), F.col("p_type"), size + 1, F.col("p_brand"), size, size * 3, F.col("p_type"),
     )
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("map_id"), text.alias("value"))

@@ -51,13 +51,12 @@ def prepare_training(
     truth: DataFrame,
     path: str,
     seconds: int = 1,
-    shards: int = 8,
 ) -> None:
     """Sampled frames, their labels and truth boxes, written as training examples."""
     sampled = frames.sample_frames(frame_table, videos, seconds).drop("frame_interval")
     labelled = sampled.withColumn("label", frame_label(F.col("name")))
     kept = truth.join(sampled.select(*detections.FRAME), list(detections.FRAME), "left_semi")
-    export_examples(labelled, kept, path, shards)
+    export_examples(labelled, kept, path)
 
 
 def augmented_training_frames(labelled: DataFrame, seed: int) -> DataFrame:

@@ -35,7 +35,7 @@ def _iou(a: str, b: str) -> str:
 PAIRS = (
     MATCH_TABLES
     + f""",
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT d.video_id, d.frame_idx, d.class_id, d.det_id, t.gt_id, d.score, {_iou('d', 't')} AS iou
   FROM det d JOIN truth t ON d.video_id = t.video_id AND d.frame_idx = t.frame_idx AND d.class_id = t.class_id)"""
 )
@@ -87,17 +87,29 @@ COCO_AP = (
     PAIRS
     + """,
 thresholds AS (SELECT (50 + 5 * i) / 100e0 AS min_iou FROM range(10) AS r(i)),
-best AS (
-  SELECT * FROM pairs WHERE iou >= 0.5
-  QUALIFY row_number() OVER (PARTITION BY video_id, frame_idx, class_id, det_id ORDER BY iou DESC, gt_id) = 1),
-claimed AS (
-  SELECT min_iou, b.*, row_number() OVER (
-      PARTITION BY min_iou, video_id, frame_idx, class_id, gt_id ORDER BY score DESC, det_id) = 1 AS tp
-  FROM best b JOIN thresholds ON iou >= min_iou),
+hits AS (SELECT min_iou, p.* FROM pairs p JOIN thresholds ON iou >= min_iou),
+ranked AS (
+  SELECT min_iou, video_id, frame_idx, class_id, det_id,
+    row_number() OVER (PARTITION BY min_iou, video_id, frame_idx, class_id ORDER BY score DESC, det_id) AS n
+  FROM (SELECT DISTINCT min_iou, video_id, frame_idx, class_id, det_id, score FROM hits)),
+greedy AS (
+  SELECT DISTINCT min_iou, video_id, frame_idx, class_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken,
+    CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS BIGINT) AS gt_id FROM hits
+  UNION ALL
+  SELECT g.min_iou, g.video_id, g.frame_idx, g.class_id, r.n,
+    CASE WHEN b.gt_id IS NULL THEN g.taken ELSE list_append(g.taken, b.gt_id) END, r.det_id, b.gt_id
+  FROM greedy g
+  JOIN ranked r ON r.min_iou = g.min_iou AND r.video_id = g.video_id AND r.frame_idx = g.frame_idx
+    AND r.class_id = g.class_id AND r.n = g.n + 1
+  LEFT JOIN LATERAL (
+    SELECT h.gt_id FROM hits h
+    WHERE h.min_iou = r.min_iou AND h.video_id = r.video_id AND h.frame_idx = r.frame_idx
+      AND h.class_id = r.class_id AND h.det_id = r.det_id AND NOT list_contains(g.taken, h.gt_id)
+    ORDER BY h.iou DESC, h.gt_id LIMIT 1) b ON true),
 points AS (
-  SELECT min_iou, d.class_id, d.score, count(*) AS n, count(*) FILTER (c.tp) AS tp
+  SELECT min_iou, d.class_id, d.score, count(*) AS n, count(c.gt_id) AS tp
   FROM det d CROSS JOIN thresholds
-  LEFT JOIN claimed c USING (min_iou, video_id, frame_idx, class_id, det_id) GROUP BY 1, 2, 3),
+  LEFT JOIN greedy c USING (min_iou, video_id, frame_idx, class_id, det_id) GROUP BY 1, 2, 3),
 run AS (
   SELECT min_iou, class_id, score, sum(n) OVER w AS cum_n, CAST(sum(tp) OVER w AS BIGINT) AS cum_tp
   FROM points WINDOW w AS (PARTITION BY min_iou, class_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
@@ -226,21 +238,13 @@ GROUP BY 1"""
 CHECKPOINTS = """
 checkpoints AS (SELECT user_id AS run_id, event_id AS step, 'ckpt-' || event_id AS path FROM events)"""
 
-LCG = "(({0} * 1103515245 + 12345) % 2147483648)"
-
-
 def _aug() -> str:
-    state = "((video_id * 1000003 + frame_idx) % 2147483648 + 7) % 2147483648"
-    steps = ["s0"]
-    sql = f"WITH {FRAMES}, k0 AS (SELECT *, {state} AS s0 FROM frames)"
-    for i in range(1, 5):
-        sql += f", k{i} AS (SELECT *, {LCG.format(f's{i - 1}')} AS s{i} FROM k{i - 1})"
-        steps.append(f"s{i}")
-    m = "2147483648e0"
+    def draw(name: str) -> str:
+        return f"CAST('0x' || substr(md5(video_id || '|' || frame_idx || '|7|{name}'), 1, 8) AS BIGINT) / 4294967296e0"
+
     return (
-        sql
-        + f" SELECT video_id, frame_idx, s2 / {m} * 50e0 + -25e0 AS angle, s3 / {m} * 1e0 + 0.5e0 AS scale,"
-        + f" s4 / {m} < 0.5e0 AS flip FROM k4"
+        f"WITH {FRAMES} SELECT video_id, frame_idx, {draw('angle')} * 50e0 + -25e0 AS angle,"
+        + f" {draw('scale')} * 1e0 + 0.5e0 AS scale, {draw('flip')} < 0.5e0 AS flip FROM frames"
     )
 
 
@@ -337,8 +341,8 @@ SELECT class_id, 'all_point' AS method, round(sum(tp / n_truth * envelope), 9) A
 FROM curve GROUP BY 1
 UNION ALL
 SELECT class_id, 'coco101', round(sum(coalesce(precision, 0)) / 101, 9), any_value(n_truth) FROM reached GROUP BY 1""",
-    "coco_ap": f"WITH {COCO_AP} SELECT class_id, min_iou, round(ap, 9) AS ap FROM ap",
-    "coco_map": f"""WITH {COCO_AP}
+    "coco_ap": f"WITH RECURSIVE {COCO_AP} SELECT class_id, min_iou, round(ap, 9) AS ap FROM ap",
+    "coco_map": f"""WITH RECURSIVE {COCO_AP}
 SELECT round(avg(ap), 9) AS map, round(avg(ap) FILTER (min_iou = 0.5), 9) AS map_50,
   round(avg(ap) FILTER (min_iou = 0.75), 9) AS map_75 FROM ap""",
     "metric_rows": f"""WITH {PRF}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from rinkspark.functions.naming import aug_name, file_name, frame_index, frame_label, frame_path
 from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels, runs, tracking
 from rinkspark.plans import fixtures as fx
-from rinkspark.sources.examples import build_examples, example_boxes
+from rinkspark.sources.examples import box_rows, with_objects
 from rinkspark.sources.label_map import parse_label_maps
 from rinkspark.sources.landing import landing_status
 from rinkspark.streaming.alerts import class_ids, goal_alerts
@@ -111,8 +111,8 @@ def label_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def example_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    # a low bound, so that the split of crowded frames is exercised
-    return example_boxes(build_examples(fx.frames(spark, d), fx.truth(spark, d), max_boxes=3))
+    whole = with_objects(fx.frames(spark, d), box_rows(fx.truth(spark, d)))
+    return whole.select("video_id", "frame_idx", F.explode("objects").alias("o")).select("video_id", "frame_idx", "o.*")
 
 
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,7 @@ def metric_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _tracks(spark: SparkSession, d: str, algorithm: str = "iou") -> DataFrame:
     det = fx.motion(spark, d)
-    return tracking.track(det, fx.start_boxes(det), fx.motion_frames(spark, d), algorithm, chunk_frames=256)
+    return tracking.track(det, fx.start_boxes(det), fx.motion_frames(spark, d), algorithm, chunk_boxes=512)
 
 
 def track_iou(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # frames are wide: an Arrow batch is bounded by its bytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -23,18 +25,12 @@ def build_session(app: str = "rinkspark", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set one only where none is named."""
+    """Use the cluster's ``spark.checkpoint.dir``; where none is named, a folder under the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-            return
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rinkspark-checkpoint-"))
+        # All executors share the warehouse, too; a machine's own folder would hide a missing setting.
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
 
 
 def for_python(df: DataFrame, *keys: str) -> DataFrame:

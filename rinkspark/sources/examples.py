@@ -1,4 +1,8 @@
-"""Training examples: frames with their boxes, as parquet."""
+"""Training examples as two tables: frames, and their boxes keyed by frame.
+
+A frame's boxes are rows, not an array, so a crowded frame is no larger a row than any other, and
+pixels are not shuffled to meet their boxes.
+"""
 
 from __future__ import annotations
 
@@ -7,51 +11,31 @@ from pyspark.sql import functions as F
 
 from rinkspark.operators.detections import FRAME
 
-MAX_BOXES_PER_EXAMPLE = 1000
+
+def box_rows(boxes: DataFrame, id_col: str = "gt_id") -> DataFrame:
+    """``video_id, frame_idx, id, class_id, x, y, w, h``"""
+    return boxes.select(*FRAME, F.col(id_col).alias("id"), "class_id", *"xywh")
 
 
-def build_examples(
-    frames: DataFrame, boxes: DataFrame, max_boxes: int = MAX_BOXES_PER_EXAMPLE, id_col: str = "gt_id"
-) -> DataFrame:
-    """One example per frame with ``objects ARRAY<STRUCT<id, class_id, x, y, w, h>>`` sorted by id.
+def export_examples(frames: DataFrame, boxes: DataFrame, path: str, id_col: str = "gt_id", max_frames_per_file: int = 1000) -> None:
+    """Write ``frames`` and ``boxes`` under ``path``, replacing what was there.
 
-    A frame with more than ``max_boxes`` boxes is split by a hash of the id into several
-    examples, numbered by ``part``; part 0 carries the image and other frame columns.
+    Frames stay in the task that made them. Boxes are sorted by frame, so that a reader of one video
+    skips the others' files; the number of files follows from their size.
     """
-    crowded = (
-        boxes.groupBy(*FRAME)
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > max_boxes)
-        .select(*FRAME, F.ceil(F.col("n") / max_boxes).alias("n_parts"))
-    )
-    part = F.when(F.col("n_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(id_col), F.col("n_parts")))
-    objects = (
-        boxes.join(crowded, list(FRAME), "left")
-        .select(
-            *FRAME,
-            part.cast("int").alias("part"),
-            F.struct(F.col(id_col).alias("id"), "class_id", *"xywh").alias("object"),
-        )
-        .groupBy(*FRAME, "part")
-        .agg(F.sort_array(F.collect_list("object")).alias("objects"))
-    )
-    heads = frames.withColumn("part", F.lit(0))
-    return heads.join(objects, [*FRAME, "part"], "full").withColumn(
-        "objects", F.coalesce("objects", F.array().cast(objects.schema["objects"].dataType))
-    )
-
-
-def export_examples(
-    frames: DataFrame, boxes: DataFrame, path: str, shards: int, max_boxes: int = MAX_BOXES_PER_EXAMPLE, id_col: str = "gt_id"
-) -> None:
-    """Write :func:`build_examples` as ``shards`` files, replacing what was there."""
-    build_examples(frames, boxes, max_boxes, id_col).repartition(shards).write.mode("overwrite").parquet(path)
-
-
-def read_examples(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.parquet(*paths)
-
-
-def example_boxes(examples: DataFrame) -> DataFrame:
-    """Back to one row per box."""
-    return examples.select(*FRAME, F.explode("objects").alias("o")).select(*FRAME, "o.*")
+    frames.write.mode("overwrite").option("maxRecordsPerFile", max_frames_per_file).parquet(f"{path}/frames")
+    ordered = box_rows(boxes, id_col).repartitionByRange(*FRAME).sortWithinPartitions(*FRAME, "id")
+    ordered.write.mode("overwrite").parquet(f"{path}/boxes")
+
+
+def read_examples(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """Frames and boxes of one or more exports."""
+    return tuple(spark.read.parquet(*[f"{p}/{part}" for p in paths]) for part in ("frames", "boxes"))
+
+
+def with_objects(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Frames with their boxes as an array, for a consumer that wants whole examples of ordinary size."""
+    fields = [c for c in boxes.columns if c not in FRAME]
+    gathered = boxes.groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("objects"))
+    joined = frames.join(gathered, list(FRAME), "left")
+    return joined.withColumn("objects", F.coalesce("objects", F.array().cast(gathered.schema["objects"].dataType)))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.operators.detections import EVAL_SCORE, FRAME, MAX_CLASSES, bounded_labels, trim_detections
+from rinkspark.operators.detections import EVAL_SCORE, FRAME, one_name_per_id, trim_detections
 from rinkspark.operators.goals import goal_messages
 
 
-def class_ids(label_map: DataFrame, name: str = "goal", max_classes: int = MAX_CLASSES) -> list[int]:
-    """Ids of a label; reads at most ``max_classes`` rows to the driver, at plan time."""
-    labels = bounded_labels(label_map, max_classes).filter(F.col("name") == name)
+def class_ids(label_map: DataFrame, name: str = "goal") -> list[int]:
+    """Ids of one label, read at plan time; a label map has no more ids than its text lists."""
+    labels = one_name_per_id(label_map).filter(F.col("name") == name)
     return sorted(row["id"] for row in labels.select("id").collect())
 
 

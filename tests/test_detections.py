@@ -63,14 +63,24 @@ def test_labels_thresholds_and_text(spark):
     )
     named = detections.with_labels(det, label_map)
     text = detections.display_text(F.col("name"), F.col("score"))
-    assert rows(named, "det_pos", text) == [(0, "player: 30%"), (1, "puck: 31%"), (2, "N/A: 50%"), (3, "N/A: 100%")]
+    assert rows(named, "det_pos", text) == [(0, "player: 30%"), (1, "puck: 31%"), (2, "N/A: 50%"), (3, "too far: 100%")]
     assert detections.above_score(det, 0.3).count() == 3
     assert detections.above_score(det, 0.3, strict=False).count() == 4
 
 
-def test_label_map_is_bounded(spark):
-    flood = spark.range(5000).select((F.col("id") % 300).cast("int").alias("id"), F.lit("x").alias("name"))
-    assert detections.bounded_labels(flood).count() == 90
+def test_every_label_given_is_joined_once(spark):
+    labels = spark.createDataFrame([(95, "late", 0), (3, "z first", 1), (3, "a second", 2)], "id int, name string, pos int")
+    det = spark.createDataFrame([(0, 0, 0, 95), (0, 0, 1, 3), (0, 0, 2, None)], "video_id long, frame_idx long, det_pos long, class_id long")
+    assert rows(detections.with_labels(det, labels), "det_pos", "name") == [(0, "late"), (1, "z first"), (2, "N/A")]
+
+
+def test_null_arrays_cost_no_rows(spark):
+    table = spark.createDataFrame(
+        [(0, 0, 2, [[0.0] * 4, [1.0] * 4], [1, 2], [0.5, 0.6], None)],
+        "video_id long, frame_idx long, num_detections int, detection_boxes array<array<double>>, detection_classes array<bigint>, detection_scores array<double>, masks array<int>",
+    )
+    got = detections.explode_detections(table)
+    assert rows(got, "det_pos", "class_id", "masks") == [(0, 1, None), (1, 2, None)]
 
 
 def test_top_boxes_limits_before_the_shuffle(spark):
@@ -137,11 +147,15 @@ def test_names(spark):
 
 
 def test_sampling(spark):
-    table = spark.createDataFrame([(v, f) for v in (1, 2, 3) for f in range(100)], "video_id long, frame_idx long")
+    everything = spark.createDataFrame([(v, f) for v in (1, 2, 3) for f in range(100)], "video_id long, frame_idx long")
+    table = everything.filter("video_id < 3")
     videos = spark.createDataFrame([(1, 29.97), (2, 1.0), (4, 0.5)], "video_id long, fps double")
     got = rows(frames.sample_frames(table, videos), "video_id", "frame_idx")
     assert [r[1] for r in sorted(got) if r[0] == 1] == [0, 29, 58, 87]
-    assert sum(r[0] == 2 for r in got) == 100 and not any(r[0] == 3 for r in got)
+    assert sum(r[0] == 2 for r in got) == 100
+    with pytest.raises(Exception, match="no frame rate for video 3"):
+        frames.sample_frames(everything, videos).collect()
+    assert rows(frames.sample_frames(everything, videos, on_zero="skip"), "video_id", "frame_idx") == got
     slow = spark.createDataFrame([(1, 0.5), (2, 30.0)], "video_id long, fps double")
     with pytest.raises(Exception, match="below one frame"):
         frames.sample_frames(table, slow).collect()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rinkspark.plans import lifecycle
-from rinkspark.sources.examples import example_boxes, read_examples
+from rinkspark.sources.examples import read_examples
 
 from helpers import DET, TRUTH, image_rows, pixels_of, random_scene, rows
 
@@ -56,10 +56,10 @@ def test_prepare_training(spark, tmp_path):
     frames = image_rows(spark, black(10)).withColumn("name", F.concat(F.lit("frame"), F.col("frame_idx").cast("string"), F.lit(".jpg")))
     videos = spark.createDataFrame([(0, 4.9)], "video_id long, fps double")
     truth = spark.createDataFrame([(0, f, 1, f, 1.0, 1.0, 2.0, 2.0) for f in range(10)], TRUTH)
-    lifecycle.prepare_training(frames, videos, truth, str(tmp_path / "train"), shards=1)
-    back = read_examples(spark, str(tmp_path / "train"))
+    lifecycle.prepare_training(frames, videos, truth, str(tmp_path / "train"))
+    back, objects = read_examples(spark, str(tmp_path / "train"))
     assert rows(back, "frame_idx", "label") == [(0, "frame0"), (4, "frame4"), (8, "frame8")]
-    assert rows(example_boxes(back), "id") == [(0,), (4,), (8,)]
+    assert rows(objects, "id") == [(0,), (4,), (8,)]
     both = lifecycle.augmented_training_frames(frames, seed=1)
     assert both.count() == 20 and both.filter("name LIKE 'aug_frame%'").count() == 10
 

@@ -101,7 +101,7 @@ def curve_rule(points, n_truth):
     return out, ap, ap101
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 65536])
+@pytest.mark.parametrize("buckets", [2, 7, 500])
 def test_curve_equals_the_sequential_rule(spark, monkeypatch, buckets):
     import random
 
@@ -127,7 +127,7 @@ def test_coco_ap_equals_matching_at_each_threshold(spark):
     got = {(r.class_id, r.min_iou): r.ap for r in curves.coco_ap(d, g).collect()}
     assert len(got) == 20
     for t in (0.5, 0.7, 0.95):
-        for r in curves.average_precision(matching.match_voc(d, g, t), g, "coco101").collect():
+        for r in curves.average_precision(matching.match_coco(d, g, t), g, "coco101").collect():
             assert got[(r.class_id, t)] == pytest.approx(r.ap, abs=1e-12)
 
 
@@ -157,3 +157,32 @@ def test_reach_covers_every_partner(b, t, sx, sy, rw, rh):
 def test_bad_threshold():
     with pytest.raises(ValueError):
         iou_reach(0)
+
+
+def test_null_ids_and_scores_come_last(spark):
+    det = [(0, 0, 1, 1, 10.0, 10.0, 20.0, 20.0, None), (0, 0, 1, 2, 10.0, 10.0, 20.0, 20.0, 0.1), (0, 0, 1, None, 10.0, 10.0, 20.0, 20.0, 0.9)]
+    d = spark.createDataFrame(det, "video_id long, frame_idx long, class_id long, det_id long, x double, y double, w double, h double, score double")
+    truth = [(0, 0, 1, 5, 10.0, 10.0, 20.0, 20.0), (0, 0, 1, None, 10.0, 10.0, 20.0, 20.0)]
+    t = spark.createDataFrame(truth, TRUTH)
+    for match in (matching.match_voc, matching.match_coco):
+        got = {r.det_id: r.tp for r in match(d, t).collect()}
+        assert got == {1: False, 2: True, None: False}, match
+
+
+def test_greedy_ap_of_two_overlapping_truths(spark):
+    truth = spark.createDataFrame([(0, 0, 1, k, 10.0 + 4 * k, 10.0, 20.0, 20.0) for k in (0, 1)], TRUTH)
+    det = spark.createDataFrame(
+        [(0, 0, 1, 1, 10.0, 10.0, 20.0, 20.0, 0.9), (0, 0, 1, 2, 11.0, 10.0, 20.0, 20.0, 0.8)],
+        "video_id long, frame_idx long, class_id long, det_id long, x double, y double, w double, h double, score double",
+    )
+    assert curves.coco_ap(det, truth, ious=(0.5,)).first().ap == 1.0
+
+
+def test_unscored_and_unclassed_detections_stay_in_the_curve(spark):
+    data = [(1, 3.5, True), (1, -2.0, False), (1, None, True), (None, 1200.0, True), (None, None, False)]
+    matches = spark.createDataFrame(data, "class_id int, score double, tp boolean")
+    truth = spark.createDataFrame([(1,), (1,), (None,)], "class_id int")
+    got = {(r.class_id, r.score): (r.cum_n, r.cum_tp, r.n_truth) for r in curves.pr_curve(matches, truth).collect()}
+    assert got == {(1, 3.5): (1, 1, 2), (1, -2.0): (2, 1, 2), (1, None): (3, 2, 2), (None, 1200.0): (1, 1, 1), (None, None): (2, 1, 1)}
+    prf = {r.class_id: (r.n_det, r.n_truth) for r in matching.detection_prf(matches, truth).collect()}
+    assert prf == {1: (3, 2), None: (2, 1)}

@@ -32,10 +32,29 @@ def test_tensor(spark, pictures):
 
 def test_tensor_rejects_a_wrong_length(spark):
     bad = image_rows(spark, [picture(1, 2, 2)]).withColumn("image", F.col("image").withField("height", F.lit(3)))
-    with pytest.raises(Exception, match="three-channel"):
+    with pytest.raises(Exception, match="channels"):
         pixels.image_tensor(bad).collect()
 
 
+def test_grey_alpha_and_undecoded_images(spark):
+    grey, colour = np.arange(6, dtype=np.uint8).reshape(2, 3, 1), np.arange(24, dtype=np.uint8).reshape(2, 3, 4)
+    data = [(0, 0, ("g", 2, 3, 1, 0, grey.tobytes())), (0, 1, ("a", 2, 3, 4, 24, colour.tobytes())), (0, 2, ("bad", -1, -1, -1, -1, b"")), (0, 3, None)]
+    frames = spark.createDataFrame(
+        data, "video_id long, frame_idx long, image struct<origin:string, height:int, width:int, nChannels:int, mode:int, data:binary>"
+    )
+    swapped = {r.frame_idx: r.image for r in pixels.swap_channels(frames).collect()}
+    assert bytes(swapped[0].data) == np.repeat(grey, 3, axis=2).tobytes() and swapped[0].nChannels == 3 and swapped[0].mode == 16
+    assert bytes(swapped[1].data) == colour[..., 2::-1].tobytes()
+    assert (swapped[2].height, swapped[2].nChannels, swapped[3]) == (-1, -1, None)
+    tensors = {r.frame_idx: r.tensor for r in pixels.image_tensor(frames).collect()}
+    assert len(tensors[0]) == 18 and tensors[2] is None and tensors[3] is None
+    changed = {r.frame_idx: r.image for r in pixels.augment(frames, 5).collect()}
+    assert len(changed[1].data) == 3 * changed[1].height * changed[1].width and changed[2].height == -1
+    boxes = spark.createDataFrame([(0, f, 0.0, 0.0, 1.0, 1.0) for f in range(4)], "video_id long, frame_idx long, x double, y double, w double, h double")
+    drawn = {r.frame_idx: r.image for r in pixels.draw_boxes(frames, boxes).collect()}
+    assert drawn[0].nChannels == 3 and drawn[2].height == -1
+
+
 def test_augmentation_parameters(spark):
     frames = spark.range(20000).select((F.col("id") % 7).alias("video_id"), F.col("id").alias("frame_idx"))
     params = pixels.aug_params(frames, 1)
@@ -49,6 +68,11 @@ def test_augmentation_parameters(spark):
     assert 0.5 <= s[3] and s[4] < 1.5 and 0.48 < s[5] < 0.52
     assert abs(s[6]) < 0.05 and abs(s[7]) < 0.05
     assert pixels.aug_params(frames, 2).join(params, ["video_id", "frame_idx", "angle"]).count() < 100
+    one = params.filter("video_id = 0").orderBy("frame_idx").toPandas()
+    for lag in range(1, 9):  # neither steps nor waves over the frames of a video
+        assert abs(one["angle"].autocorr(lag)) < 0.08 and abs(one["flip"].astype(float).autocorr(lag)) < 0.08
+    shifted = pixels.aug_params(frames, 2).withColumn("frame_idx", F.col("frame_idx") + 1)
+    assert shifted.join(params, ["frame_idx", "angle"]).count() < 100
     huge = spark.createDataFrame([(2**62, 2**62)], "video_id long, frame_idx long")
     assert pixels.aug_params(huge, 2**31).count() == 1
 

@@ -4,40 +4,41 @@ import re
 
 import pytest
 
-from __spark_entry__ import SMOKE_DIR, queries
+from __spark_entry__ import SMOKE_DIR
 from rinkspark.operators import detections, matching
 from rinkspark.plans import fixtures as fx
+from rinkspark.plans.queries import QUERIES
 
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_pairing_without_keys_and_no_row_udfs(spark, name):
-    plan = plan_of(queries()[name](spark, SMOKE_DIR))
+    plan = plan_of(QUERIES[name](spark, SMOKE_DIR))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "SinglePartition"):
         assert bad not in plan or (bad == "SinglePartition" and name == "coco_map")
 
 
 def test_scan_reads_only_what_it_needs(spark):
-    plan = plan_of(queries()["latest_checkpoint"](spark, SMOKE_DIR))
+    plan = plan_of(QUERIES["latest_checkpoint"](spark, SMOKE_DIR))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
-    plan = plan_of(queries()["top_boxes"](spark, SMOKE_DIR))
+    plan = plan_of(QUERIES["top_boxes"](spark, SMOKE_DIR))
     assert "l_shipdate" not in plan and "l_tax" not in plan
     plan = plan_of(fx.motion(spark, SMOKE_DIR))
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))]" in plan
 
 
-def test_only_the_label_map_is_broadcast_by_hint(spark):
+def test_nothing_is_broadcast_by_hint(spark):
     label_map = fx.label_map(spark)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        hinted = {n for n, q in queries().items() if "BroadcastHashJoin" in plan_of(q(spark, SMOKE_DIR))}
+        hinted = {n for n, q in QUERIES.items() if "BroadcastHashJoin" in plan_of(q(spark, SMOKE_DIR))}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert hinted == {"goal_frames", "goal_containment", "contained_pairs", "goal_messages", "labelled_detections", "overlay_rows"}
+    assert hinted == set()
     assert detections.with_labels(fx.scene(spark, SMOKE_DIR), label_map).count() == fx.scene(spark, SMOKE_DIR).count()
 
 

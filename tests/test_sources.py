@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from rinkspark.functions.naming import file_name, frame_label
 from rinkspark.operators.pixels import decode_audit
-from rinkspark.sources.examples import build_examples, example_boxes, export_examples, read_examples
+from rinkspark.sources.examples import box_rows, export_examples, read_examples, with_objects
 from rinkspark.sources.frames import read_frames, scan_images, write_frames
-from rinkspark.sources.label_map import read_label_map
+from rinkspark.sources.label_map import parse_label_maps, read_label_map
 from rinkspark.sources.landing import landing_status, list_files
 
 from helpers import TRUTH, image_rows, picture, pixels_of, png, rows
@@ -79,19 +79,28 @@ def test_examples(spark, tmp_path):
     truth = [(0, 0, 1, i, float(i), 0.0, 5.0, 5.0) for i in range(1000)] + [(0, 1, 2, 7, 1.0, 2.0, 3.0, 4.0)]
     boxes = spark.createDataFrame(truth, TRUTH)
     for p in ("train", "val"):
-        export_examples(frames, boxes, str(tmp_path / p), shards=2, max_boxes=100)
-    assert len([f for f in os.listdir(tmp_path / "train") if f.endswith(".parquet")]) == 2
-    back = read_examples(spark, str(tmp_path / "train"))
-    assert rows(example_boxes(back), "frame_idx", "id", "class_id", "x") == sorted(
-        ((r[1], r[3], r[2], r[4]) for r in truth), key=repr
-    )
-    split = back.filter("frame_idx = 0")
-    assert split.count() == 10 and split.agg(F.max(F.size("objects"))).first()[0] < 200
-    assert rows(back.filter("image IS NOT NULL"), "frame_idx", "part") == [(0, 0), (1, 0), (2, 0)]
-    assert back.filter("frame_idx = 2").first().objects == []
-    assert read_examples(spark, str(tmp_path / "train"), str(tmp_path / "val")).count() == 2 * back.count()
-    one = build_examples(frames.drop("image"), boxes.filter("frame_idx = 1")).filter("frame_idx = 1").first()
-    assert [tuple(o) for o in one.objects] == [(7, 2, 1.0, 2.0, 3.0, 4.0)]
+        export_examples(frames, boxes, str(tmp_path / p))
+    back, objects = read_examples(spark, str(tmp_path / "train"))
+    assert rows(objects, "frame_idx", "id", "class_id", "x") == sorted(((r[1], r[3], r[2], r[4]) for r in truth), key=repr)
+    assert rows(back, "frame_idx") == [(0,), (1,), (2,)] and back.filter("image IS NULL").count() == 0
+    both = read_examples(spark, str(tmp_path / "train"), str(tmp_path / "val"))
+    assert both[0].count() == 6 and both[1].count() == 2 * len(truth)
+    whole = {r.frame_idx: r.objects for r in with_objects(frames.drop("image"), box_rows(boxes)).collect()}
+    assert len(whole[0]) == 1000 and whole[2] == [] and [tuple(o) for o in whole[1]] == [(7, 2, 1.0, 2.0, 3.0, 4.0)]
+
+
+def test_label_map_text_that_only_looks_like_items(spark):
+    text = """
+# item { id: 8 name: 'commented out' }
+item { name: 'row id: 9' id: 2 }
+item { id: 3 display_name: "brace } # here" keypoints { id: 77 label: "x" } }
+item {
+  id: 4  # id: 5
+  name: "it's"
+}
+"""
+    maps = spark.createDataFrame([(text,)], "value string")
+    assert rows(parse_label_maps(maps), "id", "name") == [(2, "row id: 9"), (3, "brace } # here"), (4, "it's")]
 
 
 def test_label_map(spark, tmp_path):

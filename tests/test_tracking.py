@@ -23,22 +23,41 @@ def tables(spark, det, init, listed):
 
 
 @pytest.mark.parametrize(
-    "seed,algorithm,chunk", [(1, "iou", 16), (2, "iou", 7), (3, "iou", 1000), (4, "centroid", 10), (5, "centroid", 50)]
+    "seed,algorithm,chunk", [(1, "iou", 64), (2, "iou", 1), (3, "iou", 100_000), (4, "centroid", 40), (5, "centroid", 200)]
 )
 def test_track_equals_the_sequential_rule(spark, seed, algorithm, chunk):
     det, listed = random_motion(seed, videos=3, frames=200, objects=4)
     init = starts(det, 3)
     d, i, f = tables(spark, det, init, listed)
     want = track_rule(det, init, listed, algorithm)
-    got = rows(tracking.track(d, i, f, algorithm, chunk_frames=chunk, cell_px=64), *OUT)
+    got = rows(tracking.track(d, i, f, algorithm, chunk_boxes=chunk, cell_px=64), *OUT)
     assert got == want
     assert {r[3] for r in want} == {True, False}
-    doubled = tracking.track(d, i, f, algorithm, chunk_frames=chunk, route_rows=0)
-    assert rows(doubled, *OUT) == want
-    per_frame = [sum(1 for _ in {x[3:] for x in det if x[:2] == k}) for k in set(listed)]
-    assert any(n > 3 for n in per_frame) and any(n <= 3 for n in per_frame)
-    crowded = tracking.track(d, i, f, algorithm, chunk_frames=chunk, frame_boxes=3)
-    assert rows(crowded, *OUT) == want
+
+
+@pytest.mark.parametrize("algorithm", ["iou", "centroid"])
+def test_a_crowded_frame(spark, algorithm):
+    det = [(0, 1, k, float(k % 200 * 60), float(k // 200 * 60), 40.0, 40.0) for k in range(30_000)]
+    det += [(0, f, 100_000 + f, 605.0, 602.0, 40.0, 40.0) for f in (2, 3)]
+    init = [(0, 0, 0, 602.0, 601.0, 40.0, 40.0)]
+    d, i, f = tables(spark, det, init, [(0, f) for f in range(4)])
+    got = rows(tracking.track(d, i, f, algorithm), *OUT)
+    assert [r[2:5] for r in got] == [(1, True, 600.0), (2, True, 605.0), (3, True, 605.0)]
+
+
+def test_ids_of_any_type(spark):
+    det = [("cam", f, f"d{f}", 10.0 + f, 10.0, 30.0, 30.0) for f in range(6)]
+    d = spark.createDataFrame(det, "video_id string, frame_idx long, det_id string, x double, y double, w double, h double")
+    i = spark.createDataFrame([("cam", 0, 7, 10.0, 10.0, 30.0, 30.0)], "video_id string, frame_idx long, track_id long, x double, y double, w double, h double")
+    got = tracking.track(d, i, chunk_boxes=2).orderBy("frame_idx").collect()
+    assert [(r.track_id, r.frame_idx, r.success, r.x) for r in got] == [(7, f, True, 10.0 + f) for f in range(1, 6)]
+
+
+def test_path_needs_no_frame_rate(spark):
+    table = spark.createDataFrame([(0, 0, f, True, 10.0 * f, 0.0, 2.0, 2.0) for f in range(4)], "video_id long, track_id long, frame_idx long, success boolean, x double, y double, w double, h double")
+    videos = spark.createDataFrame([(5, 25.0)], "video_id long, fps double")
+    row = tracking.track_summary(table, videos).first()
+    assert row.path_length == 30.0 and row.mean_speed is None and row.max_speed is None
 
 
 def test_one_long_video_spans_chunks(spark):
@@ -48,7 +67,7 @@ def test_one_long_video_spans_chunks(spark):
     init = [(0, 0, 0, 100.0, 50.0, 60.0, 90.0), (1, 0, 0, 10.0, 10.0, 20.0, 20.0)]
     listed = [(0, f) for f in range(300)] + [(1, f) for f in range(3)]
     d, i, f = tables(spark, det, init, listed)
-    got = rows(tracking.track(d, i, f, chunk_frames=20), *OUT)
+    got = rows(tracking.track(d, i, f, chunk_boxes=20), *OUT)
     assert got == track_rule(det, init, listed)
     assert sum(not r[3] for r in got) == 130
 
@@ -97,7 +116,7 @@ def test_stream_equals_batch(spark, tmp_path, algorithm):
     query.processAllAvailable()
     query.stop()
     got = spark.table(f"tracks_{algorithm}")
-    assert rows(got, *OUT) == rows(tracking.track(d, i, f, algorithm, chunk_frames=16), *OUT)
+    assert rows(got, *OUT) == rows(tracking.track(d, i, f, algorithm, chunk_boxes=64), *OUT)
     assert got.agg(F.max("late_dropped")).first()[0] == 0
 
 
