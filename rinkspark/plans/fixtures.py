@@ -177,6 +177,40 @@ def start_boxes(det: DataFrame) -> DataFrame:
     )
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One picture of 2 x 2 pixels per order: grey, colour, colour with alpha, or not decoded."""
+    digest = F.unhex(F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+    channels = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4), F.lit(-1)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    side = F.when(channels > 0, F.lit(2)).otherwise(F.lit(-1))
+    data = F.when(channels > 0, F.substring(digest, F.lit(1), channels * 4)).otherwise(F.unhex(F.lit("")))
+    image = F.struct(
+        F.lit("").alias("origin"), side.alias("height"), side.alias("width"), channels.alias("nChannels"), F.lit(-1).alias("mode"), data.alias("data")
+    )
+    return table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % VIDEOS).alias("video_id"),
+        F.floor(F.col("o_orderkey") / VIDEOS).cast("bigint").alias("frame_idx"),
+        image.alias("image"),
+    )
+
+
+def raw_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The players of :func:`motion` as raw detector output, boxes normalised; some frames hold none."""
+    det = motion(spark, sf_dir)
+    corner = F.array(F.col("y") / HEIGHT, F.col("x") / WIDTH, (F.col("y") + F.col("h")) / HEIGHT, (F.col("x") + F.col("w")) / WIDTH)
+    one = det.select("video_id", "frame_idx", F.struct("det_id", corner.alias("box")).alias("d"))
+    found = one.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    every = motion_frames(spark, sf_dir).join(found, ["video_id", "frame_idx"], "left")
+    every = every.withColumn("d", F.coalesce("d", F.array().cast(found.schema["d"].dataType)))
+    return every.select(
+        "video_id",
+        "frame_idx",
+        F.size("d").cast("double").alias("num_detections"),
+        F.col("d.box").alias("detection_boxes"),
+        F.transform("d", lambda x: F.lit(1.0)).alias("detection_classes"),
+        F.transform("d", lambda x: F.lit(0.9)).alias("detection_scores"),
+    )
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("val_loss")

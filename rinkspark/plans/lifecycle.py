@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkspark.functions.naming import aug_name, frame_label
-from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels
+from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels, tracking
 from rinkspark.sources.examples import export_examples
+from rinkspark.sources.frames import keyed_frames, scan_images, write_frames
 
 
 def recognise_goals(
@@ -65,6 +66,41 @@ def augmented_training_frames(labelled: DataFrame, seed: int) -> DataFrame:
     return frames.training_frames(labelled, copies)
 
 
+def folder_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The images of a folder as keyed frames; files that cannot be decoded are left out."""
+    return keyed_frames(scan_images(spark, path, drop_invalid=True))
+
+
+def augment_folder(spark: SparkSession, path: str, out: str, seed: int) -> None:
+    """One augmented copy of each image of a folder, named ``aug_...``, written as frames."""
+    copies = pixels.augment(folder_frames(spark, path), seed)
+    write_frames(copies.withColumn("name", aug_name(F.col("name"))), out)
+
+
+def label_folder(spark: SparkSession, path: str, out: str) -> None:
+    """The images of a folder with their labels, written as frames."""
+    write_frames(folder_frames(spark, path).withColumn("label", frame_label(F.col("name"))), out)
+
+
+def score_image(spark: SparkSession, path: str, make_predict_fn: Callable, height: int, width: int) -> DataFrame:
+    """Raw detections of a model on one image (or a folder of images) of the given size."""
+    return models.detect(keyed_frames(scan_images(spark, path, suffixes=None, drop_invalid=True)), make_predict_fn, height, width)
+
+
+def follow_players(
+    raw: DataFrame, init_boxes: DataFrame, videos: DataFrame, height: int, width: int, algorithm: str = "iou",
+    min_score: float = detections.DRAW_SCORE,
+) -> tuple[DataFrame, DataFrame]:
+    """From raw detections to annotated track rows and one summary per track.
+
+    ``init_boxes`` are in pixels. The annotated rows that succeed have the columns ``draw_boxes`` wants.
+    """
+    found = detections.above_score(detections.explode_detections(detections.trim_detections(raw)), min_score)
+    det = detections.to_pixels(found, width, height).withColumnRenamed("det_pos", "det_id")
+    followed = tracking.track(det, init_boxes, raw.select(*detections.FRAME), algorithm)
+    return tracking.annotate_tracks(followed), tracking.track_summary(followed, videos)
+
+
 def evaluate(
     det: DataFrame,
     truth: DataFrame,

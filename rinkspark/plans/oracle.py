@@ -248,6 +248,15 @@ def _aug() -> str:
     )
 
 
+PICTURES = """
+pictures AS (
+  SELECT o_orderkey % 16 AS video_id, CAST(floor(o_orderkey / 16) AS BIGINT) AS frame_idx,
+    md5(CAST(o_orderkey AS VARCHAR)) AS hex, [1, 3, 4, -1][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS channels FROM orders),
+colours AS (
+  SELECT *, CASE WHEN channels > 0 THEN list_transform(range(4), lambda i: CASE WHEN channels = 1
+    THEN repeat(substr(hex, CAST(1 + 2 * i AS BIGINT), 2), 3) ELSE substr(hex, CAST(1 + 2 * channels * i AS BIGINT), 6) END) END AS px
+  FROM pictures)"""
+
 ORACLE: dict[str, str] = {
     "goal_frames": f"WITH {GOALS} SELECT * FROM goals",
     "goal_containment": f"""WITH {SCENE}
@@ -378,6 +387,26 @@ FROM checkpoints QUALIFY age_rank <= 5""",
     "latest_checkpoint": f"WITH {CHECKPOINTS} SELECT run_id, max(step) AS step, arg_max(path, step) AS path FROM checkpoints GROUP BY 1",
     "frames_in_order": f"WITH {FRAMES} SELECT * FROM frames ORDER BY video_id, frame_idx",
     "aug_params": _aug(),
+    "channel_swap": f"""WITH {PICTURES}
+SELECT video_id, frame_idx, CASE WHEN channels < 0 THEN '' ELSE array_to_string(list_transform(px,
+  lambda p: substr(p, 5, 2) || substr(p, 3, 2) || substr(p, 1, 2)), '') END AS data,
+  CASE WHEN channels < 0 THEN -1 ELSE 3 END AS channels FROM colours""",
+    "tensor_sums": f"""WITH {PICTURES}
+SELECT video_id, frame_idx, CAST(list_sum(list_transform(px, lambda p: CAST('0x' || substr(p, 1, 2) AS INTEGER)
+  + CAST('0x' || substr(p, 3, 2) AS INTEGER) + CAST('0x' || substr(p, 5, 2) AS INTEGER))) AS DOUBLE) AS total FROM colours""",
+    "decode_counts": f"""WITH {PICTURES}
+SELECT count(*) FILTER (channels > 0) AS loaded, count(*) FILTER (channels < 0) AS skipped FROM pictures""",
+    "augmented_sizes": f"""WITH {PICTURES}, drawn AS ({_aug()}),
+sized AS (
+  SELECT p.video_id, p.frame_idx, channels, greatest(1, CAST(floor(2 * scale + 0.5e0) AS INTEGER)) AS side
+  FROM pictures p JOIN drawn USING (video_id, frame_idx))
+SELECT video_id, frame_idx, CASE WHEN channels < 0 THEN -1 ELSE side END AS height,
+  CASE WHEN channels < 0 THEN -1 ELSE side END AS width,
+  CAST(CASE WHEN channels < 0 THEN 0 ELSE 3 * side * side END AS BIGINT) AS n_bytes FROM sized""",
     "score_linear": """SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) AS prediction
 FROM embeddings""",
 }
+# Following players from raw detections sees the same boxes as following them from pixel rows.
+ORACLE["players_summary"] = f"""WITH tracks AS ({ORACLE['track_iou']})
+SELECT video_id, track_id, count(*) FILTER (success) AS frames_seen, count(*) FILTER (NOT success) AS failures
+FROM tracks GROUP BY 1, 2"""

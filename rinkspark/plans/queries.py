@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from rinkspark.functions.naming import aug_name, file_name, frame_index, frame_label, frame_path
 from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels, runs, tracking
 from rinkspark.plans import fixtures as fx
+from rinkspark.plans import lifecycle
 from rinkspark.sources.examples import box_rows, with_objects
 from rinkspark.sources.label_map import parse_label_maps
 from rinkspark.sources.landing import landing_status
@@ -245,6 +246,33 @@ def aug_params(spark: SparkSession, d: str) -> DataFrame:
     return pixels.aug_params(fx.frames(spark, d), AUG_SEED)
 
 
+def channel_swap(spark: SparkSession, d: str) -> DataFrame:
+    swapped = pixels.swap_channels(fx.pictures(spark, d))
+    return swapped.select("video_id", "frame_idx", F.lower(F.hex("image.data")).alias("data"), F.col("image.nChannels").alias("channels"))
+
+
+def tensor_sums(spark: SparkSession, d: str) -> DataFrame:
+    total = F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return pixels.image_tensor(fx.pictures(spark, d)).select("video_id", "frame_idx", total.alias("total"))
+
+
+def decode_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.decode_audit(fx.pictures(spark, d))
+
+
+def augmented_sizes(spark: SparkSession, d: str) -> DataFrame:
+    grown = pixels.augment(fx.pictures(spark, d), AUG_SEED)
+    size = F.octet_length("image.data").cast("bigint")
+    return grown.select("video_id", "frame_idx", F.col("image.height").alias("height"), F.col("image.width").alias("width"), size.alias("n_bytes"))
+
+
+def players_summary(spark: SparkSession, d: str) -> DataFrame:
+    det = fx.motion(spark, d)
+    videos = det.select("video_id").distinct().withColumn("fps", F.lit(25.0))
+    summary = lifecycle.follow_players(fx.raw_players(spark, d), fx.start_boxes(det), videos, fx.HEIGHT, fx.WIDTH)[1]
+    return summary.select("video_id", "track_id", "frames_seen", "failures")
+
+
 def frames_in_order(spark: SparkSession, d: str) -> DataFrame:
     return frames.in_frame_order(fx.frames(spark, d))
 
@@ -298,5 +326,10 @@ QUERIES: dict[str, Query] = {
     "latest_checkpoint": latest_checkpoint,
     "frames_in_order": frames_in_order,
     "aug_params": aug_params,
+    "channel_swap": channel_swap,
+    "tensor_sums": tensor_sums,
+    "decode_counts": decode_counts,
+    "augmented_sizes": augmented_sizes,
+    "players_summary": players_summary,
     "score_linear": score_linear,
 }

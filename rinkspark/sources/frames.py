@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinkspark.functions.naming import file_name
+
 IMAGE_SUFFIXES = ("jpg", "png")
 
 
@@ -26,6 +29,20 @@ def scan_images(
     return reader.option("dropInvalid", drop_invalid).load(path)
 
 
+def keyed_frames(images: DataFrame) -> DataFrame:
+    """``video_id, frame_idx, name, image`` of scanned images, from the place each came from.
+
+    ``video_id`` is the name of the folder, ``frame_idx`` the number at the end of the file's stem; a
+    file without one gets a number that follows from its name.
+    """
+    origin = F.col("image.origin")
+    name = file_name(origin)
+    digits = F.regexp_extract(name, r"(\d{1,18})\.[^.]*$", 1)
+    number = F.when(digits != "", digits.cast("bigint")).otherwise(F.xxhash64(name).bitwiseAND(F.lit(2**62 - 1)))
+    folder = F.regexp_extract(origin, r"([^/]+)/[^/]*$", 1)
+    return images.select(folder.alias("video_id"), number.alias("frame_idx"), name.alias("name"), "image")
+
+
 def _image_schema() -> T.StructType:
     ints = [T.StructField(c, T.IntegerType()) for c in ("height", "width", "nChannels", "mode")]
     image = T.StructType([T.StructField("origin", T.StringType()), *ints, T.StructField("data", T.BinaryType())])

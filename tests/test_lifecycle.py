@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rinkspark.plans import lifecycle
 from rinkspark.sources.examples import read_examples
 
-from helpers import DET, TRUTH, image_rows, pixels_of, random_scene, rows
+from helpers import DET, TRUTH, image_rows, picture, pixels_of, png, random_scene, rows
 
 LABELS = [(1, "player"), (2, "puck"), (3, "goal")]
 
@@ -71,3 +71,42 @@ def test_evaluate(spark):
     assert {k for c, k in keys if c is None} == {"map", "map_50", "map_75"}
     assert keys[(None, "map")] == pytest.approx((keys[(1, "ap")] + keys[(2, "ap")]) / 2)
     assert 0 < keys[(1, "precision")] <= 1 and all(r["message"].startswith(r["key"]) for r in out.collect())
+
+
+def test_folders_and_one_image(spark, tmp_path):
+    folder = tmp_path / "camera7"
+    folder.mkdir()
+    for k in (3, 12):
+        (folder / f"frame{k}.png").write_bytes(png(picture(k, 4, 6)))
+    (folder / "cover.png").write_bytes(png(picture(1, 4, 6)))
+    (folder / "broken.png").write_bytes(b"no picture")
+    lifecycle.augment_folder(spark, str(folder), str(tmp_path / "aug"), seed=2)
+    made = spark.read.parquet(str(tmp_path / "aug"))
+    assert {r.name for r in made.collect()} == {"aug_frame3.png", "aug_frame12.png", "aug_cover.png"}
+    lifecycle.label_folder(spark, str(folder), str(tmp_path / "labelled"))
+    got = {r.name: r for r in spark.read.parquet(str(tmp_path / "labelled")).collect()}
+    assert (got["frame12.png"].frame_idx, got["frame12.png"].video_id, got["frame12.png"].label) == (12, "camera7", "frame12")
+    assert got["cover.png"].frame_idx >= 0
+
+    def make():
+        def predict(batch):
+            n = len(batch)
+            return {"num_detections": np.ones(n), "detection_boxes": np.zeros((n, 4)), "detection_classes": np.ones((n, 1)), "detection_scores": batch.mean(axis=(1, 2, 3)).reshape(n, 1)}
+
+        return predict
+
+    one = lifecycle.score_image(spark, str(folder / "frame3.png"), make, 4, 6).collect()
+    assert [(r.name, r.num_detections) for r in one] == [("frame3.png", 1.0)]
+
+
+def test_follow_players(spark):
+    raw = spark.createDataFrame(
+        [(0, f, 2.0, [[0.5, 0.1 + f / 100, 0.9, 0.3 + f / 100], [0.0, 0.0, 0.1, 0.1]], [1.0, 1.0], [0.9, 0.2]) for f in range(6)] + [(0, 6, 0.0, [], [], [])],
+        "video_id long, frame_idx long, num_detections double, detection_boxes array<array<double>>, detection_classes array<double>, detection_scores array<double>",
+    )
+    start = spark.createDataFrame([(0, 0, 10.0, 10.0, 20.0, 8.0)], "video_id long, frame_idx long, x double, y double, w double, h double")
+    videos = spark.createDataFrame([(0, 25.0)], "video_id long, fps double")
+    notes, summary = lifecycle.follow_players(raw, start, videos, 20, 100)
+    assert [r.success for r in notes.orderBy("frame_idx").collect()] == [True] * 5 + [False]
+    row = summary.first()
+    assert row.frames_seen == 5 and row.failures == 1 and row.path_length == pytest.approx(4.0)
