@@ -61,6 +61,21 @@ def word_counts(texts: DataFrame, most: int = 300_000) -> DataFrame:
     return texts.mapInArrow(counted, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Words above a count, the lowest step of a logarithmic scale that leaves ``most`` at most.
+
+    Found from the number of words per step, a few hundred figures; no task gathers all candidates.
+    """
+    stepped = counts.withColumn("step", F.floor(F.log2("n") * 8))
+    held, lowest = 0, None
+    for step, n in sorted(map(tuple, stepped.groupBy("step").count().collect()), reverse=True):
+        held += n
+        if held > most:
+            break
+        lowest = step
+    return (stepped.filter(F.col("step") >= lowest) if lowest is not None else stepped.limit(0)).drop("step")
+
+
 class Lexicon:
     """Known words with their counts; the first ``short`` of them, by falling count, have ids of their own."""
 
@@ -156,7 +171,7 @@ def score_documents(
     total, distinct = total or 0, distinct or 0
     # The end is always in the dictionary: texts cannot hold it, so it cannot be looked up later.
     end, word = counts.filter(F.col("token") == END), counts.filter((F.col("token") != END) & (F.octet_length("token") <= LONGEST))
-    top = word.orderBy(F.desc("n"), "token").limit(dictionary).union(end).toPandas().sort_values(["n", "token"], ascending=[False, True])
+    top = frequent(word, dictionary).union(end).toPandas().sort_values(["n", "token"], ascending=[False, True])
     lex = Lexicon(top["token"].tolist(), top["n"].to_numpy(np.int64), short)
     listed = int(lex.counts[: lex.short].sum())
     lexicon = shared_value(spark, lex)
