@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +32,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that nothing refers to: it does when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove a table that ``staged`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.llm.common import numbered, shuffle_partitions, staged, text_of
+from rinkspark.llm.common import drop_staged, numbered, release, shuffle_partitions, staged, text_of
 
 GRAM = 8
 #: Bytes of text looked at in one piece, and tuples gathered before they are settled.
@@ -325,6 +325,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     keys = plain.select("row", "text").mapInArrow(lambda b: cored(b, length), "key bigint, row bigint, place bigint")
     twice = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(repeated, "key bigint, row bigint, place bigint")
     twice = staged(twice, "repeats-picks")
+    del keys
+    release(spark)
     of_row = twice.groupBy("row").agg(F.collect_list(F.struct("key", "place")).alias("places"))  # of one document
     wanted = plain.join(of_row, "row").select("row", "id", "text", "places")
     suffixes = wanted.mapInArrow(
@@ -332,6 +334,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     )
     dealt = suffixes.repartition(partitions, "key").sortWithinPartitions("key", "context", F.col("id").asc_nulls_last(), "row", "place")
     ranges = staged(dealt.mapInArrow(lambda b: settled(b, length), "row bigint, start bigint, end bigint"), "repeats-ranges")
+    drop_staged(twice)
+    del suffixes, dealt, wanted, of_row
+    release(spark)
     gone = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     out = plain.join(gone, "row", "left").select("id", "text", "ranges").mapInArrow(
         lambda b: cut(b, keep_text), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
