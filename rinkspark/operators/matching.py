@@ -129,11 +129,25 @@ def named(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.filter(F.col(id_col).isNotNull())
 
 
+def split_stars(pairs: DataFrame, group: tuple[str, ...] = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Pairs of truth boxes whose detections have no other choice, and all other pairs.
+
+    In the first the best-scored detection gets the truth, whatever happens elsewhere; only the
+    others, usually few, need the sequential rule. No detection has pairs in both.
+    """
+    choosy = pairs.groupBy(*group, "det_id").agg(F.count("*").alias("n")).filter("n > 1").select(*group, "det_id")
+    disputed = pairs.join(choosy, [*group, "det_id"], "left_semi").select(*group, "gt_id").distinct()
+    key = [*group, "gt_id"]
+    return pairs.join(disputed, key, "left_anti"), pairs.join(disputed, key, "left_semi")
+
+
 def greedy_pairs(pairs: DataFrame, group: tuple[str, ...]) -> DataFrame:
     """``(*group, det_id, gt_id, iou)`` that the greedy rule settles among ``pairs``, group by group."""
     ensure_checkpoint_dir(pairs.sparkSession)
-    edges = pairs.checkpoint()
-    settled = edges.select(*group, "det_id", "gt_id", "iou").limit(0)
+    stars, edges = split_stars(pairs.checkpoint(), group)
+    winners = _first_claims(stars, group)
+    settled = stars.join(winners, [*group, "det_id", "gt_id"], "left_semi").select(*group, "det_id", "gt_id", "iou")
+    edges = edges.checkpoint()
     while not edges.isEmpty():
         best_gt = F.min(F.struct((-F.col("iou")).alias("neg_iou"), F.col("gt_id").alias("gt_id")))
         wish = (
