@@ -7,8 +7,8 @@ says (minimizers), and all others are induced from those:
 1. Every ``length``-byte string picks its smallest 8-gram, so equal strings pick the same place:
    about one byte in 46 is picked. The 54 bytes after a pick, and those before it, are its cores:
    each string that picks a place contains one of the two.
-2. Picks whose core occurs once are done. The others become suffix tuples: body (the bytes from the
-   pick on, in the core's direction), tail (the bytes on its other side), place.
+2. Picks whose core occurs once are done. The others become suffix tuples: the core as a second key,
+   body (the bytes beyond it), tail (the bytes on the other side of the pick), place.
 3. Tuples are sorted by core and body. Spark's external sort spills sorted runs and merges them from
    a heap, so a shard may be far larger than memory. Neighbours give common-prefix lengths.
 4. From the order at the pick, the strings that start 1, 2, ... bytes further into the tail are induced:
@@ -113,6 +113,15 @@ def covered(at: np.ndarray, back: np.ndarray, low: np.ndarray, high: np.ndarray,
     return np.where(back, pivot + low - length, pivot - high), np.where(back, pivot + high, pivot - low + length)
 
 
+def second_key(core: np.ndarray) -> np.ndarray:
+    """Eight more bytes of hash for each core: with the first key 128 bits, so that equal keys mean equal cores."""
+    weight = np.cumprod(np.full(core.shape[1], STIR), dtype=np.uint64)
+    total = np.zeros(len(core), np.uint64)
+    for k in range(core.shape[1]):
+        total += (core[:, k].astype(np.uint64) + np.uint64(1)) * weight[k]
+    return stirred(total).view(np.uint8).reshape(-1, 8)
+
+
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for k, text in enumerate(texts):
@@ -169,7 +178,7 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Suffix tuples of picks; input ``row, id, text, places`` (with their keys)."""
     shape = Shape(length)
-    width = length + shape.tail
+    width, shipped = length + shape.tail, 8 + length - shape.core + shape.tail
     for batch in batches:
         rows, ids = batch.column(0), batch.column(1)
         texts, found = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -189,9 +198,9 @@ def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             # Bytes that no string of this pick takes are blanked: fewer contexts differ.
             body[np.arange(length) >= body_n[:, None]] = 0
             tail[np.arange(shape.tail) >= tail_n[:, None]] = 0
-            context = np.hstack([body, tail])
+            context = np.hstack([second_key(body[:, : shape.core]), body[:, shape.core :], tail])
             n = len(at)
-            offsets = pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes())
+            offsets = pa.py_buffer((np.arange(n + 1) * shipped).astype(np.int32).tobytes())
             binary = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(context.tobytes())])
             columns = [pa.array(key), binary, pa.array([ids[k]] * n, ids.type), pa.array([rows[k]] * n, rows.type), pa.array(place)]
             columns += [pa.array(body_n.astype(np.int32)), pa.array(tail_n.astype(np.int32))]
@@ -215,15 +224,17 @@ def induced(table: pa.Table, length: int) -> pa.RecordBatch:
     n = table.num_rows
     key, row, place, body_n, tail_n = (table.column(c).to_numpy() for c in ("key", "row", "place", "body", "tail"))
     context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(n, -1)
-    body, tail = context[:, :length], context[:, length:]
+    split = 8 + length - shape.core
+    core, body, tail = context[:, :8], context[:, 8:split], context[:, split:]
     ids = table.column("id").combine_chunks()
     missing = np.array(ids.is_null())  # a NULL id comes last
     rank_of_id = renamed(ids.fill_null(0).to_numpy())
     order = np.empty(n, np.int64)
     order[np.lexsort((place >> 33, row, rank_of_id, missing))] = np.arange(n)
     differs = body[1:] != body[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
-    common = np.concatenate([[0], np.where(key[1:] == key[:-1], common, -1)])
+    common = shape.core + np.where(differs.any(axis=1), differs.argmax(axis=1), body.shape[1])
+    same = (key[1:] == key[:-1]) & (core[1:] == core[:-1]).all(axis=1)
+    common = np.concatenate([[0], np.where(same, common, -1)])
     common[0] = -1
     tails = renamed(np.cumsum(common < 0))  # so far: the group
     hit = np.zeros((n, shape.tail + 1), bool)
