@@ -113,13 +113,16 @@ def covered(at: np.ndarray, back: np.ndarray, low: np.ndarray, high: np.ndarray,
     return np.where(back, pivot + low - length, pivot - high), np.where(back, pivot + high, pivot - low + length)
 
 
-def second_key(core: np.ndarray) -> np.ndarray:
-    """Eight more bytes of hash for each core: with the first key 128 bits, so that equal keys mean equal cores."""
-    weight = np.cumprod(np.full(core.shape[1], STIR), dtype=np.uint64)
-    total = np.zeros(len(core), np.uint64)
-    for k in range(core.shape[1]):
-        total += (core[:, k].astype(np.uint64) + np.uint64(1)) * weight[k]
-    return stirred(total).view(np.uint8).reshape(-1, 8)
+def core_keys(core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys of each core, 128 bits, so that equal keys mean equal cores."""
+    out = []
+    for base in (ODD, STIR):
+        weight = np.cumprod(np.full(core.shape[1], base), dtype=np.uint64)
+        total = np.zeros(len(core), np.uint64)
+        for k in range(core.shape[1]):
+            total += (core[:, k].astype(np.uint64) + np.uint64(1)) * weight[k]
+        out.append(stirred(total))
+    return out[0], out[1]
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -153,7 +156,7 @@ def cored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a stream sorted by ``key`` whose key occurs more than once; one row is carried over."""
+    """``row, place`` where the key occurs more than once, from a stream sorted by ``key``; one row is carried over."""
     last: pa.RecordBatch | None = None
     seen = False  # whether the carried row's key came before it, too
     for batch in batches:
@@ -169,14 +172,14 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[0] |= seen
         seen = bool(keep[-1])
         out = table.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
-        yield from out.to_batches()
+        yield from out.select(["row", "place"]).to_batches()
         last = table.slice(len(key) - 1).combine_chunks().to_batches()[0]
     if last is not None and seen:
-        yield last
+        yield last.select(["row", "place"])
 
 
 def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Suffix tuples of picks; input ``row, id, text, places`` (with their keys)."""
+    """Suffix tuples of picks; input ``row, id, text, places``."""
     shape = Shape(length)
     width, shipped = length + shape.tail, 8 + length - shape.core + shape.tail
     for batch in batches:
@@ -185,8 +188,7 @@ def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         for k, (text, marks) in enumerate(zip(texts, found)):
             data = np.frombuffer(text, np.uint8)
             padded = np.concatenate([np.zeros(width, np.uint8), data, np.zeros(width, np.uint8)])
-            place = np.array([m["place"] for m in marks], np.int64)
-            key = np.array([m["key"] for m in marks], np.int64)
+            place = np.array(marks, np.int64)
             at, low, high, back = unpacked(place)
             pivot = at + GRAM * back
             step = np.where(back, -1, 1)[:, None]
@@ -198,7 +200,9 @@ def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             # Bytes that no string of this pick takes are blanked: fewer contexts differ.
             body[np.arange(length) >= body_n[:, None]] = 0
             tail[np.arange(shape.tail) >= tail_n[:, None]] = 0
-            context = np.hstack([second_key(body[:, : shape.core]), body[:, shape.core :], tail])
+            key, more = core_keys(body[:, : shape.core])
+            key = (key ^ back).view(np.int64)
+            context = np.hstack([more.view(np.uint8).reshape(-1, 8), body[:, shape.core :], tail])
             n = len(at)
             offsets = pa.py_buffer((np.arange(n + 1) * shipped).astype(np.int32).tobytes())
             binary = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(context.tobytes())])
@@ -334,11 +338,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     plain = numbered(docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")), "row")
     keys = plain.select("row", "text").mapInArrow(lambda b: cored(b, length), "key bigint, row bigint, place bigint")
-    twice = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(repeated, "key bigint, row bigint, place bigint")
+    twice = keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(repeated, "row bigint, place bigint")
     twice = staged(twice, "repeats-picks")
     del keys
     release(spark)
-    of_row = twice.groupBy("row").agg(F.collect_list(F.struct("key", "place")).alias("places"))  # of one document
+    of_row = twice.groupBy("row").agg(F.collect_list("place").alias("places"))  # of one document
     wanted = plain.join(of_row, "row").select("row", "id", "text", "places")
     suffixes = wanted.mapInArrow(
         lambda b: tuples(b, length), f"key bigint, context binary, id {kind}, row bigint, place bigint, body int, tail int"
