@@ -33,8 +33,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of jobs that nothing refers to: it does when their plans are collected."""
+    """Let Spark remove the shuffle files of jobs that nothing refers to: it does when their plans are collected.
+
+    The scheduler may hold the last job until another one has run.
+    """
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 

@@ -195,11 +195,9 @@ def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             first = pivot - back  # backward: the byte before the pivot
             body = padded[width + first[:, None] + step * np.arange(length)]
             tail = padded[width + (first[:, None] - step) - step * np.arange(shape.tail)]
-            right, left = len(data) - pivot, pivot
-            body_n, tail_n = np.minimum(np.where(back, left, right), length - low), np.minimum(np.where(back, right, left), high)
             # Bytes that no string of this pick takes are blanked: fewer contexts differ.
-            body[np.arange(length) >= body_n[:, None]] = 0
-            tail[np.arange(shape.tail) >= tail_n[:, None]] = 0
+            body[np.arange(length) >= (length - low)[:, None]] = 0
+            tail[np.arange(shape.tail) >= high[:, None]] = 0
             key, more = core_keys(body[:, : shape.core])
             key = (key ^ back).view(np.int64)
             context = np.hstack([more.view(np.uint8).reshape(-1, 8), body[:, shape.core :], tail])
@@ -207,8 +205,7 @@ def tuples(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             offsets = pa.py_buffer((np.arange(n + 1) * shipped).astype(np.int32).tobytes())
             binary = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(context.tobytes())])
             columns = [pa.array(key), binary, pa.array([ids[k]] * n, ids.type), pa.array([rows[k]] * n, rows.type), pa.array(place)]
-            columns += [pa.array(body_n.astype(np.int32)), pa.array(tail_n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "context", "id", "row", "place", "body", "tail"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "context", "id", "row", "place"])
 
 
 def first_of(group: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -226,7 +223,8 @@ def induced(table: pa.Table, length: int) -> pa.RecordBatch:
     """Repeats among whole groups of tuples sorted by key, context and place: byte ranges per row."""
     shape = Shape(length)
     n = table.num_rows
-    key, row, place, body_n, tail_n = (table.column(c).to_numpy() for c in ("key", "row", "place", "body", "tail"))
+    key, row, place = (table.column(c).to_numpy() for c in ("key", "row", "place"))
+    _, least, most, _ = unpacked(place)
     context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(n, -1)
     split = 8 + length - shape.core
     core, body, tail = context[:, :8], context[:, 8:split], context[:, split:]
@@ -246,7 +244,7 @@ def induced(table: pa.Table, length: int) -> pa.RecordBatch:
         if d:
             tails = renamed(tails.astype(np.int64) << 8 | tail[:, d - 1])
         bodies = np.cumsum(common < length - d)
-        valid = np.flatnonzero((body_n >= length - d) & (tail_n >= d))
+        valid = np.flatnonzero((least <= d) & (d <= most))
         if len(valid):
             names = renamed(tails[valid].astype(np.int64) * (n + 1) + bodies[valid])
             hit[valid, d] = ~first_of(names, order[valid])
@@ -266,7 +264,7 @@ def settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     Sorted by context and place, equal tuples follow each other: all strings of the later ones are
     repeats. Only different tuples of one core are held together.
     """
-    names = ["key", "context", "id", "row", "place", "body", "tail"]
+    names = ["key", "context", "id", "row", "place"]
     held: list[pa.Table] = []
     count = 0
     last: tuple | None = None
@@ -274,14 +272,14 @@ def settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch]).select(names)
-        columns = [table.column(c).to_pylist() for c in ("key", "context", "body", "tail")]
-        marks = list(zip(*columns))
+        reach = (table.column("place").to_numpy() & ((1 << 33) - 1)).tolist()
+        marks = list(zip(table.column("key").to_pylist(), table.column("context").to_pylist(), reach))
         again = np.array([m == p for m, p in zip(marks, [last, *marks[:-1]])])
         last = marks[-1]
         if again.any():
-            place, body_n, tail_n, row = (table.column(c).to_numpy()[again] for c in ("place", "body", "tail", "row"))
-            pick, _, _, back = unpacked(place)
-            start, end = covered(pick, back, (length - body_n).astype(np.int64), tail_n.astype(np.int64), length)
+            place, row = (table.column(c).to_numpy()[again] for c in ("place", "row"))
+            pick, least, most, back = unpacked(place)
+            start, end = covered(pick, back, least, most, length)
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(start), pa.array(end)], ["row", "start", "end"])
         held.append(table.filter(pa.array(~again)))
         count += held[-1].num_rows
@@ -345,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     of_row = twice.groupBy("row").agg(F.collect_list("place").alias("places"))  # of one document
     wanted = plain.join(of_row, "row").select("row", "id", "text", "places")
     suffixes = wanted.mapInArrow(
-        lambda b: tuples(b, length), f"key bigint, context binary, id {kind}, row bigint, place bigint, body int, tail int"
+        lambda b: tuples(b, length), f"key bigint, context binary, id {kind}, row bigint, place bigint"
     )
     dealt = suffixes.repartition(partitions, "key").sortWithinPartitions("key", "context", F.col("id").asc_nulls_last(), "row", "place")
     ranges = staged(dealt.mapInArrow(lambda b: settled(b, length), "row bigint, start bigint, end bigint"), "repeats-ranges")
