@@ -134,18 +134,24 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray)
             g["to_word"][c], g["word_bias"][c] = flat[rows].T @ d, d.sum(axis=0)
             back[rows] += d @ p["to_word"][c].T
     back = back.reshape(steps, lanes, size)
-    carried, inputs_g = np.zeros_like(h), np.zeros((steps, lanes, 3 * size), np.float32)
+    carried, inputs_g, turn_g = np.zeros_like(h), np.zeros((steps, lanes, 3 * size), h.dtype), np.zeros((steps, lanes, 3 * size), h.dtype)
     for t in reversed(range(steps)):
         keep, reset, new, turned = saved[t]
         dh = back[t] + carried
         d_new = dh * (1 - keep) * (1 - new**2)
         d_keep = dh * (states[t] - new) * keep * (1 - keep)
         d_reset = d_new * turned * reset * (1 - reset)
-        inputs_g[t] = np.hstack([d_keep, d_reset, d_new])
-        d_turn = np.hstack([d_keep, d_reset, d_new * reset])
-        g["turn"] += states[t].T @ d_turn
-        carried = dh * keep + d_turn @ p["turn"].T
-    np.add.at(g["gates"], inputs.ravel(), inputs_g.reshape(-1, 3 * size))
+        for at, d in enumerate((d_keep, d_reset, d_new)):
+            inputs_g[t, :, at * size : (at + 1) * size] = d
+        turn_g[t] = inputs_g[t]
+        turn_g[t, :, 2 * size :] *= reset
+        carried = dh * keep + turn_g[t] @ p["turn"].T
+    g["turn"] = np.concatenate(states[:-1]).T @ turn_g.reshape(-1, 3 * size)
+    # Equal inputs side by side, so that their rows are summed in runs.
+    by = np.argsort(inputs.ravel(), kind="stable")
+    own = inputs.ravel()[by]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    g["gates"][own[first]] = np.add.reduceat(inputs_g.reshape(-1, 3 * size)[by], first, axis=0)
     return {k: v / n for k, v in g.items()}, states[-1], loss / n
 
 

@@ -2,8 +2,8 @@
 
 Counts cover all training documents. The most frequent words, a bounded dictionary, travel to the
 workers; every other word of a document meets its count in a join, so base scores are exact. The
-recurrent model (``gru``) is trained by rounds of local descent whose results are averaged: one in
-``STRIDE`` chunks of the training documents is used, so its training set grows with the corpus. Words outside its short list share one class, inside which they have their
+recurrent model (``gru``) is trained by rounds of local descent whose results are averaged; each chunk of
+every training document is read once over the rounds. Words outside its short list share one class, inside which they have their
 smoothed share of the counts: the score is the probability of the complete text.
 """
 
@@ -21,8 +21,9 @@ from rinkspark.llm.common import shared_value, staged, text_of, words
 
 #: Bounds of what travels: words of the dictionary, their longest length in bytes, the short list.
 DICTIONARY, LONGEST, SHORT = 200_000, 40, 1024
-#: Tokens of a training chunk; one chunk in so many is used; averaging rounds; chunks read side by side.
-CHUNK, STRIDE, ROUNDS, LANES = 64, 16, 2, 32
+#: Tokens of a training chunk; one chunk in so many is used (1: all); averaging rounds; chunks read side by side,
+#: at least and at most: a trainer makes at least ``STEPS`` batches of its chunks before it widens them.
+CHUNK, STRIDE, ROUNDS, LANES, WIDEST, STEPS = 64, 1, 2, 32, 512, 256
 #: Trainers at most, and the chunks that one should have at least.
 TRAINERS, SHARE = 32, 8192
 #: The end of a text. Words are never empty.
@@ -106,7 +107,7 @@ def trained(texts: DataFrame, lexicon, short: int, other: int, start: int, strid
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
-            out, rounds = [], []
+            out, rounds, deal = [], [], []
             for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = lex.ids(lex.read(text)[1]).astype("<u2")
                 chunks = -(-len(ids) // CHUNK)
@@ -114,10 +115,14 @@ def trained(texts: DataFrame, lexicon, short: int, other: int, start: int, strid
                     if k < chunks:
                         out.append(ids[k * CHUNK : (k + 1) * CHUNK].tobytes())
                         rounds.append((h // stride + k) % ROUNDS)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(rounds, pa.int32())], ["ids", "round"])
-
-    chunks = staged(texts.mapInArrow(cut, "ids binary, round int"), "scoring-chunks")
-    trainers = max(1, min(TRAINERS, chunks.count() // SHARE))
+                        deal.append(h + k)
+            columns = [pa.array(out, pa.binary()), pa.array(rounds, pa.int32()), pa.array(deal, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["ids", "round", "deal"])
+
+    chunks = staged(texts.mapInArrow(cut, "ids binary, round int, deal bigint"), "scoring-chunks")
+    found = chunks.count()
+    trainers = max(1, min(TRAINERS, found // SHARE))
+    lanes = max(LANES, min(WIDEST, found // (ROUNDS * trainers * STEPS)))
     params = gru.fresh(short)
     for k in range(ROUNDS):
         sent = shared_value(texts.sparkSession, params)
@@ -126,13 +131,13 @@ def trained(texts: DataFrame, lexicon, short: int, other: int, start: int, strid
             trainer = gru.Trainer(sent.value, start)
             for batch in batches:
                 own = [np.frombuffer(b, "<u2").astype(np.int64) for b in batch.column(0).to_pylist()]
-                for at in range(0, len(own), LANES):
-                    trainer.batch(own[at : at + LANES])
+                for at in range(0, len(own), lanes):
+                    trainer.batch(own[at : at + lanes])
             if trainer.seen:
                 flat = np.concatenate([trainer.p[n].ravel() for n in sorted(trainer.p)])
                 yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([trainer.seen], pa.int64())], ["p", "n"])
 
-        dealt = chunks.filter(F.col("round") == k).select("ids").repartition(trainers, F.xxhash64("ids"))
+        dealt = chunks.filter(F.col("round") == k).select("ids", "deal").repartition(trainers, F.xxhash64("deal", "ids"))
         got = dealt.mapInArrow(descend, "p binary, n bigint").collect()  # as many rows as trainers
         if got:
             weights = np.array([r.n for r in got], float)

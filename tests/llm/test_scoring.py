@@ -87,3 +87,22 @@ def test_gradients_against_differences():
 
 def test_empty_table(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_registered_setting_reads_every_training_token(spark, monkeypatch, tmp_path):
+    from rinkspark.llm import queries, scoring
+
+    seen = []
+    kept = scoring.staged
+
+    def watched(df, name):
+        back = kept(df, name)
+        if name == "scoring-chunks":
+            seen.append(sum(len(r.ids) // 2 for r in back.collect()))
+        return back
+
+    monkeypatch.setattr(scoring, "staged", watched)
+    rows = documents()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_scoring(spark, str(tmp_path)).collect()
+    assert seen == [got[0].train_tokens]
