@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_changes() -> dict[str, Column]:
+    """The audit's tampering: a character too many where 7 divides the CRC of the decimal id."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return {"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"), found=op12_changes())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_repeats": op2_repeats,
@@ -87,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_scoring": op8_scoring,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op12_manifest": op12_manifest,
 }
 
 ORACLE: dict[str, str] = {}
