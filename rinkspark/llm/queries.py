@@ -76,6 +76,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.conversations import damaged, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damaged(rows), every=rows)
+
+
 def op12_changes() -> dict[str, Column]:
     """The audit's tampering: a character too many where 7 divides the CRC of the decimal id."""
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_scoring": op8_scoring,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_conversations": op11_conversations,
     "op12_manifest": op12_manifest,
 }
 
