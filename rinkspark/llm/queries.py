@@ -95,6 +95,12 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), found=op12_changes())
 
 
+def op13_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rinkspark.llm.outliers import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_repeats": op2_repeats,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_conversations": op11_conversations,
     "op12_manifest": op12_manifest,
+    "op13_outliers": op13_outliers,
 }
 
 ORACLE: dict[str, str] = {}
