@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rinkspark.llm.oracle import ORACLE as ORACLE  # noqa: F401
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -116,5 +118,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_manifest": op12_manifest,
     "op13_outliers": op13_outliers,
 }
-
-ORACLE: dict[str, str] = {}
