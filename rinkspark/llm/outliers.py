@@ -4,8 +4,8 @@ Each document gives five statistics, transformed so that usual documents lie in
 and source the minimum-covariance-determinant estimate is the mean and covariance of the subset of
 ``SHARE`` of the documents whose covariance has the least determinant. C-steps find it: distances
 from the estimate, the nearest documents, their moments, and again, from two starts, the lower
-determinant wins. A step is one aggregation: moments by distance class, summed from the nearest
-class outward until the share is full, so that a group of any size costs its classes only.
+determinant wins. A step is two aggregations: counts by distance class, from the nearest class
+outward until the share is full, and the moments of those classes; a group of any size costs no more.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rinkspark.llm.common import drop_staged, staged, text_of
+from rinkspark.llm.common import drop_staged, release, staged, text_of
 
 BLANKS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -30,7 +30,7 @@ P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 #: Share of the subset; weight of a group's language beside its own documents; kept probability of a usual document.
 SHARE, PRIOR, USUAL = 0.75, 30, 0.999
-STEPS, CLASSES = 15, 64
+STEPS, CLASSES = 12, 64
 DIGITS = 9
 
 
@@ -168,16 +168,20 @@ def starts(points: DataFrame) -> DataFrame:
 
 
 def step(points: DataFrame, estimates: DataFrame, factor: float) -> DataFrame:
-    """Moments of the nearest ``SHARE`` of each key's points, distances taken in classes, as the next estimates."""
-    away = [F.col(name) - F.col(f"m_{i}") for i, name in enumerate(STATS)]
-    near = F.ceil(F.log(distance() + 1e-6) * CLASSES).alias("near")
-    placed = points.join(estimates, "key").select("key", "start", near, *[a.alias(f"a_{i}") for i, a in enumerate(away)])
-    sums = {f"x_{i}": F.sum(f"a_{i}") for i in range(P)} | {f"p_{i}{j}": F.sum(F.col(f"a_{i}") * F.col(f"a_{j}")) for i, j in PAIRS}
-    classes = placed.groupBy("key", "start", "near").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
+    """Moments of the nearest ``SHARE`` of each key's points, distances taken in classes, as the next estimates.
+
+    The points are read twice, so that only counts travel by class, and sums by key.
+    """
+    near = F.ceil(F.log(distance() + 1e-6) * CLASSES)
+    classes = points.join(estimates, "key").groupBy("key", "start", near.alias("near")).agg(F.count("*").alias("n"))
     group = Window.partitionBy("key", "start")
     before = F.coalesce(F.sum("n").over(group.orderBy("near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = classes.withColumns({"before": before, "of": F.sum("n").over(group)}).filter(F.col("before") < F.ceil(F.col("of") * SHARE))
-    total = inside.groupBy("key", "start").agg(F.sum("n").alias("h"), *[F.sum(k).alias(k) for k in sums])
+    limits = staged(inside.groupBy("key", "start").agg(F.max("near").alias("limit")), "outlier-limits")
+    placed = points.join(estimates.join(limits, ["key", "start"]), "key").filter(near <= F.col("limit"))
+    placed = placed.select("key", "start", *[(F.col(name) - F.col(f"m_{i}")).alias(f"a_{i}") for i, name in enumerate(STATS)])
+    sums = {f"x_{i}": F.sum(f"a_{i}") for i in range(P)} | {f"p_{i}{j}": F.sum(F.col(f"a_{i}") * F.col(f"a_{j}")) for i, j in PAIRS}
+    total = placed.groupBy("key", "start").agg(F.count("*").alias("h"), *[v.alias(k) for k, v in sums.items()])
     mean = lambda i: F.col(f"x_{i}") / F.col("h")
     spread = lambda i, j: (F.col(f"p_{i}{j}") / F.col("h") - mean(i) * mean(j)) * factor + _tolerated(i, j)
     moved = total.join(estimates.select("key", "start", *[f"m_{i}" for i in range(P)]), ["key", "start"])
@@ -188,15 +192,23 @@ def step(points: DataFrame, estimates: DataFrame, factor: float) -> DataFrame:
 
 
 def estimate(points: DataFrame) -> DataFrame:
-    """``key, h, m_i, s_ij``: the regularised minimum-covariance-determinant estimate of each key's points."""
+    """``key, h, m_i, s_ij``: the regularised minimum-covariance-determinant estimate of each key's points.
+
+    A step that does not lower the determinant of a key is not taken; steps end when no key's falls by a hundredth.
+    """
     factor = SHARE / gamma_share(P / 2 + 1, chi2_quantile(SHARE, P) / 2)
-    now = staged(with_factor(starts(points)).withColumn("h", F.lit(0).cast("long")), "outlier-step")
+    names = ["h", *[f"m_{i}" for i in range(P)], *[f"s_{i}{j}" for i, j in PAIRS], *[f"w_{i}{j}" for i, j in PAIRS], "log_det"]
+    # the starts are no subsets: any subset is better
+    now = staged(with_factor(starts(points)).withColumns({"h": F.lit(0).cast("long"), "log_det": F.lit(float("inf"))}), "outlier-step")
     for _ in range(STEPS):
-        after = staged(with_factor(step(points, now, factor)), "outlier-step")
-        moved = after.join(now.select("key", "start", F.col("log_det").alias("was")), ["key", "start"])
-        still = moved.filter(F.abs(F.col("was") - F.col("log_det")) > 1e-3).isEmpty()
+        both = with_factor(step(points, now, factor)).select(now.columns).unionByName(now.select(now.columns))
+        both = both.withColumn("order", F.struct("log_det", "h"))  # an equal one stays
+        after = staged(both.groupBy("key", "start").agg(F.min_by(F.struct(*names), "order").alias("e")).select("key", "start", "e.*"), "outlier-step")
+        was = now.select("key", "start", F.col("log_det").alias("was"))
+        still = after.join(was, ["key", "start"]).filter(F.col("was") - F.col("log_det") > 0.01).isEmpty()
         drop_staged(now)
         now = after
+        release(points.sparkSession)  # of the step's shuffles
         if still:
             break
     names = ["h", *[f"m_{i}" for i in range(P)], *[f"s_{i}{j}" for i, j in PAIRS]]

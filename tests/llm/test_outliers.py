@@ -57,15 +57,15 @@ def brute_estimate(x):
     for s in (np.diag(spread**2), r * np.outer(spread, spread)):
         m, was = middle, None
         for _ in range(40):
-            det = np.linalg.slogdet(s)[1]
-            if was is not None and abs(was - det) < 1e-9:
-                break
-            was = det
             away = x - m
             d = np.einsum("ij,jk,ik->i", away, np.linalg.inv(s), away)
             near = np.ceil(np.log(d + 1e-6) * outliers.CLASSES)
             inside = x[near <= np.sort(near)[need - 1]]
-            m, s = inside.mean(axis=0), np.cov(inside.T, bias=True) * factor + tol
+            found = inside.mean(axis=0), np.cov(inside.T, bias=True) * factor + tol
+            det = np.linalg.slogdet(found[1])[1]
+            if was is not None and was <= det:
+                break
+            was, (m, s) = det, found
         if best is None or was < best[0]:
             best = (was, m, s)
     return best
