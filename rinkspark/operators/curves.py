@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rinkspark.functions.boxes import CELL_PX
 from rinkspark.functions.chunks import with_earlier_chunks
 from rinkspark.functions.joins import null_safe_join
-from rinkspark.operators.matching import GROUP, greedy_pairs, iou_pairs, last_score, named, split_stars
+from rinkspark.operators.matching import GROUP, iou_pairs, last_score, named
+from rinkspark.operators.rivals import greedy
 from rinkspark.session import ensure_checkpoint_dir
 
 SCORE_BUCKETS = 128
@@ -120,27 +120,17 @@ def average_precision(
 
 
 def coco_ap(
-    det: DataFrame, truth: DataFrame, ious: tuple[float, ...] = COCO_IOUS, cell_px: float = CELL_PX
+    det: DataFrame, truth: DataFrame, ious: tuple[float, ...] = COCO_IOUS, cell_scale: float = 1.0
 ) -> DataFrame:
     """101-point AP per class and IoU threshold, greedy matching at each threshold.
 
-    Pairs are made once, at the lowest threshold, and matched at all thresholds side by side. All
+    Pairs are made once, at the lowest threshold, and one scan matches them at all thresholds. All
     detections enter as counts per score; those with a NULL id are misses.
     """
     levels = F.array(*[F.lit(float(t)) for t in ious])
-    ensure_checkpoint_dir(det.sparkSession)
-    pairs = iou_pairs(named(det, "det_id"), named(truth, "gt_id"), min(ious), cell_px).checkpoint()
-    stars, rest = split_stars(pairs)
-    # A truth without rivals for its detections: at each threshold its best-scored claimant.
-    claim = F.struct(last_score().alias("order"), "score")
-    best = [F.min(F.when(F.col("iou") >= t, claim)).alias(f"b{i}") for i, t in enumerate(ious)]
-    per_level = F.array(*[F.struct(F.lit(float(t)).alias("min_iou"), F.col(f"b{i}").alias("best")) for i, t in enumerate(ious)])
-    alone = stars.groupBy(*GROUP, "gt_id").agg(*best).select("class_id", F.inline(per_level)).filter("best IS NOT NULL")
-    reached = F.filter(levels, lambda t: t <= F.col("iou"))
-    settled = greedy_pairs(rest.withColumn("min_iou", F.explode(reached)), (*GROUP, "min_iou"))
-    rivals = settled.join(rest.select(*GROUP, "det_id", "gt_id", "score"), [*GROUP, "det_id", "gt_id"])
+    pairs = iou_pairs(named(det, "det_id"), named(truth, "gt_id"), min(ious), cell_scale)
     by = ["class_id", "min_iou"]
-    found = alone.select(*by, "best.score").unionByName(rivals.select(*by, "score"))
+    found = greedy(pairs, det, last_score(), GROUP, ious)
     tps = found.groupBy(*by, "score").agg(F.count("*").alias("tp"))
     counts = (
         det.groupBy("class_id", "score")

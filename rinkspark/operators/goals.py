@@ -5,37 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.functions.boxes import CELL_PX, box_of, centre_cell, contains_centre, explode_cells
+from rinkspark.functions.boxes import box_of, contains_centre, in_covered_cells, in_level_cell, same_cell, with_level
 from rinkspark.operators.detections import EVAL_SCORE, FRAME, above_score
 
 
-def _inner_outer(det: DataFrame, inner: str, outer: str, cell_px: float) -> tuple[DataFrame, DataFrame, Column]:
-    """Both sides of the containment join and its condition; the keys of the outer side are renamed."""
+def _inner_outer(det: DataFrame, inner: str, outer: str, cell_scale: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides of the containment join and its condition; the keys of the outer side are renamed.
+
+    Outer boxes are copied to the cells of their level that they touch; a centre is looked up once for
+    each level at which its frame has outer boxes at all.
+    """
+    goals = det.filter(F.col("name") == outer).select(
+        *[F.col(k).alias(f"o_{k}") for k in FRAME], F.col("det_id").alias("outer_id"), *[F.col(n).alias(f"o_{n}") for n in "xywh"]
+    )
+    big = in_covered_cells(goals, "o_", cell_scale)
+    levels = with_level(goals, "o_").select(*[F.col(f"o_{k}").alias(k) for k in FRAME], F.col("o_level").alias("i_level")).distinct()
     small = det.filter(F.col("name") == inner).select(
         *FRAME,
         F.col("det_id").alias("inner_id"),
         F.col("score").alias("inner_score"),
         *[F.col(n).alias(f"i_{n}") for n in "xywh"],
-        centre_cell(box_of(), cell_px).alias("i_cell"),
-    )
-    goals = det.filter(F.col("name") == outer).select(*FRAME, "det_id", *"xywh")
-    big = explode_cells(goals, "o_cell", F.col("w") / 2, F.col("h") / 2, cell_px).select(
-        *[F.col(k).alias(f"o_{k}") for k in FRAME],
-        F.col("det_id").alias("outer_id"),
-        *[F.col(n).alias(f"o_{n}") for n in "xywh"],
-        "o_cell",
+        F.monotonically_increasing_id().alias("inner_row"),
     )
-    inside = contains_centre(box_of("o_"), box_of("i_")) & (F.col("i_cell") == F.col("o_cell"))
+    small = in_level_cell(small.join(levels, [*FRAME]), "i_", cell_scale)
+    inside = contains_centre(box_of("o_"), box_of("i_")) & same_cell("i_", "o_")
     for k in FRAME:
         inside = inside & (F.col(k) == F.col(f"o_{k}"))
     return small, big, inside
 
 
 def contained_pairs(
-    det: DataFrame, inner: str = "puck", outer: str = "goal", cell_px: float = CELL_PX
+    det: DataFrame, inner: str = "puck", outer: str = "goal", cell_scale: float = 1.0
 ) -> DataFrame:
     """Pairs of one frame where the centre of an ``inner`` box lies in an ``outer`` box."""
-    small, big, inside = _inner_outer(det, inner, outer, cell_px)
+    small, big, inside = _inner_outer(det, inner, outer, cell_scale)
     return small.join(big, inside).select(*FRAME, "inner_id", "outer_id", "inner_score")
 
 
@@ -45,7 +48,7 @@ def goal_frames(
     min_score: float = EVAL_SCORE,
     goal: str = "goal",
     inner: str = "puck",
-    cell_px: float = CELL_PX,
+    cell_scale: float = 1.0,
 ) -> DataFrame:
     """One row per goal frame: number of detections that say so and their best score.
 
@@ -60,10 +63,9 @@ def goal_frames(
         evidence = sure.filter(F.col("name") == goal).select(*FRAME, "score")
     elif rule == "containment":
         # A semi join: each inner box counts once, however many goal boxes lie over it.
-        small, big, inside = _inner_outer(sure, inner, goal, cell_px)
-        evidence = small.join(big, inside, "left_semi").select(
-            *FRAME, F.col("inner_score").alias("score")
-        )
+        small, big, inside = _inner_outer(sure, inner, goal, cell_scale)
+        seen = small.join(big, inside, "left_semi").dropDuplicates([*FRAME, "inner_row"])
+        evidence = seen.select(*FRAME, F.col("inner_score").alias("score"))
     else:
         raise ValueError("rule must be 'presence', 'containment' or a boolean Column")
     return evidence.groupBy(*FRAME).agg(F.count("*").alias("n_evidence"), F.max("score").alias("best_score"))

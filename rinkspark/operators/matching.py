@@ -11,28 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.functions.boxes import CELL_PX, box_of, centre_cell, iou, explode_iou_cells
+from rinkspark.functions.boxes import box_of, in_own_cell, in_partner_cells, iou, same_cell
 from rinkspark.functions.joins import null_safe_join
 from rinkspark.operators.detections import FRAME
-from rinkspark.session import ensure_checkpoint_dir
+from rinkspark.operators.rivals import greedy
 
 GROUP = (*FRAME, "class_id")
 IOU_THRESHOLD = 0.5
 
 
-def _detections_in_cells(det: DataFrame, cell_px: float) -> DataFrame:
-    return det.select(*GROUP, "det_id", "score", *"xywh", centre_cell(box_of(), cell_px).alias("cell"))
-
-
-def _truth_in_cells(truth: DataFrame, min_iou: float, cell_px: float) -> DataFrame:
-    copies = explode_iou_cells(truth.select(*GROUP, "gt_id", *"xywh"), "t_cell", min_iou, cell_px)
-    return copies.select(
-        *[F.col(k).alias(f"t_{k}") for k in GROUP], "gt_id", *[F.col(c).alias(f"t_{c}") for c in "xywh"], "t_cell"
-    )
+def _truth_in_cells(truth: DataFrame, min_iou: float, cell_scale: float) -> DataFrame:
+    renamed = truth.select(*[F.col(k).alias(f"t_{k}") for k in GROUP], "gt_id", *[F.col(c).alias(f"t_{c}") for c in "xywh"])
+    return in_partner_cells(renamed, min_iou, "t_", cell_scale)
 
 
 def _same_group() -> Column:
-    cond = F.col("cell") == F.col("t_cell")
+    cond = same_cell("", "t_")
     for k in GROUP:
         cond = cond & (F.col(k) == F.col(f"t_{k}"))
     return cond
@@ -43,25 +37,26 @@ def _overlap() -> Column:
 
 
 def iou_pairs(
-    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_px: float = CELL_PX
+    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_scale: float = 1.0
 ) -> DataFrame:
-    """Every (detection, truth) pair of equal frame and class with IoU >= ``min_iou`` > 0."""
-    pairs = _detections_in_cells(det, cell_px).join(
+    """Every (detection, truth) pair of equal frame and class with IoU >= ``min_iou`` > 0, boxes of any size and unit."""
+    own = in_own_cell(det.select(*GROUP, "det_id", "score", *"xywh"), scale=cell_scale)
+    pairs = own.join(
         # Two fact tables: merge-joined whatever their compressed size promises, so that a hot
         # cell is split by the adaptive skew join and nothing must fit in memory.
-        _truth_in_cells(truth, min_iou, cell_px).hint("merge"),
+        _truth_in_cells(truth, min_iou, cell_scale).hint("merge"),
         _same_group() & (_overlap() >= min_iou),
     )
     return pairs.select(*GROUP, "det_id", "gt_id", "score", _overlap().alias("iou"))
 
 
 def best_hits(
-    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_px: float = CELL_PX
+    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_scale: float = 1.0
 ) -> DataFrame:
     """The best truth (highest IoU, then lowest ``gt_id``) of every detection that has one at ``min_iou``."""
     # Copies of a truth box can never win against the lowest id, so they go first.
     distinct_truth = truth.groupBy(*GROUP, *"xywh").agg(F.min("gt_id").alias("gt_id"))
-    pairs = iou_pairs(det.filter(F.col("det_id").isNotNull()), distinct_truth, min_iou, cell_px)
+    pairs = iou_pairs(det.filter(F.col("det_id").isNotNull()), distinct_truth, min_iou, cell_scale)
     # the score rides along instead of being a key, so that later joins by detection find the rows in place
     choice = F.min(F.struct((-F.col("iou")).alias("neg_iou"), F.col("gt_id").alias("gt_id"), F.col("score").alias("score")))
     best = pairs.groupBy(*GROUP, "det_id").agg(choice.alias("best"))
@@ -90,7 +85,7 @@ def _first_claims(hits: DataFrame, group: tuple[str, ...] = GROUP) -> DataFrame:
 
 
 def match_voc(
-    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_px: float = CELL_PX
+    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_scale: float = 1.0
 ) -> DataFrame:
     """PASCAL VOC rule: each detection claims its best truth, the best-scored claimant is the true positive.
 
@@ -99,7 +94,7 @@ def match_voc(
     """
     # The hits feed the claims and the result: their shuffle by detection is planned once and
     # reused. A caller who reads only ``tp`` drops the last join, its keys being distinct.
-    hits = best_hits(det, truth, min_iou, cell_px)
+    hits = best_hits(det, truth, min_iou, cell_scale)
     winners = _first_claims(hits).select(*GROUP, "det_id", F.lit(True).alias("tp"))
     key = [*GROUP, "det_id"]
     flagged = det.select(*GROUP, "det_id", "score").join(winners.hint("merge"), key, "left")
@@ -110,18 +105,15 @@ def match_voc(
 
 
 def match_coco(
-    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_px: float = CELL_PX
+    det: DataFrame, truth: DataFrame, min_iou: float = IOU_THRESHOLD, cell_scale: float = 1.0
 ) -> DataFrame:
-    """COCO rule: by falling score, each detection takes the best truth that is still free.
-
-    The sequential rule is reached in parallel rounds: a detection that is its best truth's
-    best claimant gets it in any order of events, so all such pairs are settled together
-    and leave with their rivals' edges. Every round settles at least the best-scored open
-    detection of each group; rounds end when no edge is open. Only pairs, not boxes, are
-    re-read, and each round is checkpointed. Rows with a NULL id cannot be told apart: such
-    detections are misses, such truth boxes stay unfound.
+    """COCO rule: by falling score, NULL last, each detection takes the best truth that is still free.
+
+    Sequential inside a set of rivals only (:mod:`rinkspark.operators.rivals`). Rows with a NULL id cannot be
+    told apart: such detections are misses, such truth boxes stay unfound.
     """
-    settled = greedy_pairs(iou_pairs(named(det, "det_id"), named(truth, "gt_id"), min_iou, cell_px), GROUP)
+    pairs = iou_pairs(named(det, "det_id"), named(truth, "gt_id"), min_iou, cell_scale)
+    settled = greedy(pairs, det, last_score(), GROUP, [min_iou]).select(*GROUP, "det_id", "gt_id", "iou")
     return det.select(*GROUP, "det_id", "score").join(settled, [*GROUP, "det_id"], "left").withColumn("tp", F.col("gt_id").isNotNull())
 
 
@@ -129,44 +121,6 @@ def named(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.filter(F.col(id_col).isNotNull())
 
 
-def split_stars(pairs: DataFrame, group: tuple[str, ...] = GROUP) -> tuple[DataFrame, DataFrame]:
-    """Pairs of truth boxes whose detections have no other choice, and all other pairs.
-
-    In the first the best-scored detection gets the truth, whatever happens elsewhere; only the
-    others, usually few, need the sequential rule. No detection has pairs in both.
-    """
-    choosy = pairs.groupBy(*group, "det_id").agg(F.count("*").alias("n")).filter("n > 1").select(*group, "det_id")
-    disputed = pairs.join(choosy, [*group, "det_id"], "left_semi").select(*group, "gt_id").distinct()
-    key = [*group, "gt_id"]
-    return pairs.join(disputed, key, "left_anti"), pairs.join(disputed, key, "left_semi")
-
-
-def greedy_pairs(pairs: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """``(*group, det_id, gt_id, iou)`` that the greedy rule settles among ``pairs``, group by group."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    stars, edges = split_stars(pairs.checkpoint(), group)
-    winners = _first_claims(stars, group)
-    settled = stars.join(winners, [*group, "det_id", "gt_id"], "left_semi").select(*group, "det_id", "gt_id", "iou")
-    edges = edges.checkpoint()
-    while not edges.isEmpty():
-        best_gt = F.min(F.struct((-F.col("iou")).alias("neg_iou"), F.col("gt_id").alias("gt_id")))
-        wish = (
-            edges.groupBy(*group, "det_id")
-            .agg(best_gt.alias("best"))
-            .select(*group, "det_id", F.col("best.gt_id").alias("gt_id"), (-F.col("best.neg_iou")).alias("iou"))
-        )
-        agreed = wish.join(_first_claims(edges, group), [*group, "det_id", "gt_id"], "left_semi").checkpoint()
-        if agreed.isEmpty():
-            raise RuntimeError("no pair can be settled: group columns must not be NULL")
-        settled = settled.unionByName(agreed)
-        edges = (
-            edges.join(agreed.select(*group, "det_id"), [*group, "det_id"], "left_anti")
-            .join(agreed.select(*group, "gt_id"), [*group, "gt_id"], "left_anti")
-            .checkpoint()
-        )
-    return settled
-
-
 def detection_prf(matches: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
     """True positives, precision, recall and F1 per group; a zero denominator gives NULL."""
     found = matches.groupBy(*by).agg(F.count("*").alias("n_det"), F.count_if("tp").alias("tp"))

@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinkspark.functions.boxes import (
-    CELL_PX,
     box_of,
-    centre_cell,
     centre_distance,
-    explode_cells,
-    explode_iou_cells,
+    in_near_cells,
+    in_own_cell,
+    in_partner_cells,
+    in_square_cell,
     iou,
     iou_reach,
+    same_cell,
 )
 from rinkspark.functions.chunks import CHUNK, chunk_of, with_earlier_chunks
 from rinkspark.functions.joins import null_safe_join
@@ -88,11 +89,19 @@ def _cost_column(a: tuple, b: tuple, algorithm: str, threshold: float, max_dista
     return F.when(dist <= max_distance, dist)
 
 
-def _in_reach(df: DataFrame, algorithm: str, threshold: float, max_distance: float, cell_px: float) -> DataFrame:
+#: Side of the centroid tracker's cells, in distances.
+NEAR_CELLS = 4
+
+
+def _in_reach(df: DataFrame, algorithm: str, threshold: float, max_distance: float) -> DataFrame:
     """Copies of the boxes to every cell where their next detection may be centred."""
     if algorithm == "iou":
-        return explode_iou_cells(df, "cell", threshold, cell_px)
-    return explode_cells(df, "cell", F.lit(float(max_distance)), F.lit(float(max_distance)), cell_px)
+        return in_partner_cells(df, threshold)
+    return in_near_cells(df, max_distance, NEAR_CELLS * max_distance)
+
+
+def _own_cell(df: DataFrame, prefix: str, algorithm: str, max_distance: float) -> DataFrame:
+    return in_own_cell(df, prefix) if algorithm == "iou" else in_square_cell(df, NEAR_CELLS * max_distance, prefix)
 
 
 def _widest_step(algorithm: str, threshold: float, max_distance: float) -> Callable[[np.ndarray], float]:
@@ -229,7 +238,6 @@ def track(
     threshold: float = TRACK_IOU,
     max_distance: float = MAX_DISTANCE,
     chunk_boxes: int = CHUNK_BOXES,
-    cell_px: float = CELL_PX,
 ) -> DataFrame:
     """One row per track and frame after its initial frame: ``success`` and the last good box.
 
@@ -281,16 +289,16 @@ def track(
         F.col("frame_idx").alias("e_frame"),
         F.col("node_id").alias("e_node"),
         *[F.col(c).alias(f"e_{c}") for c in BOX],
-        centre_cell(box_of(), cell_px).alias("e_cell"),
     )
+    entries = _own_cell(entries, "e_", algorithm, max_distance)
     cost = _cost_column(box_of(), box_of("e_"), algorithm, threshold, max_distance)
 
     def reappear(lost: DataFrame, far: int, step: int) -> DataFrame:
         """Where targets lost in a chunk come back, ``far`` + 1 to ``far`` + ``step`` chunks later."""
         here = F.col("chunk") + far
         bins = F.sequence(F.floor((here + 1) / step), F.floor((here + step) / step))  # two at most
-        probes = _in_reach(lost.withColumn("bin", F.explode(bins)), algorithm, threshold, max_distance, cell_px)
-        near = (F.col("video_id") == F.col("e_video")) & (F.col("cell") == F.col("e_cell")) & cost.isNotNull()
+        probes = _in_reach(lost.withColumn("bin", F.explode(bins)), algorithm, threshold, max_distance)
+        near = (F.col("video_id") == F.col("e_video")) & same_cell("", "e_") & cost.isNotNull()
         soon = (F.col("e_bin") == F.col("bin")) & (F.col("e_chunk") > here) & (F.col("e_chunk") <= here + step)
         choice = F.min(F.struct("e_frame", cost.alias("cost"), "e_node", "e_chunk", "e_pos", "e_last"))
         return (

@@ -109,7 +109,7 @@ def scene(spark):
 
 def test_goal_rules(spark):
     det = scene(spark)
-    assert rows(goals.contained_pairs(det, cell_px=64), "inner_id", "outer_id") == [(2, 1), (2, 4), (3, 4)]
+    assert rows(goals.contained_pairs(det, cell_scale=0.5), "inner_id", "outer_id") == [(2, 1), (2, 4), (3, 4)]
     assert rows(goals.goal_frames(det, "presence")) == [(0, 0, 2, 0.9)]
     assert rows(goals.goal_frames(det, "containment")) == [(0, 0, 2, 0.7)]
     assert rows(goals.goal_frames(det, F.col("name") == "puck")) == [(0, 0, 2, 0.7), (0, 1, 1, 0.9)]

@@ -1,16 +1,19 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from rinkspark.functions.boxes import iou_reach
-from rinkspark.operators import curves, matching
+from rinkspark.functions.boxes import in_own_cell, iou_reach
+from rinkspark.operators import curves, matching, rivals
 
 from helpers import DET, TRUTH, coco_rule, iou, random_scene, rows, voc_rule
 
 OUT = ("video_id", "frame_idx", "class_id", "det_id", "score", "gt_id", "iou", "tp")
 
 
-@pytest.mark.parametrize("seed,t,cell", [(1, 0.5, 256), (2, 0.3, 64), (3, 0.75, 16), (4, 0.1, 128)])
+@pytest.mark.parametrize("seed,t,cell", [(1, 0.5, 1.0), (2, 0.3, 0.25), (3, 0.75, 0.05), (4, 0.1, 8.0)])
 def test_voc_and_coco_equal_the_sequential_rules(spark, seed, t, cell):
     det, truth = random_scene(seed, frames=20, most=8)
     d, g = spark.createDataFrame(det, DET), spark.createDataFrame(truth, TRUTH)
@@ -24,11 +27,35 @@ def test_pairs_equal_brute_force_for_any_cell_size(spark):
     want = sorted(
         (a[3], b[3], iou(a[4:8], b[4:8])) + a[:3] for a in det for b in truth if a[:3] == b[:3] and iou(a[4:8], b[4:8]) >= 0.05
     )
-    for cell in (10, 100, 5000):
+    for cell in (0.05, 1.0, 30.0):
         got = rows(matching.iou_pairs(d, g, 0.05, cell), "det_id", "gt_id", "iou", "video_id", "frame_idx", "class_id")
         assert sorted(got) == want
 
 
+def test_boxes_of_any_unit_and_size_share_a_table(spark):
+    """Normalised boxes, a stitched panorama of 100,000 pixels, points, and boxes from 0.01 to 3,000 pixels."""
+    rng = random.Random(4)
+    det, truth, n = [], [], 0
+    for frame, (extent, low, high) in enumerate([(1.0, 0.02, 0.3), (100_000.0, 20, 400), (3000.0, 0.01, 3000), (1e-4, 1e-6, 1e-5), (1e12, 1e6, 1e9)]):
+        for _ in range(150):
+            n += 1
+            side = low * (high / low) ** rng.random()
+            b = (rng.uniform(-extent, extent), rng.uniform(0, extent), side, side * rng.uniform(0.3, 3))
+            truth.append((0, frame, 1, n, *b))
+            for _ in range(2):
+                shift = [rng.gauss(0, 0.2) * b[2] for _ in range(2)]
+                det.append((0, frame, 1, len(det), b[0] + shift[0], b[1] + shift[1], b[2] * rng.uniform(0.5, 2), b[3] * rng.uniform(0.5, 2), 0.5))
+        truth.append((0, frame, 1, -n, 0.5, 0.5, 0.0, 0.0))
+        det.append((0, frame, 1, -n, 0.5, 0.5, 0.0, 0.0, 0.1))
+    d, g = spark.createDataFrame(det, DET), spark.createDataFrame(truth, TRUTH)
+    for t in (0.6, 0.3, 0.05):
+        want = sorted((a[3], b[3]) for a in det for b in truth if a[1] == b[1] and iou(a[4:8], b[4:8]) >= t)
+        assert sorted(rows(matching.iou_pairs(d, g, t), "det_id", "gt_id")) == want and len(want) > 20
+    # no cell is hot: a frame of small boxes far apart spreads over as many cells as it has boxes, nearly
+    far = spark.createDataFrame([(0, 0, 1, k, 50.0 * k, 0.0, 10.0, 10.0, 0.5) for k in range(5000)], DET)
+    assert in_own_cell(far).groupBy("level", "across", "down").count().agg({"count": "max"}).first()[0] <= 1
+
+
 def test_one_crowded_frame_of_copies(spark):
     """A third of all detections are one box in one frame; so are many truth boxes."""
     det, truth = random_scene(5, frames=30, most=5)
@@ -169,6 +196,35 @@ def test_null_ids_and_scores_come_last(spark):
         assert got == {1: False, 2: True, None: False}, match
 
 
+def test_a_chain_of_rivals(spark):
+    """A thousand boxes in a row, each detection between two truths: one dispute from end to end."""
+    n = 1000
+    truth = [(0, 0, 1, k, 10.0 * k, 0.0, 30.0, 30.0) for k in range(n)] + [(0, 1, 1, 5, 0.0, 0.0, 10.0, 10.0)]
+    det = [(0, 0, 1, k, 10.0 * k + 4, 0.0, 30.0, 30.0, (k * 7 % n) / n) for k in range(n)] + [(0, 1, 1, 7, 0.0, 0.0, 10.0, 10.0, 0.5)]
+    d, g = spark.createDataFrame(det, DET), spark.createDataFrame(truth, TRUTH)
+    pairs = matching.iou_pairs(d, g, 0.5)
+    taken = rivals.greedy(pairs, d, matching.last_score(), matching.GROUP, [0.5], crowd=100)
+    got = {(r.frame_idx, r.det_id): r.gt_id for r in taken.collect()}
+    assert got == {(r[1], r[3]): r[5] for r in coco_rule(det, truth, 0.5) if r[7]}
+    links = pairs.select((F.col("det_id") * 2).alias("a"), (F.col("gt_id") * 2 + 1).alias("b")).filter("frame_idx = 0")
+    found = rivals.components(links)
+    assert found.select("component").distinct().count() == 1 and found.count() == 2 * n
+    assert found.rounds <= 14
+
+
+def test_crowded_groups_split_into_their_sets(spark):
+    det, truth = random_scene(12, frames=6, most=40)
+    d, g = spark.createDataFrame(det, DET), spark.createDataFrame(truth, TRUTH)
+    pairs = matching.iou_pairs(d, g, 0.1)
+    for crowd in (0, 20):
+        sets = rivals.with_set(pairs, d, matching.GROUP, crowd)
+        assert sets.select("rivals").distinct().count() > 10
+        taken = rivals.greedy(pairs, d, matching.last_score(), matching.GROUP, [0.7, 0.1], crowd)
+        for t in (0.1, 0.7):
+            own = sorted((r[0], r[1], r[2], r[3], r[5]) for r in coco_rule(det, truth, t) if r[7])
+            assert sorted(rows(taken.filter(f"min_iou = {t}"), *matching.GROUP, "det_id", "gt_id")) == own
+
+
 def test_greedy_ap_of_two_overlapping_truths(spark):
     truth = spark.createDataFrame([(0, 0, 1, k, 10.0 + 4 * k, 10.0, 20.0, 20.0) for k in (0, 1)], TRUTH)
     det = spark.createDataFrame(
