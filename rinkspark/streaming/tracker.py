@@ -1,4 +1,9 @@
-"""The tracker as a stateful stream: memory per track is one box, whatever the video's length."""
+"""The tracker as a stateful stream: frames may arrive out of order, and memory does not follow the micro-batch.
+
+State of a track: its last good box, and the frames that wait. A frame waits in the state store, under its
+event time, until the watermark has passed the end of its time slot: then no earlier frame can follow. The
+slot's event-time timer takes its frames out in order. A batch of any size is only written to the store.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +11,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rinkspark.operators.tracking import BOX, MAX_DISTANCE, TRACK_IOU, check_algorithm, step_costs
 
-STATE = "last_frame bigint, x double, y double, w double, h double, late_dropped bigint"
+#: How late a frame may come, and the time that one timer serves, in event time.
+DELAY, SLOT_MS = "10 seconds", 1000
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Timers and map state need the RocksDB store; one that the session names already is left alone."""
+    if "RocksDB" not in spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKS)
 
-def frame_rows(det: DataFrame, frames: DataFrame) -> DataFrame:
-    """Batch helper: one row per frame with its boxes as an array, the tracker stream's input."""
+
+def frame_rows(det: DataFrame, frames: DataFrame, *more: str) -> DataFrame:
+    """One row per frame with its boxes as an array, the tracker stream's input; ``more`` columns of ``frames`` stay."""
     # copies of a box never win against its lowest id: they collapse before the boxes are gathered
     doubles = [F.col(c).cast("double").alias(c) for c in BOX]
     distinct = det.select("video_id", "frame_idx", "det_id", *doubles)
     distinct = distinct.groupBy("video_id", "frame_idx", *BOX).agg(F.min("det_id").alias("det_id"))
     boxes = distinct.groupBy("video_id", "frame_idx").agg(F.collect_list(F.struct("det_id", *BOX)).alias("boxes"))
-    return frames.select("video_id", "frame_idx").join(boxes, ["video_id", "frame_idx"], "left")
+    return frames.select("video_id", "frame_idx", *more).join(boxes, ["video_id", "frame_idx"], "left")
+
+
+class FollowTarget(StatefulProcessor):
+    """One target of one video. ``waiting`` holds frames by time, ``target`` the last good box and what was passed."""
+
+    def __init__(self, algorithm: str, threshold: float, max_distance: float, slot_ms: int):
+        self.costs = step_costs(algorithm, threshold, max_distance)
+        self.slot_ms = slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, frame_idx long", "boxes array<double>")
+        self.target = handle.getValueState(
+            "target", "passed long, last_frame long, x double, y double, w double, h double, late_dropped long"
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        target = self.target.get() if self.target.exists() else None
+        slots, late = set(), 0
+        for pdf in rows:  # one Arrow batch at a time, never the whole of a micro-batch
+            if target is None:
+                start = pdf.iloc[0]
+                target = (-(1 << 62), int(start["first_frame"]), *[float(start[f"i_{c}"]) for c in BOX], 0)
+            for at, frame, boxes in zip(pdf["at"], pdf["frame_idx"], pdf["boxes"]):
+                if at <= target[0] or frame <= target[1]:
+                    late += 1
+                    continue
+                self.waiting.updateValue((int(at), int(frame)), (boxes.tolist(),))
+                slots.add(-(-int(at) // self.slot_ms) * self.slot_ms)
+        for slot in slots:
+            self.handle.registerTimer(slot)
+        self.target.update((*target[:6], target[6] + late))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, last, *box, late = self.target.get()
+        passed = max(passed, expiredTimerInfo.getExpiryTimeInMs())
+        out = []
+        # what waits is bounded by the delay, so looking over its keys is
+        for at, frame in sorted(k for k in self.waiting.keys() if k[0] <= passed):
+            boxes = np.array(self.waiting.getValue((at, frame))[0], dtype=float).reshape(-1, 4)
+            self.waiting.removeKey((at, frame))
+            if frame <= last:
+                late += 1
+                continue
+            last, success = frame, False
+            if len(boxes):
+                cost = self.costs(np.array([box]), boxes)[0]
+                pick = int(cost.argmin())
+                if np.isfinite(cost[pick]):
+                    box, success = [float(v) for v in boxes[pick]], True
+            out.append((*key, last, success, *box, late))
+        self.target.update((passed, last, *box, late))
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "track_id", "frame_idx", "success", *BOX, "late_dropped"])
+
+    def close(self) -> None:
+        pass
 
 
 def track_stream(
@@ -31,55 +103,38 @@ def track_stream(
     algorithm: str = "iou",
     threshold: float = TRACK_IOU,
     max_distance: float = MAX_DISTANCE,
+    time_col: str = "ts",
+    delay: str = DELAY,
+    slot_ms: int = SLOT_MS,
 ) -> DataFrame:
-    """Follow each initial box through a stream of frames.
+    """Follow each initial box through a stream of frames that come in any order within ``delay``.
 
     ``frames``: ``video_id, frame_idx, boxes ARRAY<STRUCT<det_id, x, y, w, h>>`` (NULL or empty
-    when nothing was detected). ``init_boxes`` is a static table as for the batch tracker.
-    Frames are put in order inside a micro-batch; a frame at or before the last one seen is
-    late, is dropped, and counts in ``late_dropped``.
+    when nothing was detected) and the event time ``time_col``, which rises with the frame. ``init_boxes``
+    is a static table as for the batch tracker. A frame is reported once the watermark, the latest
+    time seen less ``delay``, has passed it; a later frame of any video moves the watermark, also of
+    one without an initial box. Frames behind what was passed are dropped: by
+    Spark where they are behind the watermark of an earlier batch, else they count in ``late_dropped``.
+
+    The session needs the RocksDB state store (:func:`use_rocksdb`).
     """
     check_algorithm(algorithm)
-    costs = step_costs(algorithm, threshold, max_distance)
     if "track_id" not in init_boxes.columns:
         init_boxes = init_boxes.withColumn("track_id", F.lit(0).cast("bigint"))
     first = init_boxes.select(
         "video_id", "track_id", F.col("frame_idx").alias("first_frame"), *[F.col(c).cast("double").alias(f"i_{c}") for c in BOX]
     )
-    rows = frames.join(first, "video_id").filter(F.col("frame_idx") > F.col("first_frame"))
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("frame_idx", kind="stable")
-        if state.exists:
-            last, *box, late = state.get
-        else:
-            start = pdf.iloc[0]
-            last, box, late = int(start["first_frame"]), [float(start[f"i_{c}"]) for c in BOX], 0
-        box = list(box)
-        out = []
-        for frame, found in zip(pdf["frame_idx"], pdf["boxes"]):
-            if frame <= last:
-                late += 1
-                continue
-            last, success = int(frame), False
-            if found is not None and len(found):
-                found = sorted(found, key=lambda d: d["det_id"])
-                candidates = np.array([[d[c] for c in BOX] for d in found], dtype=float)
-                cost = costs(np.array([box], dtype=float), candidates)[0]
-                pick = int(cost.argmin())
-                if np.isfinite(cost[pick]):
-                    box, success = [float(v) for v in candidates[pick]], True
-            out.append((key[0], key[1], last, success, *box, late))
-        state.update((last, *box, int(late)))
-        yield pd.DataFrame(
-            out, columns=["video_id", "track_id", "frame_idx", "success", *BOX, "late_dropped"]
-        )
-
+    # boxes in the order of their ids, as plain numbers
+    by_id = F.sort_array(F.coalesce("boxes", F.array().cast(frames.schema["boxes"].dataType)))
+    numbers = F.flatten(F.transform(by_id, lambda d: F.array(*[d[c].cast("double") for c in BOX])))
+    timed = frames.select("video_id", "frame_idx", numbers.alias("boxes"), F.col(time_col).alias("ts")).withWatermark("ts", delay)
+    rows = timed.join(first, "video_id").filter(F.col("frame_idx") > F.col("first_frame"))
+    rows = rows.select("*", F.unix_millis("ts").alias("at"))
     video_type, track_type = (rows.schema[c].dataType.simpleString() for c in ("video_id", "track_id"))
     output = (
         f"video_id {video_type}, track_id {track_type}, frame_idx bigint, success boolean, "
         "x double, y double, w double, h double, late_dropped bigint"
     )
-    return rows.groupBy("video_id", "track_id").applyInPandasWithState(
-        advance, output, STATE, "append", GroupStateTimeout.NoTimeout
+    return rows.groupBy("video_id", "track_id").transformWithStateInPandas(
+        FollowTarget(algorithm, threshold, max_distance, slot_ms), output, "append", "EventTime"
     )

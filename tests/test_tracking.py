@@ -1,8 +1,10 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from rinkspark.operators import tracking
-from rinkspark.streaming.tracker import frame_rows, track_stream
+from rinkspark.streaming.tracker import frame_rows, track_stream, use_rocksdb
 
 from helpers import INIT, POINTS, random_motion, rows, track_rule
 
@@ -30,7 +32,7 @@ def test_track_equals_the_sequential_rule(spark, seed, algorithm, chunk):
     init = starts(det, 3)
     d, i, f = tables(spark, det, init, listed)
     want = track_rule(det, init, listed, algorithm)
-    got = rows(tracking.track(d, i, f, algorithm, chunk_boxes=chunk, cell_px=64), *OUT)
+    got = rows(tracking.track(d, i, f, algorithm, chunk_boxes=chunk), *OUT)
     assert got == want
     assert {r[3] for r in want} == {True, False}
 
@@ -94,50 +96,50 @@ def test_unknown_algorithm_fails_when_the_plan_is_built(spark):
         track_stream(d, i, algorithm="")
 
 
+STREAM = "video_id long, frame_idx long, ts timestamp, boxes array<struct<det_id long, x double, y double, w double, h double>>"
+
+
+def followed(spark, tmp_path, name, init, algorithm, *parts, **options):
+    """Each part a file that arrives alone; the stream starts anew from its checkpoint for each."""
+    use_rocksdb(spark)
+    source = str(tmp_path / "frames")
+    for part in parts:
+        part.select("video_id", "frame_idx", "ts", "boxes").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(STREAM).parquet(source)
+        query = (
+            track_stream(stream, init, algorithm, **options)
+            .writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
 @pytest.mark.parametrize("algorithm", ["iou", "centroid"])
-def test_stream_equals_batch(spark, tmp_path, algorithm):
+def test_stream_out_of_order_equals_batch(spark, tmp_path, algorithm):
+    """Frames come up to eight frames late, across batches and restarts."""
     det, listed = random_motion(11, videos=2, frames=60, objects=3)
     init = starts(det, 2, tracks=2)
     d, i, f = tables(spark, det, init, listed)
-    source = str(tmp_path / "frames")
-    per_frame = frame_rows(d, f)
-    for part, (low, high) in enumerate([(0, 20), (20, 45), (45, 60)]):
-        piece = per_frame.filter(f"frame_idx >= {low} AND frame_idx < {high}")
-        piece.repartition(1, "video_id").sort(F.desc("frame_idx")).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(per_frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = (
-        track_stream(stream, i, algorithm)
-        .writeStream.format("memory")
-        .queryName(f"tracks_{algorithm}")
-        .outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "state"))
-        .start()
-    )
-    query.processAllAvailable()
-    query.stop()
-    got = spark.table(f"tracks_{algorithm}")
+    timed = f.withColumn("ts", F.timestamp_seconds(F.col("frame_idx") / 2))
+    per_frame = frame_rows(d, timed, "ts").withColumn("arrival", F.col("frame_idx") + F.abs(F.xxhash64("video_id", "frame_idx")) % 9)
+    parts = [per_frame.filter(f"arrival >= {low} AND arrival < {low + 23}").orderBy(F.desc("frame_idx")) for low in (0, 23, 46)]
+    closing = spark.createDataFrame([(-1, 0, 100, None)], "video_id long, frame_idx long, s long, boxes int")
+    closing = closing.select("video_id", "frame_idx", F.timestamp_seconds("s").alias("ts"), F.lit(None).cast(per_frame.schema["boxes"].dataType).alias("boxes"))
+    assert parts[0].agg(F.max("frame_idx")).first()[0] > parts[1].agg(F.min("frame_idx")).first()[0]
+    got = followed(spark, tmp_path, algorithm, i, algorithm, *parts, closing, delay="5 seconds", slot_ms=700)
     assert rows(got, *OUT) == rows(tracking.track(d, i, f, algorithm, chunk_boxes=64), *OUT)
     assert got.agg(F.max("late_dropped")).first()[0] == 0
 
 
-def test_late_frames_are_dropped_and_counted(spark, tmp_path):
+def test_frames_behind_the_watermark_are_dropped(spark, tmp_path):
     box = [(1, 0.0, 0.0, 10.0, 10.0)]
-    schema = "video_id long, frame_idx long, boxes array<struct<det_id long, x double, y double, w double, h double>>"
     init = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 10.0, 10.0)], INIT)
-    source = str(tmp_path / "frames")
-    stream = spark.readStream.schema(schema).parquet
-    spark.createDataFrame([(0, 5, box)], schema).coalesce(1).write.parquet(source)
-    query = (
-        track_stream(stream(source), init)
-        .writeStream.format("memory").queryName("late").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "state")).start()
-    )
-    query.processAllAvailable()
-    later = [(0, 3, box), (0, 5, box), (0, 6, None)]
-    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(source)
-    query.processAllAvailable()
-    query.stop()
-    assert rows(spark.table("late"), "frame_idx", "success", "late_dropped") == [(5, True, 0), (6, False, 2)]
+    part = lambda *frames: spark.createDataFrame([(0, k, datetime.datetime(2024, 1, 1, 0, 0, k), b) for k, b in frames], STREAM)
+    parts = [part((5, box), (30, box)), part((6, box), (31, None)), part((31, box), (59, None))]
+    got = followed(spark, tmp_path, "late", init, "iou", *parts, delay="10 seconds")
+    # 6 comes after the watermark has reached 20; 31 comes twice, the second time in place of the first
+    assert rows(got, "frame_idx", "success") == [(30, True), (31, True), (5, True)]
 
 
 def test_annotation(spark):
