@@ -84,8 +84,8 @@ def above_score(det: DataFrame, threshold: float = DRAW_SCORE, strict: bool = Tr
     return det.filter(score > threshold if strict else score >= threshold)
 
 
-def to_pixels(det: DataFrame, width: int, height: int) -> DataFrame:
-    """Replace the normalised ``box`` by pixel columns ``x, y, w, h``."""
+def to_pixels(det: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
+    """Replace the normalised ``box`` by pixel columns ``x, y, w, h``; frames of several sizes bring theirs as columns."""
     b = F.col("box")
     return det.withColumns(
         {

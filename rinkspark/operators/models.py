@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.operators.pixels import image_tensor, swap_channels
+from rinkspark.operators.pixels import pixels_of
 
 # Batch size and number of training passes.
 BATCH_SIZE = 32
@@ -38,41 +41,62 @@ def score(
     return df.withColumn(output_col, predict(F.col(input_col)))
 
 
-def detect(
-    frames: DataFrame,
-    make_predict_fn: Callable,
-    height: int,
-    width: int,
-    batch_size: int = BATCH_SIZE,
-) -> DataFrame:
-    """Run a detector over BGR frames of one size: raw, padded detections per frame.
+#: Decoded pixels that a model is given at a time, whatever the frames' size.
+BATCH_BYTES = 256 << 20
+RAW_NAMES = ("num_detections", "detection_boxes", "detection_classes", "detection_scores")
+RAW = "num_detections float, detection_boxes array<array<float>>, detection_classes array<float>, detection_scores array<float>"
+_LOADED: dict[str, Callable] = {}
+
+
+def _model(key: str, make_predict_fn: Callable) -> Callable:
+    """The model of one plan, loaded when a Python worker first needs it."""
+    if key not in _LOADED:
+        _LOADED[key] = make_predict_fn()
+    return _LOADED[key]
+
 
-    The model sees an RGB batch (n, height, width, 3) and returns a dict of
-    ``num_detections`` (n,), ``detection_boxes`` (n, 4 * pad, flattened),
-    ``detection_classes`` (n, pad) and ``detection_scores`` (n, pad).
+def _batches(images: list, batch_size: int) -> Iterator[list[int]]:
+    """Places of images of one size, at most ``batch_size`` and BATCH_BYTES of them at a time; None is left out."""
+    by_size: dict[tuple, list[int]] = {}
+    for k, img in enumerate(images):
+        if img is not None:
+            by_size.setdefault(img.shape, []).append(k)
+    for shape, places in by_size.items():
+        step = max(1, min(batch_size, BATCH_BYTES // max(1, int(np.prod(shape)))))
+        yield from (places[k : k + step] for k in range(0, len(places), step))
+
+
+def detect(frames: DataFrame, make_predict_fn: Callable, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Run a detector over BGR frames: raw, padded detections per frame, and its ``height`` and ``width``.
+
+    The model sees an RGB batch (n, height, width, 3) of bytes and returns a dict of ``num_detections`` (n,),
+    ``detection_boxes`` (n, pad, 4) or flattened, ``detection_classes`` (n, pad) and ``detection_scores`` (n, pad).
+    It is loaded once per Python worker. Frames of several sizes may be mixed; a batch holds one size. Pixels are
+    decoded and scored in one pass and leave no column. Frames that were not decoded have no detections.
     """
-    floats = T.ArrayType(T.FloatType())
-    returned = T.StructType(
-        [
-            T.StructField("num_detections", T.FloatType()),
-            T.StructField("detection_boxes", floats),
-            T.StructField("detection_classes", floats),
-            T.StructField("detection_scores", floats),
-        ]
-    )
-    tensors = image_tensor(swap_channels(frames)).drop("image")
-    scored = score(tensors, make_predict_fn, "tensor", [height, width, 3], returned, "p", batch_size)
-    flat = F.col("p.detection_boxes")
-    first = F.sequence(F.lit(1), F.size(flat) - 3, F.lit(4))
-    grouped = F.when(F.size(flat) >= 4, F.transform(first, lambda i: F.slice(flat, i, F.lit(4))))
-    boxes = F.coalesce(grouped, F.array().cast("array<array<float>>"))
-    return scored.select(
-        *[c for c in tensors.columns if c != "tensor"],
-        "p.num_detections",
-        boxes.alias("detection_boxes"),
-        "p.detection_classes",
-        "p.detection_scores",
-    )
+    key = uuid.uuid4().hex
+    keep = [f for f in frames.schema.fields if f.name != "image"]
+    narrow = frames.select(*[f.name for f in keep], "image.data", F.col("image.height").alias("_h"), F.col("image.width").alias("_w"))
+    floats = pa.list_(pa.float32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _model(key, make_predict_fn)
+        for batch in batches:
+            data, heights, widths = batch.columns[len(keep) :]
+            images = [pixels_of(d.as_buffer() if d.is_valid else None, h or -1, w or -1) for d, h, w in zip(data, heights.to_pylist(), widths.to_pylist())]
+            found: list[tuple] = [(0.0, [], [], [])] * len(images)
+            for places in _batches(images, batch_size):
+                out = predict(np.stack([images[k][..., ::-1] for k in places]))
+                boxes = np.asarray(out["detection_boxes"], dtype=np.float32).reshape(len(places), -1, 4)
+                classes, scores = (np.asarray(out[c], dtype=np.float32).reshape(len(places), -1) for c in ("detection_classes", "detection_scores"))
+                for row, k in enumerate(places):
+                    found[k] = (float(out["num_detections"][row]), boxes[row].tolist(), classes[row].tolist(), scores[row].tolist())
+            columns = [pa.array([f[c] for f in found], kind) for c, kind in enumerate((pa.float32(), pa.list_(floats), floats, floats))]
+            names = [*[f.name for f in keep], *RAW_NAMES, "height", "width"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns, heights, widths], names)
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+    return narrow.mapInArrow(run, f"{kept}{RAW}, height int, width int")
 
 
 def as_features(df: DataFrame, array_col: str, features_col: str = "features") -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinkspark.functions.draws import uniform_draw
+from rinkspark.functions.draws import uniform_draws
 from rinkspark.operators.detections import FRAME
 
 # Augmentation ranges and the colour and thickness of a track's rectangle.
@@ -24,9 +25,11 @@ SCALE_RANGE = (0.5, 1.5)
 FLIP_SHARE = 0.5
 TRACK_COLOUR_BGR = (255, 0, 0)
 THICKNESS = 2
+#: Binary digits of sine and cosine in a rotation.
+TURN_BITS = 16
 
 
-def _pixels(data: bytes, height: int, width: int) -> np.ndarray | None:
+def pixels_of(data: bytes | pa.Buffer | None, height: int, width: int) -> np.ndarray | None:
     """Three channels of an image with one, three or four; None if it was not decoded."""
     if data is None or not height > 0 or not width > 0:
         return None
@@ -55,7 +58,7 @@ def _with_pixels(frames: DataFrame, data: Column, **fields: Column) -> DataFrame
 
 @F.pandas_udf(T.BinaryType())
 def _swapped(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    images = [_pixels(d, h, w) for d, h, w in zip(data, height, width)]
+    images = [pixels_of(d, h, w) for d, h, w in zip(data, height, width)]
     return pd.Series([None if img is None else img[..., ::-1].tobytes() for img in images])
 
 
@@ -66,7 +69,7 @@ def swap_channels(frames: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _flat_floats(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    images = [_pixels(d, h, w) for d, h, w in zip(data, height, width)]
+    images = [pixels_of(d, h, w) for d, h, w in zip(data, height, width)]
     return pd.Series([None if img is None else img.astype(np.float32).ravel() for img in images])
 
 
@@ -77,7 +80,7 @@ def image_tensor(frames: DataFrame, column: str = "tensor") -> DataFrame:
 
 def aug_params(frames: DataFrame, seed: int) -> DataFrame:
     """Add ``angle``, ``scale`` and ``flip`` of each frame, a function of frame key and seed only."""
-    a, s, f = (uniform_draw(name, seed, F.col("video_id"), F.col("frame_idx")) for name in ("angle", "scale", "flip"))
+    a, s, f = uniform_draws(3, seed, F.col("video_id"), F.col("frame_idx"))
     return frames.withColumns(
         {
             "angle": a * (ROTATE_DEGREES[1] - ROTATE_DEGREES[0]) + ROTATE_DEGREES[0],
@@ -97,13 +100,18 @@ _NEW_IMAGE = T.StructType(
 
 
 def rotate_nearest(img: np.ndarray, degrees: float) -> np.ndarray:
-    """Rotation about the centre, same size, nearest neighbour, black where nothing maps."""
+    """Rotation about the centre, same size, nearest neighbour, black where nothing maps.
+
+    Sine and cosine are rounded to whole numbers of 1 / 2**TURN_BITS; from there on all is integer arithmetic,
+    so that another engine can repeat the map to the pixel.
+    """
     height, width = img.shape[:2]
-    t = np.deg2rad(degrees)
-    cy, cx = (height - 1) / 2, (width - 1) / 2
+    one = 1 << TURN_BITS
+    cos, sin = (int(np.floor(f(np.deg2rad(degrees)) * one + 0.5)) for f in (np.cos, np.sin))
     ys, xs = np.mgrid[0:height, 0:width]
-    sx = np.rint(np.cos(t) * (xs - cx) - np.sin(t) * (ys - cy) + cx).astype(int)
-    sy = np.rint(np.sin(t) * (xs - cx) + np.cos(t) * (ys - cy) + cy).astype(int)
+    ys, xs = 2 * ys - (height - 1), 2 * xs - (width - 1)  # twice the offset from the centre
+    sx = (cos * xs - sin * ys + width * one) >> (TURN_BITS + 1)
+    sy = (sin * xs + cos * ys + height * one) >> (TURN_BITS + 1)
     inside = (sx >= 0) & (sx < width) & (sy >= 0) & (sy < height)
     out = np.zeros_like(img)
     out[inside] = img[sy[inside], sx[inside]]
@@ -111,10 +119,11 @@ def rotate_nearest(img: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def resize_nearest(img: np.ndarray, scale: float) -> np.ndarray:
+    """The pixel under the centre of each new one, in integer arithmetic."""
     height, width = img.shape[:2]
     new_h, new_w = (max(1, int(np.floor(n * scale + 0.5))) for n in (height, width))
-    rows = np.minimum((np.arange(new_h) + 0.5) * height / new_h, height - 1).astype(int)
-    cols = np.minimum((np.arange(new_w) + 0.5) * width / new_w, width - 1).astype(int)
+    rows = (2 * np.arange(new_h) + 1) * height // (2 * new_h)
+    cols = (2 * np.arange(new_w) + 1) * width // (2 * new_w)
     return img[rows][:, cols]
 
 
@@ -124,7 +133,7 @@ def _augmented(
 ) -> pd.DataFrame:
     out = []
     for d, h, w, a, s, f in zip(data, height, width, angle, scale, flip):
-        img = _pixels(d, h, w)
+        img = pixels_of(d, h, w)
         if img is None:
             out.append((None, None, None))
             continue
@@ -169,6 +178,8 @@ def draw_boxes(
 
     ``boxes`` has ``video_id, frame_idx, x, y, w, h``. Equal rectangles are drawn once, and
     the corners reach a frame as one array: give it overlay rows, which are capped per frame.
+    Frames from a table that :func:`rinkspark.sources.frames.write_frame_table` wrote stay where they
+    are: only the corners are shuffled, to the frames' buckets, and are hashed there.
     """
     corner = F.struct(
         F.col("x").cast("int").alias("x1"),
@@ -182,7 +193,7 @@ def draw_boxes(
     def drawn(data: pd.Series, height: pd.Series, width: pd.Series, todo: pd.Series) -> pd.Series:
         out = []
         for d, h, w, rects in zip(data, height, width, todo):
-            img = _pixels(d, h, w)
+            img = pixels_of(d, h, w)
             if img is None:
                 out.append(None)
                 continue
@@ -193,7 +204,8 @@ def draw_boxes(
             out.append(img.tobytes())
         return pd.Series(out)
 
-    joined = frames.join(per_frame, list(FRAME), "left")
+    # hashed, not merged: merging would sort the pixels
+    joined = frames.join(per_frame.hint("shuffle_hash"), list(FRAME), "left")
     new = F.when(F.col("corners").isNotNull(), drawn(*_image_fields(), F.col("corners")))
     return _with_pixels(joined, new).drop("corners")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rinkspark.streaming.tracker import frame_rows
+
 VIDEOS = 16
 CAMERAS = 8
 EVENTS_PER_FRAME = 32
@@ -168,6 +170,25 @@ def motion_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SLICES = 3
+JITTER = 8
+
+
+def arriving_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of :func:`motion` with their boxes and event time (one a second), and ``slice``, when they arrive.
+
+    A frame may come up to eight frames late, in another slice than its neighbours.
+    """
+    per_frame = frame_rows(motion(spark, sf_dir), motion_frames(spark, sf_dir))
+    arrival = F.col("frame_idx") + F.pmod(F.xxhash64("video_id", "frame_idx"), F.lit(JITTER + 1))
+    last = table(spark, sf_dir, "events").agg(F.max(F.floor(F.col("event_id") / EVENTS_PER_FRAME)).cast("bigint")).first()[0] or 0
+    timed = per_frame.withColumns({"ts": F.timestamp_seconds("frame_idx"), "slice": F.floor(arrival * SLICES / F.lit(last + JITTER + 1))})
+    # the camera that nobody watches closes the stream: its frame comes after all others
+    end = spark.createDataFrame([(-1, last + 3600)], "video_id long, frame_idx long")
+    end = end.select("*", F.lit(None).cast(timed.schema["boxes"].dataType).alias("boxes"), F.timestamp_seconds("frame_idx").alias("ts"), F.lit(SLICES).cast("long").alias("slice"))
+    return timed.unionByName(end)
+
+
 def start_boxes(det: DataFrame) -> DataFrame:
     """Per video the detection with the lowest id, as two tracks: itself, and one 45 pixels off."""
     first = det.groupBy("video_id").agg(F.min(F.struct("frame_idx", "det_id", "x", "y", "w", "h")).alias("d"))
@@ -193,6 +214,13 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marks(pictures: DataFrame) -> DataFrame:
+    """A box for two pictures in three, from one corner pixel to itself or past the picture."""
+    at = (F.col("frame_idx") % 3).cast("double")
+    boxes = pictures.select("video_id", "frame_idx", at.alias("x"), (F.col("video_id") % 2).cast("double").alias("y"), F.lit(5.5).alias("w"), at.alias("h"))
+    return boxes.filter("x > 0")
+
+
 def raw_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The players of :func:`motion` as raw detector output, boxes normalised; some frames hold none."""
     det = motion(spark, sf_dir)

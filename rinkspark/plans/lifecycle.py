@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rinkspark.functions.naming import aug_name, frame_label
 from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels, tracking
 from rinkspark.sources.examples import export_examples
 from rinkspark.sources.frames import keyed_frames, scan_images, write_frames
+from rinkspark.streaming.alerts import class_ids, goal_alerts
 
 
 def recognise_goals(
     frame_table: DataFrame,
     make_predict_fn: Callable,
     label_map: DataFrame,
-    height: int,
-    width: int,
     rule: str = "presence",
 ) -> DataFrame:
-    """Frames through a detector to the messages of the goal frames, in frame order."""
-    raw = models.detect(frame_table, make_predict_fn, height, width)
+    """Frames of any sizes through a detector to the messages of the goal frames, in frame order."""
+    raw = models.detect(frame_table, make_predict_fn)
     found = detections.explode_detections(detections.trim_detections(raw))
-    named = detections.with_labels(detections.to_pixels(found, width, height), label_map)
-    named = named.withColumnRenamed("det_pos", "det_id")
+    sized = detections.to_pixels(found, F.col("width"), F.col("height"))
+    named = detections.with_labels(sized, label_map).withColumnRenamed("det_pos", "det_id")
     return frames.in_frame_order(goals.goal_messages(goals.goal_frames(named, rule)))
 
 
@@ -71,20 +70,39 @@ def folder_frames(spark: SparkSession, path: str) -> DataFrame:
     return keyed_frames(scan_images(spark, path, drop_invalid=True))
 
 
-def augment_folder(spark: SparkSession, path: str, out: str, seed: int) -> None:
-    """One augmented copy of each image of a folder, named ``aug_...``, written as frames."""
-    copies = pixels.augment(folder_frames(spark, path), seed)
-    write_frames(copies.withColumn("name", aug_name(F.col("name"))), out)
+def _audited(images: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write what was decoded; how many images were, and how many not, counted by the same scan."""
+    audit = Observation("decode")
+    bad = F.col("image.height") < 0
+    seen = images.observe(audit, F.count_if(~bad).alias("loaded"), F.count_if(bad).alias("skipped"))
+    write(keyed_frames(seen.filter(~bad)))
+    return audit.get
 
 
-def label_folder(spark: SparkSession, path: str, out: str) -> None:
-    """The images of a folder with their labels, written as frames."""
-    write_frames(folder_frames(spark, path).withColumn("label", frame_label(F.col("name"))), out)
+def augment_folder(spark: SparkSession, path: str, out: str, seed: int) -> dict[str, int]:
+    """One augmented copy of each image of a folder, named ``aug_...``, written as frames. Returns ``loaded`` and ``skipped``."""
 
+    def write(found: DataFrame) -> None:
+        copies = pixels.augment(found, seed)
+        write_frames(copies.withColumn("name", aug_name(F.col("name"))), out)
 
-def score_image(spark: SparkSession, path: str, make_predict_fn: Callable, height: int, width: int) -> DataFrame:
-    """Raw detections of a model on one image (or a folder of images) of the given size."""
-    return models.detect(keyed_frames(scan_images(spark, path, suffixes=None, drop_invalid=True)), make_predict_fn, height, width)
+    return _audited(scan_images(spark, path), write)
+
+
+def label_folder(spark: SparkSession, path: str, out: str) -> dict[str, int]:
+    """The images of a folder with their labels, written as frames. Returns ``loaded`` and ``skipped``."""
+    return _audited(scan_images(spark, path), lambda found: write_frames(found.withColumn("label", frame_label(F.col("name"))), out))
+
+
+def score_image(spark: SparkSession, path: str, make_predict_fn: Callable) -> DataFrame:
+    """Raw detections of a model on one image, or on a folder of images of any sizes."""
+    return models.detect(keyed_frames(scan_images(spark, path, suffixes=None, drop_invalid=True)), make_predict_fn)
+
+
+def live_goals(frame_stream: DataFrame, make_predict_fn: Callable, label_map: DataFrame, min_score: float = detections.EVAL_SCORE) -> DataFrame:
+    """Frames of a stream (or table) through a detector to goal messages, frame by frame, without state."""
+    raw = models.detect(frame_stream, make_predict_fn).drop("height", "width")
+    return goal_alerts(raw, class_ids(label_map), min_score)
 
 
 def follow_players(

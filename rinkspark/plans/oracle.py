@@ -37,13 +37,14 @@ PAIRS = (
     + f""",
 pairs AS MATERIALIZED (
   SELECT d.video_id, d.frame_idx, d.class_id, d.det_id, t.gt_id, d.score, {_iou('d', 't')} AS iou
-  FROM det d JOIN truth t ON d.video_id = t.video_id AND d.frame_idx = t.frame_idx AND d.class_id = t.class_id)"""
+  FROM det d JOIN truth t ON d.video_id = t.video_id AND d.frame_idx = t.frame_idx AND d.class_id = t.class_id
+    AND d.x < t.x + t.w AND t.x < d.x + d.w AND d.y < t.y + t.h AND t.y < d.y + d.h)"""
 )
 
 VOC = (
     PAIRS
     + """,
-best AS (
+best AS MATERIALIZED (
   SELECT * FROM pairs WHERE iou >= 0.5
   QUALIFY row_number() OVER (PARTITION BY video_id, frame_idx, class_id, det_id ORDER BY iou DESC, gt_id) = 1),
 claimed AS (
@@ -239,12 +240,12 @@ CHECKPOINTS = """
 checkpoints AS (SELECT user_id AS run_id, event_id AS step, 'ckpt-' || event_id AS path FROM events)"""
 
 def _aug() -> str:
-    def draw(name: str) -> str:
-        return f"CAST('0x' || substr(md5(video_id || '|' || frame_idx || '|7|{name}'), 1, 8) AS BIGINT) / 4294967296e0"
+    def draw(k: int) -> str:
+        return f"CAST('0x' || substr(md5(video_id || '|' || frame_idx || '|7'), {1 + 8 * k}, 8) AS BIGINT) / 4294967296e0"
 
     return (
-        f"WITH {FRAMES} SELECT video_id, frame_idx, {draw('angle')} * 50e0 + -25e0 AS angle,"
-        + f" {draw('scale')} * 1e0 + 0.5e0 AS scale, {draw('flip')} < 0.5e0 AS flip FROM frames"
+        f"WITH {FRAMES} SELECT video_id, frame_idx, {draw(0)} * 50e0 + -25e0 AS angle,"
+        + f" {draw(1)} * 1e0 + 0.5e0 AS scale, {draw(2)} < 0.5e0 AS flip FROM frames"
     )
 
 
@@ -403,9 +404,43 @@ sized AS (
 SELECT video_id, frame_idx, CASE WHEN channels < 0 THEN -1 ELSE side END AS height,
   CASE WHEN channels < 0 THEN -1 ELSE side END AS width,
   CAST(CASE WHEN channels < 0 THEN 0 ELSE 3 * side * side END AS BIGINT) AS n_bytes FROM sized""",
+    "detect": f"""WITH {PICTURES},
+flat AS (
+  SELECT video_id, frame_idx, list_transform(range(12), lambda k: CAST('0x' || substr(px[k // 3 + 1], CAST(5 - 2 * (k % 3) AS BIGINT), 2) AS INTEGER)) AS v
+  FROM colours WHERE channels > 0),
+found AS (SELECT *, unnest(range(CASE WHEN list_sum(v) > 1500 THEN 2 ELSE 1 END)) AS j FROM flat)
+SELECT video_id, frame_idx, j AS det_pos, CAST(v[9 + j] % 4 + 1 AS BIGINT) AS class_id, v[11 + j] / 256e0 AS score,
+  v[1 + 4 * j] / 256e0 AS ymin, v[2 + 4 * j] / 256e0 AS xmin, v[3 + 4 * j] / 256e0 AS ymax, v[4 + 4 * j] / 256e0 AS xmax FROM found""",
+    "augmented_pixels": f"""WITH {PICTURES}, drawn AS ({_aug()}),
+turned AS (
+  SELECT c.*, flip, greatest(1, CAST(floor(2 * scale + 0.5e0) AS BIGINT)) AS n,
+    CAST(floor(cos(radians(angle)) * 65536 + 0.5e0) AS BIGINT) AS c, CAST(floor(sin(radians(angle)) * 65536 + 0.5e0) AS BIGINT) AS s
+  FROM colours c JOIN drawn USING (video_id, frame_idx)),
+cells AS (
+  SELECT *, unnest(range(n * n)) AS k FROM turned WHERE channels > 0),
+centred AS (
+  SELECT *, 2 * ((2 * (k // n) + 1) // n) - 1 AS y, 2 * ((2 * (CASE WHEN flip THEN n - 1 - k % n ELSE k % n END) + 1) // n) - 1 AS x FROM cells),
+mapped AS (
+  SELECT *, CAST(floor((c * x - s * y + 131072) / 131072e0) AS BIGINT) AS sx, CAST(floor((s * x + c * y + 131072) / 131072e0) AS BIGINT) AS sy FROM centred)
+SELECT video_id, frame_idx, CAST(any_value(n) AS INTEGER) AS height,
+  string_agg(CASE WHEN sx BETWEEN 0 AND 1 AND sy BETWEEN 0 AND 1 THEN px[2 * sy + sx + 1] ELSE '000000' END, '' ORDER BY k) AS data
+FROM mapped GROUP BY 1, 2
+UNION ALL SELECT video_id, frame_idx, -1, '' FROM pictures WHERE channels < 0""",
+    "drawn_pixels": f"""WITH {PICTURES},
+corners AS (
+  SELECT *, CASE WHEN channels > 0 THEN substr(hex, 1, CAST(8 * channels AS BIGINT)) ELSE '' END AS raw, frame_idx % 3 AS x1, video_id % 2 AS y1,
+    CAST(floor(frame_idx % 3 + 5.5e0) AS BIGINT) AS x2, video_id % 2 + frame_idx % 3 AS y2 FROM colours)
+SELECT video_id, frame_idx, CASE WHEN x1 = 0 OR channels < 0 THEN raw ELSE array_to_string(list_transform(range(4), lambda k:
+  CASE WHEN (k // 2 IN (y1, y2) AND k % 2 BETWEEN x1 AND x2) OR (k % 2 IN (x1, x2) AND k // 2 BETWEEN y1 AND y2) THEN 'ff0000' ELSE px[k + 1] END), '') END AS data
+FROM corners""",
+    "frames_landed": f"""WITH {PICTURES}
+SELECT video_id, frame_idx, CASE WHEN channels > 0 THEN 2 ELSE -1 END AS height,
+  CAST(CASE WHEN channels > 0 THEN 4 * channels ELSE 0 END AS BIGINT) AS n_bytes FROM pictures""",
     "score_linear": """SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) AS prediction
 FROM embeddings""",
 }
+# The stream reports what the batch tracker does.
+ORACLE["track_stream"] = ORACLE["track_iou"]
 # Following players from raw detections sees the same boxes as following them from pixel rows.
 ORACLE["players_summary"] = f"""WITH tracks AS ({ORACLE['track_iou']})
 SELECT video_id, track_id, count(*) FILTER (success) AS frames_seen, count(*) FILTER (NOT success) AS failures

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,9 +15,13 @@ from rinkspark.operators import curves, detections, frames, goals, matching, mod
 from rinkspark.plans import fixtures as fx
 from rinkspark.plans import lifecycle
 from rinkspark.sources.examples import box_rows, with_objects
+from rinkspark.sources.frames import read_frames, write_frame_stream
 from rinkspark.sources.label_map import parse_label_maps
 from rinkspark.sources.landing import landing_status
+from rinkspark.session import shared_folder
+from rinkspark.streaming import tracker
 from rinkspark.streaming.alerts import class_ids, goal_alerts
+from rinkspark.streaming.tracker import use_rocksdb
 
 Query = Callable[[SparkSession, str], DataFrame]
 AUG_SEED = 7
@@ -181,6 +186,23 @@ def track_centroid(spark: SparkSession, d: str) -> DataFrame:
     return _tracks(spark, d, "centroid")
 
 
+def track_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The frames arrive in slices, out of order; after each the stream goes on from its checkpoint."""
+    use_rocksdb(spark)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    arriving = fx.arriving_frames(spark, d)
+    arriving.write.partitionBy("slice").parquet(f"{at}/arrived")
+    init = fx.start_boxes(fx.motion(spark, d))
+    schema = arriving.drop("slice").schema
+    for part in range(fx.SLICES + 1):
+        landed = spark.read.schema(schema).parquet(f"{at}/arrived/slice={part}")
+        landed.write.mode("append").parquet(f"{at}/frames")
+        followed = tracker.track_stream(spark.readStream.schema(schema).parquet(f"{at}/frames"), init)
+        sink = followed.writeStream.format("parquet").option("path", f"{at}/tracks").option("checkpointLocation", f"{at}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(followed.schema).parquet(f"{at}/tracks").drop("late_dropped")
+
+
 def _player_tracks(spark: SparkSession, d: str) -> DataFrame:
     """A track table of its own: each player one track, missed detections as failures."""
     events = fx.table(spark, d, "events")
@@ -266,6 +288,51 @@ def augmented_sizes(spark: SparkSession, d: str) -> DataFrame:
     return grown.select("video_id", "frame_idx", F.col("image.height").alias("height"), F.col("image.width").alias("width"), size.alias("n_bytes"))
 
 
+def _pixel_reader():
+    """A linear stand-in for a detector: two boxes per picture, read off its first bytes."""
+
+    def predict(batch: np.ndarray) -> dict:
+        flat = batch.reshape(len(batch), -1)[:, :12].astype(np.float64)
+        return {
+            "num_detections": np.where(flat.sum(axis=1) > 1500, 2, 1),
+            "detection_boxes": flat[:, :8] / 256,
+            "detection_classes": flat[:, 8:10] % 4 + 1,
+            "detection_scores": flat[:, 10:12] / 256,
+        }
+
+    return predict
+
+
+def detect(spark: SparkSession, d: str) -> DataFrame:
+    raw = models.detect(fx.pictures(spark, d), _pixel_reader).drop("height", "width")
+    found = detections.explode_detections(detections.trim_detections(raw))
+    return found.select("video_id", "frame_idx", "det_pos", "class_id", "score", "box.*")
+
+
+def augmented_pixels(spark: SparkSession, d: str) -> DataFrame:
+    grown = pixels.augment(fx.pictures(spark, d), AUG_SEED)
+    return grown.select("video_id", "frame_idx", F.col("image.height").alias("height"), F.lower(F.hex("image.data")).alias("data"))
+
+
+def drawn_pixels(spark: SparkSession, d: str) -> DataFrame:
+    pictures = fx.pictures(spark, d)
+    drawn = pixels.draw_boxes(pictures, fx.marks(pictures), thickness=1)
+    return drawn.select("video_id", "frame_idx", F.lower(F.hex("image.data")).alias("data"))
+
+
+def frames_landed(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures stream into the frame sink and are read back."""
+    at = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    pictures = fx.pictures(spark, d)
+    pictures.write.parquet(f"{at}/source")
+    stream = read_frames(spark, f"{at}/source", streaming=True, schema=pictures.schema)
+    sink = write_frame_stream(stream, f"{at}/landed", f"{at}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    landed = spark.read.schema(pictures.schema).parquet(f"{at}/landed")
+    size = F.octet_length("image.data").cast("bigint")
+    return landed.select("video_id", "frame_idx", F.col("image.height").alias("height"), size.alias("n_bytes"))
+
+
 def players_summary(spark: SparkSession, d: str) -> DataFrame:
     det = fx.motion(spark, d)
     videos = det.select("video_id").distinct().withColumn("fps", F.lit(25.0))
@@ -318,6 +385,7 @@ QUERIES: dict[str, Query] = {
     "metric_rows": metric_rows,
     "track_iou": track_iou,
     "track_centroid": track_centroid,
+    "track_stream": track_stream,
     "track_annotation": track_annotation,
     "trajectory": trajectory,
     "track_summary": track_summary,
@@ -330,6 +398,10 @@ QUERIES: dict[str, Query] = {
     "tensor_sums": tensor_sums,
     "decode_counts": decode_counts,
     "augmented_sizes": augmented_sizes,
+    "detect": detect,
+    "augmented_pixels": augmented_pixels,
+    "drawn_pixels": drawn_pixels,
+    "frames_landed": frames_landed,
     "players_summary": players_summary,
     "score_linear": score_linear,
 }

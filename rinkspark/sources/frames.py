@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.readwriter import DataFrameWriter
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from rinkspark.functions.naming import file_name
 
@@ -62,14 +64,37 @@ def read_frames(
     return reader.parquet(path)
 
 
-def write_frames(frames: DataFrame, path: str, max_frames_per_file: int = 1000) -> None:
+def _rebalanced(frames: DataFrame, max_frames_per_file: int, *by: str) -> DataFrameWriter:
+    """A writer with few files per folder: rows of a folder meet in tasks of a target size, which Spark measures and splits."""
+    return frames.hint("rebalance", *by).write.mode("overwrite").option("maxRecordsPerFile", max_frames_per_file).partitionBy(*by)
+
+
+def write_frames(frames: DataFrame, path: str, max_frames_per_file: int = 1000, rebalance: bool = True) -> None:
     """Frames as parquet, one folder per video, replacing what was there.
 
-    Rows stay in the task that made them: pixels are not shuffled to be written.
+    Tasks that hold a few frames of each video would write a file for each; rows are therefore rebalanced by video.
+    ``rebalance=False`` leaves the pixels in the tasks that made them, for frames that come video by video.
+    """
+    if rebalance:
+        _rebalanced(frames, max_frames_per_file, "video_id").parquet(path)
+    else:
+        frames.write.mode("overwrite").option("maxRecordsPerFile", max_frames_per_file).partitionBy("video_id").parquet(path)
+
+
+def write_frame_table(frames: DataFrame, name: str, buckets: int) -> None:
+    """Frames as a table that is dealt into buckets by frame: joins by frame move the other side only."""
+    dealt = frames.repartition(buckets, "video_id", "frame_idx")
+    dealt.write.mode("overwrite").bucketBy(buckets, "video_id", "frame_idx").format("parquet").saveAsTable(name)
+
+
+def write_frame_stream(frames: DataFrame, path: str, checkpoint: str, max_frames_per_file: int = 1000) -> DataStreamWriter:
+    """A stream of frames as parquet, one folder per batch and video; the caller starts it.
+
+    A batch that is run again after a failure replaces its own folders and no others, so each frame is there once.
     """
-    (
-        frames.write.mode("overwrite")
-        .option("maxRecordsPerFile", max_frames_per_file)
-        .partitionBy("video_id")
-        .parquet(path)
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        _rebalanced(numbered, max_frames_per_file, "batch", "video_id").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

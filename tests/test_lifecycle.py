@@ -35,9 +35,30 @@ def test_recognise_goals_by_containment(spark):
     pictures[2][0, 0, 2] = 255
     labels = spark.createDataFrame(LABELS, "id int, name string")
     frames = image_rows(spark, pictures)
-    seen = lifecycle.recognise_goals(frames, make, labels, 20, 40, rule="containment")
+    seen = lifecycle.recognise_goals(frames, make, labels, rule="containment")
     assert [r.message for r in seen.collect()] == ["Goal detected at frame 2"]
-    assert lifecycle.recognise_goals(frames, make, labels, 20, 40).count() == 4
+    assert lifecycle.recognise_goals(frames, make, labels).count() == 4
+
+
+def test_live_goals_from_a_stream_of_frames(spark, tmp_path):
+    """Frame in, message out, the model in the stream."""
+
+    def make():
+        def predict(batch):
+            n = len(batch)
+            seen = batch[:, 0, 0, 0] > 100
+            return {"num_detections": seen, "detection_boxes": np.zeros((n, 4)), "detection_classes": np.full((n, 1), 3), "detection_scores": np.full((n, 1), 0.9)}
+
+        return predict
+
+    pictures = black(6)
+    pictures[4][0, 0, 2] = 255
+    frames, labels = image_rows(spark, pictures), spark.createDataFrame(LABELS, "id int, name string")
+    frames.write.parquet(str(tmp_path / "in"))
+    stream = lifecycle.live_goals(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in")), make, labels)
+    sink = stream.writeStream.format("memory").queryName("live_goals").option("checkpointLocation", str(tmp_path / "state"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    assert [r.message for r in spark.table("live_goals").collect()] == ["Goal detected at frame 4"]
 
 
 def test_annotate_video(spark):
@@ -80,10 +101,10 @@ def test_folders_and_one_image(spark, tmp_path):
         (folder / f"frame{k}.png").write_bytes(png(picture(k, 4, 6)))
     (folder / "cover.png").write_bytes(png(picture(1, 4, 6)))
     (folder / "broken.png").write_bytes(b"no picture")
-    lifecycle.augment_folder(spark, str(folder), str(tmp_path / "aug"), seed=2)
+    assert lifecycle.augment_folder(spark, str(folder), str(tmp_path / "aug"), seed=2) == {"loaded": 3, "skipped": 1}
     made = spark.read.parquet(str(tmp_path / "aug"))
     assert {r.name for r in made.collect()} == {"aug_frame3.png", "aug_frame12.png", "aug_cover.png"}
-    lifecycle.label_folder(spark, str(folder), str(tmp_path / "labelled"))
+    assert lifecycle.label_folder(spark, str(folder), str(tmp_path / "labelled")) == {"loaded": 3, "skipped": 1}
     got = {r.name: r for r in spark.read.parquet(str(tmp_path / "labelled")).collect()}
     assert (got["frame12.png"].frame_idx, got["frame12.png"].video_id, got["frame12.png"].label) == (12, "camera7", "frame12")
     assert got["cover.png"].frame_idx >= 0
@@ -95,7 +116,7 @@ def test_folders_and_one_image(spark, tmp_path):
 
         return predict
 
-    one = lifecycle.score_image(spark, str(folder / "frame3.png"), make, 4, 6).collect()
+    one = lifecycle.score_image(spark, str(folder / "frame3.png"), make).collect()
     assert [(r.name, r.num_detections) for r in one] == [("frame3.png", 1.0)]
 
 

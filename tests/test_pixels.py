@@ -5,6 +5,8 @@ from pyspark.sql import types as T
 
 from rinkspark.operators import detections, goals, models, pixels
 
+from rinkspark.sources.frames import write_frame_table
+
 from helpers import image_rows, picture, pixels_of, rows
 
 
@@ -152,7 +154,7 @@ def test_detector_end_to_end(spark):
     bgr = [np.zeros((4, 6, 3), np.uint8) for _ in range(5)]
     bgr[1][..., 2] = 200  # red
     bgr[3][..., 0] = 200  # blue
-    raw = models.detect(image_rows(spark, bgr), make, 4, 6, batch_size=2)
+    raw = models.detect(image_rows(spark, bgr), make, batch_size=2)
     flat = detections.explode_detections(detections.trim_detections(raw))
     assert rows(flat, "frame_idx", "det_pos", "class_id", "box.ymax") == [(1, 0, 3, 0.5), (1, 1, 1, pytest.approx(0.2))]
     labels = spark.createDataFrame([(1, "player"), (3, "goal")], "id int, name string")
@@ -160,6 +162,52 @@ def test_detector_end_to_end(spark):
     assert rows(goals.goal_messages(found), "message") == [("Goal detected at frame 1",)]
 
 
+def test_detector_takes_frames_of_any_size(spark):
+    """Sizes mixed in one table, batches of one size each; undecoded frames have no detections; other columns stay."""
+
+    def make():
+        def predict(batch):
+            n, height, width, _ = batch.shape
+            assert batch.dtype == np.uint8 and n <= 3
+            corner = batch[:, 0, 0].astype(float)
+            return {
+                "num_detections": np.ones(n),
+                "detection_boxes": np.tile([0.0, 0.0, height, width], (n, 1, 1)),
+                "detection_classes": corner[:, :1],
+                "detection_scores": np.full((n, 1), n / 10),
+            }
+
+        return predict
+
+    shapes = [(2, 3), (4, 1), (2, 3), (2, 3), (5, 5), (2, 3)]
+    bgr = [picture(k, *shape) for k, shape in enumerate(shapes)]
+    frames = image_rows(spark, bgr).coalesce(1)
+    lost = frames.limit(1).withColumns({"frame_idx": F.lit(9).cast("long"), "image": F.lit(None).cast(frames.schema["image"].dataType)})
+    raw = models.detect(frames.unionByName(lost).withColumn("name", F.concat(F.lit("f"), "frame_idx")), make, batch_size=3)
+    got = {r.frame_idx: r for r in raw.collect()}
+    for k, img in enumerate(bgr):
+        r = got[k]
+        assert (r.name, r.height, r.width, r.detection_boxes, r.detection_classes) == (f"f{k}", *img.shape[:2], [[0.0, 0.0, *img.shape[:2]]], [img[0, 0, 2]])
+    assert (got[9].num_detections, got[9].detection_boxes, got[9].height) == (0.0, [], None)
+    assert "Pandas" not in raw._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawing_on_a_frame_table_moves_no_pixels(spark):
+    base = [picture(k, 6, 8) for k in range(40)]
+    frames = image_rows(spark, base)
+    write_frame_table(frames, "drawn_frames", 8)
+    boxes = spark.createDataFrame([(0, k, 1.0, 1.0, 4.0, 3.0) for k in range(0, 40, 3)], "video_id long, frame_idx long, x double, y double, w double, h double")
+    stored = spark.table("drawn_frames")
+    drawn = pixels.draw_boxes(stored, boxes)
+    assert [a.tobytes() for a in in_order(drawn)] == [a.tobytes() for a in in_order(pixels.draw_boxes(frames, boxes))]
+    plan = drawn._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0].splitlines()
+    scan = next(k for k, line in enumerate(plan) if "drawn_frames" in line and "Scan" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above = [line for k, line in enumerate(plan[:scan]) if depth(line) < depth(plan[scan]) and all(depth(x) > depth(line) for x in plan[k + 1 : scan + 1])]
+    assert above and not [line for line in above if "Exchange" in line or " Sort " in line]
+    spark.sql("DROP TABLE drawn_frames")
+
+
 def test_score_calls_the_loader_once_per_worker(spark):
     def make():
         calls = []

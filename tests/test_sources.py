@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rinkspark.functions.naming import file_name, frame_label
 from rinkspark.operators.pixels import decode_audit
 from rinkspark.sources.examples import box_rows, export_examples, read_examples, with_objects
-from rinkspark.sources.frames import read_frames, scan_images, write_frames
+from rinkspark.sources.frames import read_frames, scan_images, write_frame_stream, write_frames
 from rinkspark.sources.label_map import parse_label_maps, read_label_map
 from rinkspark.sources.landing import landing_status, list_files
 
@@ -140,3 +140,28 @@ def test_landing(spark, tmp_path):
         ("d.mp4", 3, 0, None, "unknown"),
         ("e.mp4", 0, 0, None, "missing"),
     ]
+
+
+def test_streamed_frames_are_there_once(spark, tmp_path):
+    """A batch that is run again replaces its own folders; a video has few files, however many tasks hold its frames."""
+    frames = image_rows(spark, [picture(k, 3, 4) for k in range(60)]).withColumn("video_id", F.col("frame_idx") % 3)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(2):
+        frames.filter(f"frame_idx % 2 = {part}").repartition(6).write.mode("append").parquet(source)
+        for _ in range(2):  # the second run finds the batch not marked as done, as after a crash
+            sink = write_frame_stream(read_frames(spark, source, streaming=True, schema=frames.schema), out, str(tmp_path / "state"))
+            sink.trigger(availableNow=True).start().awaitTermination()
+            (tmp_path / "state" / "commits" / str(part)).unlink()
+            (tmp_path / "state" / "commits" / f".{part}.crc").unlink(missing_ok=True)
+        sink = write_frame_stream(read_frames(spark, source, streaming=True, schema=frames.schema), out, str(tmp_path / "state"))
+        sink.trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.parquet(out)
+    assert sorted(r.frame_idx for r in back.collect()) == list(range(60))
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "out").glob("batch=*/video_id=*"))
+
+
+def test_written_frames_have_few_files(spark, tmp_path):
+    frames = image_rows(spark, [picture(k, 3, 4) for k in range(40)]).withColumn("video_id", F.col("frame_idx") % 4).repartition(8)
+    write_frames(frames, str(tmp_path / "out"))
+    assert [len(list(p.glob("*.parquet"))) for p in (tmp_path / "out").glob("video_id=*")] == [1] * 4
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
