@@ -281,5 +281,8 @@ def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("map_id"), text.alias("value"))
 
 
+FEATURE_CLASSES = 10
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")

@@ -258,6 +258,39 @@ colours AS (
     THEN repeat(substr(hex, CAST(1 + 2 * i AS BIGINT), 2), 3) ELSE substr(hex, CAST(1 + 2 * channels * i AS BIGINT), 6) END) END AS px
   FROM pictures)"""
 
+
+def _fit(epochs: int, batches: int, rate: float, classes: int) -> str:
+    """Softmax regression by unrolled mini-batch steps; the last feature is the constant."""
+
+    def shares(name: str, weights: str, rows: str) -> str:
+        return f"""
+{name}_z AS MATERIALIZED (SELECT vec_id, label, c, sum(v * w) AS z FROM x JOIN {weights} USING (k) WHERE {rows} GROUP BY 1, 2, 3),
+{name} AS MATERIALIZED (
+  SELECT *, exp(z - max(z) OVER own) AS e, z - max(z) OVER own AS d FROM {name}_z WINDOW own AS (PARTITION BY vec_id))"""
+
+    parts, at = [], "w0"
+    for n in range(epochs * batches):
+        parts.append(shares(f"p{n}", at, f"NOT held_out AND batch = {n % batches}"))
+        parts.append(f"""
+g{n} AS MATERIALIZED (
+  SELECT c, k, sum((share - CASE WHEN c = label THEN 1 ELSE 0 END) * v) AS g, count(*) AS n
+  FROM (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS share FROM p{n}) JOIN x USING (vec_id, label) GROUP BY 1, 2),
+w{n + 1} AS MATERIALIZED (SELECT c, k, w - {rate} * g / n AS w FROM {at} JOIN g{n} USING (c, k))""")
+        at = f"w{n + 1}"
+        if n % batches == batches - 1:
+            parts.append(shares(f"q{n}", at, "held_out"))
+            parts.append(f"""
+loss{n // batches + 1} AS (
+  SELECT avg(l) AS val_loss FROM (SELECT ln(sum(e)) - sum(d) FILTER (c = label) AS l FROM q{n} GROUP BY vec_id))""")
+    log = " UNION ALL ".join(f"SELECT CAST({e} AS BIGINT) AS step, round(val_loss, 9) AS val_loss FROM loss{e}" for e in range(1, epochs + 1))
+    return f"""WITH
+x AS MATERIALIZED (
+  SELECT vec_id, label, vec_id % 5 = 0 AS held_out, vec_id % 2 AS batch, unnest(range(len(embedding) + 1)) AS k,
+    unnest(list_append(list_transform(embedding, lambda e: CAST(e AS DOUBLE)), 1e0)) AS v FROM embeddings),
+w0 AS MATERIALIZED (SELECT c, k, 0e0 AS w FROM range({classes}) AS r(c) CROSS JOIN (SELECT DISTINCT k FROM x)),{",".join(parts)}
+{log}"""
+
+
 ORACLE: dict[str, str] = {
     "goal_frames": f"WITH {GOALS} SELECT * FROM goals",
     "goal_containment": f"""WITH {SCENE}
@@ -439,6 +472,7 @@ SELECT video_id, frame_idx, CASE WHEN channels > 0 THEN 2 ELSE -1 END AS height,
     "score_linear": """SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) AS prediction
 FROM embeddings""",
 }
+ORACLE["fit_log"] = _fit(epochs=3, batches=2, rate=0.5, classes=10)
 # The stream reports what the batch tracker does.
 ORACLE["track_stream"] = ORACLE["track_iou"]
 # Following players from raw detections sees the same boxes as following them from pixel rows.

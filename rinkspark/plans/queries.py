@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rinkspark.functions.naming import aug_name, file_name, frame_index, frame_label, frame_path
-from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels, runs, tracking
+from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels, runs, tracking, training
 from rinkspark.plans import fixtures as fx
 from rinkspark.plans import lifecycle
 from rinkspark.sources.examples import box_rows, with_objects
@@ -173,9 +173,9 @@ def metric_rows(spark: SparkSession, d: str) -> DataFrame:
     return curves.metric_rows(metrics, ["class_id"]).select("class_id", "key", "value")
 
 
-def _tracks(spark: SparkSession, d: str, algorithm: str = "iou") -> DataFrame:
+def _tracks(spark: SparkSession, d: str, algorithm: str = "iou", chunk_boxes: int = tracking.CHUNK_BOXES) -> DataFrame:
     det = fx.motion(spark, d)
-    return tracking.track(det, fx.start_boxes(det), fx.motion_frames(spark, d), algorithm, chunk_boxes=512)
+    return tracking.track(det, fx.start_boxes(det), fx.motion_frames(spark, d), algorithm, chunk_boxes=chunk_boxes)
 
 
 def track_iou(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,8 @@ def track_iou(spark: SparkSession, d: str) -> DataFrame:
 
 
 def track_centroid(spark: SparkSession, d: str) -> DataFrame:
-    return _tracks(spark, d, "centroid")
+    """Small chunks, so that routes cross many of them."""
+    return _tracks(spark, d, "centroid", 512)
 
 
 def track_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -356,6 +357,14 @@ def score_linear(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("vec_id", F.round("prediction", 4).alias("prediction"))
 
 
+def fit_log(spark: SparkSession, d: str) -> DataFrame:
+    """Three epochs of two batches on the feature vectors, and the loss of the vectors held out."""
+    at = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    held_out, batch = F.col("vec_id") % 5 == 0, F.col("vec_id") % 2
+    log = training.train(fx.features(spark, d), at, fx.FEATURE_CLASSES, epochs=3, batches=2, rate=0.5, held_out=held_out, batch_of=batch)
+    return log.select("step", F.round("val_loss", 9).alias("val_loss"))
+
+
 QUERIES: dict[str, Query] = {
     "goal_frames": goal_frames,
     "goal_containment": goal_containment,
@@ -404,4 +413,5 @@ QUERIES: dict[str, Query] = {
     "frames_landed": frames_landed,
     "players_summary": players_summary,
     "score_linear": score_linear,
+    "fit_log": fit_log,
 }
