@@ -10,6 +10,7 @@ there goes along to all other shards. Queries meet shards in blocks, both of bou
 from __future__ import annotations
 
 import heapq
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,10 @@ from rinkspark.llm.common import staged
 from rinkspark.llm.vectors import usable_vectors
 
 SHARD, BLOCK, LEAF = 16_384, 2048, 128
-#: Components are kept within this size, so that inner products of up to 2**13 components fit a long.
-LARGEST = 2**25
+#: Components are kept within this size, as exact as doubles are. Scores are ranked exactly whatever their size.
+LARGEST = 2**53
+#: What a long holds.
+LONGEST = 2**63 - 1
 
 
 class Tree:
@@ -68,23 +71,22 @@ class Tree:
         return best
 
 
-def as_rows(column: pd.Series) -> np.ndarray:
-    """Doubles where products surely stay exact, else longs."""
-    rows = np.stack(column.to_list()).astype(np.int64)
-    return rows.astype(float) if np.abs(rows).max(initial=0) ** 2 * rows.shape[1] < 2**52 else rows
+def exact(rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles or longs where their products surely stay exact, else as integers of any size."""
+    largest = int(np.abs(rows).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(rows.shape[1], 1)
+    kind = float if largest < 2**52 else np.int64 if largest < 2**62 else object
+    return rows.astype(kind), queries.astype(kind)
 
 
 def search_group(k: int):
     def search(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(shard) and len(asked):
-            rows, queries = as_rows(shard["vec"]), as_rows(asked["vec"])
-            if rows.dtype != queries.dtype:
-                rows, queries = rows.astype(np.int64), queries.astype(np.int64)
+            rows, queries = exact(*(np.stack(c.to_list()).astype(np.int64) for c in (shard["vec"], asked["vec"])))
             tree = Tree(rows, shard["id"].to_numpy(np.int64))
             for own, query, floor in zip(asked["id"].tolist(), queries, asked["floor"].tolist()):
-                found += [(own, i, -s) for s, i in tree.search(query, own, k, -np.inf if pd.isna(floor) else floor)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+                found += [(own, i, Decimal(-s)) for s, i in tree.search(query, own, k, -np.inf if floor is None else int(floor))]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64"})
 
     return search
 
@@ -94,8 +96,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     Queries: rows whose id is divisible by ``every``; candidates: all rows with another id and as
     many components. Ties go to the smaller id. Vectors that are NULL, empty or hold a NULL or
-    non-finite component, and rows with a NULL id, take no part; components beyond +-2**25 count as
-    that. A repeated row is a candidate each time, and one query. No usable vector: no rows.
+    non-finite component, and rows with a NULL id, take no part; components beyond +-2**53 count as
+    that, and so do scores beyond a long. A repeated row is a candidate each time, and one query. No usable vector: no rows.
     Runs jobs when called (sizes decide the number of shards and blocks).
     """
     most = float(LARGEST)
@@ -110,16 +112,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     )
     asked_rows = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "vec"])
     queries = asked_rows.select(*[F.col(c).alias(c) for c in asked_rows.columns])  # columns of their own for the cogroup
-    schema, keys = "query_id bigint, vec_id bigint, score bigint", ["dim", "shard", "block"]
+    schema, keys = "query_id bigint, vec_id bigint, score decimal(38,0)", ["dim", "shard", "block"]
 
     def met(data: DataFrame, wanted: DataFrame) -> DataFrame:
         return data.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(search_group(k), schema)
 
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    first = met(spread, queries.withColumn("floor", F.lit(None).cast("double")))
-    kth = first.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n"))
+    first = met(spread, queries.withColumn("floor", F.lit(None).cast("decimal(38,0)")))
+    kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     kth = staged(kth.select(F.col("query_id").alias("id"), F.when(F.col("n") == k, F.col("least")).alias("floor")), "topk-kth")
     everywhere = queries.join(kth, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = met(spread, everywhere)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.greatest(F.lit(str(-LONGEST - 1)).cast("decimal(38,0)"), F.least(F.lit(str(LONGEST)).cast("decimal(38,0)"), F.col("score"))).cast("long")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

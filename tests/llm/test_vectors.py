@@ -40,6 +40,23 @@ def test_top_k_over_several_shards_and_blocks(spark, monkeypatch):
     test_top_k_against_brute_force(spark)
 
 
+def test_top_k_of_large_components(spark):
+    """Scores in the range of a long, from components far apart in size, are exact and in order."""
+    draw = np.random.default_rng(8)
+    vectors = (draw.integers(-(2**20), 2**20, (80, 4)) * 2.0 ** draw.integers(-8, 2, (80, 1))).astype(np.float32)
+    vectors[3], vectors[5], vectors[7] = [200_000, 1, 0, 0], [300_000, 1, 0, 0], [300_000, 2, 0, 0]
+    whole = [[int(np.floor(float(x) * 256)) for x in v] for v in vectors]
+    want = []
+    for q in range(0, 80, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(80) if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    assert max(abs(w[3]) for w in want) > 2**52
+    got = top_k(frame(spark, list(enumerate(vectors.tolist()))), every=20)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and dict(got.dtypes)["score"] == "bigint"
+    huge = [(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [-3e38, 0.0]), (3, [1.0, 0.0])]
+    assert [(r.vec_id, r.score) for r in top_k(frame(spark, huge)).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**61), (2, -(2**63))]
+
+
 def test_top_k_of_few_and_none(spark):
     assert top_k(frame(spark, [(0, [1.0]), (1, [2.0]), (1, [2.0]), (None, [9.0])])).count() == 2
     assert top_k(frame(spark, ODD[:2])).count() == 0
