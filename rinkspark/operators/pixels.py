@@ -172,11 +172,16 @@ def _draw_border(img: np.ndarray, x1: int, y1: int, x2: int, y2: int, colour: tu
 
 
 def draw_boxes(
-    frames: DataFrame, boxes: DataFrame, colour: tuple[int, int, int] = TRACK_COLOUR_BGR, thickness: int = THICKNESS
+    frames: DataFrame,
+    boxes: DataFrame,
+    colour: tuple[int, int, int] = TRACK_COLOUR_BGR,
+    thickness: int = THICKNESS,
+    gathered: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Draw box borders onto a copy of each frame; frames without boxes pass unchanged.
 
-    ``boxes`` has ``video_id, frame_idx, x, y, w, h``. Equal rectangles are drawn once, and
+    ``boxes`` has ``video_id, frame_idx, x, y, w, h``; a row without ``x`` draws nothing. ``gathered`` are aggregates
+    of the rows of a frame that come along as columns, so that pixels are joined once. Equal rectangles are drawn once, and
     the corners reach a frame as one array: give it overlay rows, which are capped per frame.
     Frames from a table that :func:`rinkspark.sources.frames.write_frame_table` wrote stay where they
     are: only the corners are shuffled, to the frames' buckets, and are hashed there.
@@ -187,7 +192,8 @@ def draw_boxes(
         (F.col("x") + F.col("w")).cast("int").alias("x2"),
         (F.col("y") + F.col("h")).cast("int").alias("y2"),
     )
-    per_frame = boxes.select(*FRAME, corner.alias("c")).groupBy(*FRAME).agg(F.collect_set("c").alias("corners"))
+    corners = F.collect_set(F.when(F.col("x").isNotNull(), corner)).alias("corners")
+    per_frame = boxes.groupBy(*FRAME).agg(corners, *[c.alias(name) for name, c in (gathered or {}).items()])
 
     @F.pandas_udf(T.BinaryType())
     def drawn(data: pd.Series, height: pd.Series, width: pd.Series, todo: pd.Series) -> pd.Series:
@@ -206,7 +212,7 @@ def draw_boxes(
 
     # hashed, not merged: merging would sort the pixels
     joined = frames.join(per_frame.hint("shuffle_hash"), list(FRAME), "left")
-    new = F.when(F.col("corners").isNotNull(), drawn(*_image_fields(), F.col("corners")))
+    new = F.when(F.size("corners") > 0, drawn(*_image_fields(), F.col("corners")))
     return _with_pixels(joined, new).drop("corners")
 
 

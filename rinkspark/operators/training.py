@@ -84,6 +84,8 @@ class Run:
         at = f"{self.path}/checkpoints/{step}"
         row = self.spark.createDataFrame([(self.run_id, step, at, json.dumps(weights.tolist()))], f"{CHECKPOINTS}, weights string")
         row.coalesce(1).write.mode("overwrite").parquet(at)
+        if step <= keep:
+            return
         found = self.checkpoints()
         for old in found.join(keep_latest(found, keep), "step", "left_anti").collect():  # one, or none
             gone = self.spark._jvm.org.apache.hadoop.fs.Path(old.path)
@@ -136,9 +138,10 @@ def train(
         return run.log()
     step, weights = run.restore() or (0, np.zeros((classes, first.n + 1)))
     while step < epochs:
-        stopped = early_stop(run.log().filter(F.col("step") <= step), patience).first()
-        if stopped is not None and stopped.stop_step is not None:
-            break
+        if step >= patience:  # fewer epochs cannot have waited as long
+            stopped = early_stop(run.log().filter(F.col("step") <= step), patience).first()
+            if stopped is not None and stopped.stop_step is not None:
+                break
         step += 1
         for b in range(batches):
             gradient, _, n = gradient_sums(marked.filter(~F.col("held_out") & (F.col("batch") == b)), weights)

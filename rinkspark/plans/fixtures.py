@@ -170,7 +170,7 @@ def motion_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SLICES = 3
+SLICES = 2
 JITTER = 8
 
 

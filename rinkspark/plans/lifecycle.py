@@ -38,11 +38,8 @@ def annotate_video(
     found = detections.explode_detections(detections.trim_detections(raw))
     drawn = detections.overlay(found, label_map, width, height)
     # the overlay is capped per frame, so are these arrays
-    texts = drawn.groupBy(*detections.FRAME).agg(
-        F.array_sort(F.collect_list(F.struct("box_rank", "text"))).alias("ranked")
-    )
-    texts = texts.select(*detections.FRAME, F.col("ranked.text").alias("texts"))
-    return pixels.draw_boxes(frame_table, drawn).join(texts, list(detections.FRAME), "left")
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("box_rank", "text"))), lambda t: t["text"])
+    return pixels.draw_boxes(frame_table, drawn, gathered={"texts": ranked})
 
 
 def prepare_training(
@@ -119,6 +116,16 @@ def follow_players(
     return tracking.annotate_tracks(followed), tracking.track_summary(followed, videos)
 
 
+def draw_players(frame_table: DataFrame, notes: DataFrame) -> DataFrame:
+    """Frames with the boxes of the players that were seen, and in ``failures`` the message of each track that was not.
+
+    ``notes`` are the annotated rows of :func:`follow_players`.
+    """
+    seen = notes.withColumns({c: F.when(F.col("success"), F.col(c)) for c in tracking.BOX})
+    lost = F.collect_list(F.when(~F.col("success"), F.struct("track_id", "message")))
+    return pixels.draw_boxes(frame_table, seen, gathered={"failures": F.transform(F.array_sort(lost), lambda t: t["message"])})
+
+
 def evaluate(
     det: DataFrame,
     truth: DataFrame,

@@ -259,7 +259,7 @@ colours AS (
   FROM pictures)"""
 
 
-def _fit(epochs: int, batches: int, rate: float, classes: int) -> str:
+def _fit(epochs: int, batches: int, rate: float, classes: int, report: bool = False) -> str:
     """Softmax regression by unrolled mini-batch steps; the last feature is the constant."""
 
     def shares(name: str, weights: str, rows: str) -> str:
@@ -283,6 +283,10 @@ w{n + 1} AS MATERIALIZED (SELECT c, k, w - {rate} * g / n AS w FROM {at} JOIN g{
 loss{n // batches + 1} AS (
   SELECT avg(l) AS val_loss FROM (SELECT ln(sum(e)) - sum(d) FILTER (c = label) AS l FROM q{n} GROUP BY vec_id))""")
     log = " UNION ALL ".join(f"SELECT CAST({e} AS BIGINT) AS step, round(val_loss, 9) AS val_loss FROM loss{e}" for e in range(1, epochs + 1))
+    if report:  # the last weights on all vectors
+        parts.append(shares("r", at, "true"))
+        log = f"""SELECT CAST({epochs} AS BIGINT) AS step, count(*) AS n, round(avg(l), 9) AS loss, round(avg(hit), 9) AS accuracy FROM (
+  SELECT ln(sum(e)) - sum(d) FILTER (c = label) AS l, CASE WHEN sum(d) FILTER (c = label) = 0 THEN 1e0 ELSE 0e0 END AS hit FROM r GROUP BY vec_id)"""
     return f"""WITH
 x AS MATERIALIZED (
   SELECT vec_id, label, vec_id % 5 = 0 AS held_out, vec_id % 2 AS batch, unnest(range(len(embedding) + 1)) AS k,
@@ -473,6 +477,10 @@ SELECT video_id, frame_idx, CASE WHEN channels > 0 THEN 2 ELSE -1 END AS height,
 FROM embeddings""",
 }
 ORACLE["fit_log"] = _fit(epochs=3, batches=2, rate=0.5, classes=10)
+ORACLE["evaluate_checkpoint"] = _fit(epochs=3, batches=2, rate=0.5, classes=10, report=True)
+ORACLE["examples_written"] = ORACLE["example_roundtrip"]
+ORACLE["live_goals"] = f"""SELECT DISTINCT video_id, frame_idx, 'Goal detected at frame ' || frame_idx AS message
+FROM ({ORACLE['detect']}) WHERE class_id = 3 AND score >= 0.5"""
 # The stream reports what the batch tracker does.
 ORACLE["track_stream"] = ORACLE["track_iou"]
 # Following players from raw detections sees the same boxes as following them from pixel rows.

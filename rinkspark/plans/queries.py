@@ -14,7 +14,7 @@ from rinkspark.functions.naming import aug_name, file_name, frame_index, frame_l
 from rinkspark.operators import curves, detections, frames, goals, matching, models, pixels, runs, tracking, training
 from rinkspark.plans import fixtures as fx
 from rinkspark.plans import lifecycle
-from rinkspark.sources.examples import box_rows, with_objects
+from rinkspark.sources.examples import box_rows, export_examples, read_examples, with_objects
 from rinkspark.sources.frames import read_frames, write_frame_stream
 from rinkspark.sources.label_map import parse_label_maps
 from rinkspark.sources.landing import landing_status
@@ -121,6 +121,14 @@ def example_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("video_id", "frame_idx", F.explode("objects").alias("o")).select("video_id", "frame_idx", "o.*")
 
 
+def examples_written(spark: SparkSession, d: str) -> DataFrame:
+    """Training examples written to files, and their boxes read back."""
+    at = f"{shared_folder(spark)}/examples-{uuid.uuid4().hex}"
+    export_examples(fx.frames(spark, d), fx.truth(spark, d), at)
+    whole = with_objects(*read_examples(spark, at))
+    return whole.select("video_id", "frame_idx", F.explode("objects").alias("o")).select("video_id", "frame_idx", "o.*")
+
+
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.iou_pairs(fx.detections(spark, d), fx.truth(spark, d), min_iou=0.1)
 
@@ -310,6 +318,18 @@ def detect(spark: SparkSession, d: str) -> DataFrame:
     return found.select("video_id", "frame_idx", "det_pos", "class_id", "score", "box.*")
 
 
+def live_goals(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures stream through the detector to goal messages."""
+    at = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    pictures = fx.pictures(spark, d)
+    pictures.write.parquet(f"{at}/frames")
+    stream = read_frames(spark, f"{at}/frames", streaming=True, schema=pictures.schema)
+    messages = lifecycle.live_goals(stream, _pixel_reader, fx.label_map(spark))
+    sink = messages.writeStream.format("parquet").option("path", f"{at}/messages").option("checkpointLocation", f"{at}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(messages.schema).parquet(f"{at}/messages")
+
+
 def augmented_pixels(spark: SparkSession, d: str) -> DataFrame:
     grown = pixels.augment(fx.pictures(spark, d), AUG_SEED)
     return grown.select("video_id", "frame_idx", F.col("image.height").alias("height"), F.lower(F.hex("image.data")).alias("data"))
@@ -357,11 +377,21 @@ def score_linear(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("vec_id", F.round("prediction", 4).alias("prediction"))
 
 
-def fit_log(spark: SparkSession, d: str) -> DataFrame:
-    """Three epochs of two batches on the feature vectors, and the loss of the vectors held out."""
+def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The log of three epochs of two batches on the feature vectors, and where the run is."""
     at = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
     held_out, batch = F.col("vec_id") % 5 == 0, F.col("vec_id") % 2
     log = training.train(fx.features(spark, d), at, fx.FEATURE_CLASSES, epochs=3, batches=2, rate=0.5, held_out=held_out, batch_of=batch)
+    return log, at
+
+
+def evaluate_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    report = training.evaluate_latest(fx.features(spark, d), _fitted(spark, d)[1])
+    return report.select("step", "n", F.round("loss", 9).alias("loss"), F.round("accuracy", 9).alias("accuracy"))
+
+
+def fit_log(spark: SparkSession, d: str) -> DataFrame:
+    log, _ = _fitted(spark, d)
     return log.select("step", F.round("val_loss", 9).alias("val_loss"))
 
 
@@ -383,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "landing_status": landing,
     "label_map": label_map,
     "example_roundtrip": example_roundtrip,
+    "examples_written": examples_written,
     "iou_pairs": iou_pairs,
     "voc_match": voc_match,
     "coco_match": coco_match,
@@ -408,10 +439,12 @@ QUERIES: dict[str, Query] = {
     "decode_counts": decode_counts,
     "augmented_sizes": augmented_sizes,
     "detect": detect,
+    "live_goals": live_goals,
     "augmented_pixels": augmented_pixels,
     "drawn_pixels": drawn_pixels,
     "frames_landed": frames_landed,
     "players_summary": players_summary,
     "score_linear": score_linear,
     "fit_log": fit_log,
+    "evaluate_checkpoint": evaluate_checkpoint,
 }

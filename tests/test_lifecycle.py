@@ -131,3 +131,14 @@ def test_follow_players(spark):
     assert [r.success for r in notes.orderBy("frame_idx").collect()] == [True] * 5 + [False]
     row = summary.first()
     assert row.frames_seen == 5 and row.failures == 1 and row.path_length == pytest.approx(4.0)
+
+
+def test_draw_players(spark):
+    notes = spark.createDataFrame(
+        [(0, 0, 1, True, 3.0, 2.0, 8.0, 6.0, None), (0, 1, 1, False, 9.0, 9.0, 1.0, 1.0, "lost"), (0, 0, 2, False, 3.0, 2.0, 8.0, 6.0, "lost")],
+        "video_id long, track_id long, frame_idx long, success boolean, x double, y double, w double, h double, message string",
+    )
+    out = lifecycle.draw_players(image_rows(spark, black(4)), notes).orderBy("frame_idx").collect()
+    assert (pixels_of(out[1])[2, 3] == [255, 0, 0]).all() and not pixels_of(out[1])[9, 9].any() and out[1].failures == ["lost"]
+    assert not pixels_of(out[2]).any() and out[2].failures == ["lost"]
+    assert not pixels_of(out[0]).any() and out[0].failures is None
