@@ -1,10 +1,13 @@
 import datetime
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rinkspark.operators import tracking
-from rinkspark.streaming.tracker import frame_rows, track_stream, use_rocksdb
+from rinkspark.streaming.tracker import FollowTarget, frame_rows, track_stream, use_rocksdb
 
 from helpers import INIT, POINTS, random_motion, rows, track_rule
 
@@ -132,6 +135,65 @@ def test_stream_out_of_order_equals_batch(spark, tmp_path, algorithm):
     assert got.agg(F.max("late_dropped")).first()[0] == 0
 
 
+class Store:
+    """State and timers of one track in plain Python; ``touched`` counts the entries read, written or listed."""
+
+    def __init__(self):
+        self.map, self.one, self.timers, self.touched = {}, None, set(), 0
+
+    def getMapState(self, name, *_):
+        return self
+
+    def getValueState(self, name, *_):
+        held = self
+        return SimpleNamespace(get=lambda: held.one, exists=lambda: held.one is not None, update=lambda v: setattr(held, "one", v))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def containsKey(self, key):
+        self.touched += 1
+        return key in self.map
+
+    def getValue(self, key):
+        self.touched += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.touched += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.touched += 1
+        del self.map[key]
+
+    def keys(self):
+        self.touched += len(self.map)
+        return iter(list(self.map))
+
+
+def test_a_large_batch_is_not_looked_over_per_frame():
+    """State operations grow with the frames of a batch, not with their square."""
+    n, store = 3000, Store()
+    processor = FollowTarget("iou", 0.3, 50.0, 1000)
+    processor.init(store)
+    first = {"first_frame": -1, "i_x": 0.0, "i_y": 0.0, "i_w": 10.0, "i_h": 10.0}
+    listed = [{"at": k * 1000 + 500, "frame_idx": k, "boxes": np.array([0.0, k % 3, 10.0, 10.0]), **first} for k in reversed(range(n))]
+    list(processor.handleInputRows((0, 0), iter([pd.DataFrame(listed[:1700]), pd.DataFrame(listed[1700:])]), None))
+    out, watermark = [], (n - 10) * 1000 + 700
+    while store.timers and min(store.timers) <= watermark:
+        at = min(store.timers)
+        times, timer = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda: at)
+        out += [r for pdf in processor.handleExpiredTimer((0, 0), times, timer) for r in pdf.itertuples()]
+        store.deleteTimer(at)
+    assert [(r.frame_idx, r.success, r.y) for r in out] == [(k, True, k % 3) for k in range(n - 10)]
+    assert min(store.timers) == (n - 9) * 1000
+    assert store.touched <= 5 * n
+
+
 def test_frames_behind_the_watermark_are_dropped(spark, tmp_path):
     box = [(1, 0.0, 0.0, 10.0, 10.0)]
     init = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 10.0, 10.0)], INIT)
