@@ -1,14 +1,15 @@
 """Personal data in texts: fixed rules, and candidates that boosted trees accept by format and context.
 
 Rules find what is certain. Generators propose more, loosely and overlapping: addresses spelled out,
-numbers without their plus sign, spaced digits. Trees are fitted on proposals from a bounded sample of
-documents, labelled by whether a rule accepts them, and do not see the sign that the rule goes by.
-A threshold per kind is calibrated on the part of the sample that the trees have not seen.
+numbers without their plus sign, spaced digits. Trees are fitted on the proposals of all documents, labelled
+by whether a rule accepts them, and do not see the sign that the rule goes by: two thirds of the documents, by
+the hash of the row, fit the trees, and the others, unseen, calibrate a threshold per kind.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.llm.boosting import Boosted
-from rinkspark.llm.common import shared_value, text_of
+from rinkspark.llm.boosting import BINS, Boosted
+from rinkspark.llm.common import shared_value, slices, staged, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the fit: documents chosen by the hash of their id, and proposals per document.
-SAMPLE_DOCS, SAMPLE_SPANS = 4000, 40
+#: One document in so many calibrates; probabilities are compared in steps of 1 / ``GRID``.
+FOLDS, GRID = 3, 10_000
+#: What a staged span is: accepted by a rule, apart from all the rules' spans. Documents handed on at a time.
+ACCEPTED, APART, HANDED = 1, 2, 1000
 #: Share of unseen proposals over a threshold that the rules confirm, and the fewest that can show it.
 PRECISION, SUPPORT = 0.9, 15
 #: A country code in front of a number.
@@ -144,60 +147,148 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def labelled(text: str) -> list[tuple[Span, bool]]:
-    """Proposals and rule matches, each with whether a rule of its kind accepts (nearly) this span."""
-    base = base_spans(text)
-    found = sorted(set(proposals(text)) | set(base), key=lambda s: (s[1], s[0], s[2]))[:SAMPLE_SPANS]
+def apart(spans: list[Span], taken: list[tuple[int, int]]) -> list[bool]:
+    """Which spans overlap none of ``taken``."""
+    ends: list[tuple[int, int]] = []
+    for a, b in sorted(taken):
+        if ends and a < ends[-1][1]:
+            ends[-1] = (ends[-1][0], max(b, ends[-1][1]))
+        else:
+            ends.append((a, b))
+    starts = [a for a, _ in ends]
+    found = []
+    for _, a, b in spans:
+        at = bisect_left(starts, b) - 1
+        found.append(at < 0 or ends[at][1] <= a)
+    return found
+
+
+def labelled(text: str) -> tuple[list[Span], list[tuple[Span, int]]]:
+    """The rules' spans; and proposals and rules' spans, each with its marks: a rule accepts (nearly) this span, it overlaps none."""
+    base, proposed = base_spans(text), set(proposals(text))
+    found = sorted(proposed | set(base), key=lambda s: (s[1], s[0], s[2]))
+    ends = {(k, b): a for k, a, b in base}
 
     def accepted(span: Span) -> bool:
-        return any(k == span[0] and a <= span[1] + 3 and b == span[2] and span[1] - a <= 4 for k, a, b in base)
+        a = ends.get((span[0], span[2]))
+        return a is not None and -3 <= span[1] - a <= 4
+
+    free = apart(found, [(a, b) for _, a, b in base])
+    return base, [(s, ACCEPTED * accepted(s) + APART * (f and s in proposed)) for s, f in zip(found, free)]
+
+
+def staged_spans(docs: DataFrame) -> DataFrame:
+    """Staged, for every document (``id``, ``text``): ``id, fold, base, spans, x``.
+
+    ``base`` holds kind, start, end of the rules' spans, ``spans`` these and the marks of all, ``x`` their features, one after another.
+    """
 
-    return [(s, accepted(s)) for s in found]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole.num_rows, HANDED):
+                batch = whole.slice(part.start, part.stop - part.start)
+                bases, spans, x = [], [], []
+                for text in batch.column(2).to_pylist():
+                    base, found = labelled(text)
+                    bases.append([v for s in base for v in s])
+                    spans.append([v for s, mark in found for v in (*s, mark)])
+                    x.append([v for s, _ in found for v in features(text, s)])
+                columns = [pa.array(bases, pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "fold", "base", "spans", "x"])
 
+    kind = docs.schema["id"].dataType.simpleString()
+    fold = F.pmod(F.xxhash64("id", "text"), F.lit(FOLDS)).cast("int").alias("fold")
+    found = docs.select("id", fold, "text").mapInArrow(read, f"id {kind}, fold int, base array<int>, spans array<int>, x array<float>")
+    return staged(found, "personal-spans")
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Boosted | None, list[float]]:
-    """Trees and a threshold per kind, from at most ``sample_docs`` documents (``id``, ``text``).
+
+def fit(spans: DataFrame) -> tuple[Boosted | None, list[float]]:
+    """Trees and a threshold per kind, in steps of the grid, from all spans of ``staged_spans``.
 
     Without proposals of both labels there are no trees, and only the rules count.
     """
-    likely = docs.select(F.xxhash64("id", "text").alias("h"), "text").filter(F.col("text").rlike("[0-9]{2}|@| dot "))
-    # The bound is found on hashes alone, so that no task gathers texts.
-    last = likely.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    sample = likely.filter(F.col("h") <= F.lit(last)) if last is not None else likely.limit(0)
+    width, thresholds = len(features("", (0, 0, 0))), [np.inf] * len(KINDS)
+    some = spans.filter(F.size("spans") > 0).select("fold", "spans", "x")
+
+    def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        marks = batch.column(1).flatten().to_numpy().reshape(-1, 4)
+        fold = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()) // 4)
+        return fold, marks, batch.column(2).flatten().to_numpy().reshape(-1, width)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, fold, kinds = [], [], [], []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for span, label in labelled(text):
-                    x.append(features(text, span))
-                    y.append(label)
-                    fold.append(h % 3)
-                    kinds.append(span[0])
-            columns = [pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_()), pa.array(fold, pa.int64()), pa.array(kinds, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["x", "y", "fold", "kind"])
-
-    got = sample.mapInArrow(rows, "x array<double>, y boolean, fold bigint, kind bigint").toPandas()
-    thresholds = [np.inf] * len(KINDS)
-    if got["y"].nunique() < 2:
+            x = unpacked(batch)[2]
+            for k in range(width):
+                value, n = np.unique(x[:, k], return_counts=True)
+                columns = [pa.array(np.full(len(n), k, np.int32)), pa.array(value.astype(float)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["feature", "value", "n"])
+
+    counted = some.mapInArrow(values, "feature int, value double, n bigint").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    at = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    got = counted.groupBy("feature").agg(F.percentile("value", at, F.col("n")).alias("cuts")).collect()  # one row per feature
+    if not got:
         return None, thresholds
-    x, y, fold, kind = np.stack(got["x"]), got["y"].to_numpy(float), got["fold"].to_numpy(), got["kind"].to_numpy()
-    seen = fold > 0
-    if len(np.unique(y[seen])) < 2:
+    cuts = np.array([r.cuts for r in sorted(got, key=lambda r: r.feature)])
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, marks, x = unpacked(batch)
+            b = np.stack([np.searchsorted(c, x[:, k], "left") for k, c in enumerate(cuts)], axis=1)
+            head = np.stack([fold == 0, marks[:, 0]], axis=1)
+            key, own = np.unique(np.hstack([head, b]).astype(np.uint8), axis=0, return_inverse=True)
+            own = own.ravel()
+            n, pos = np.bincount(own, minlength=len(key)), np.bincount(own, marks[:, 3] & ACCEPTED, len(key))
+            columns = [
+                pa.array(key[:, 0] == 1),
+                pa.array(key[:, 1].astype(np.int32)),
+                pa.array([row.tobytes() for row in np.ascontiguousarray(key[:, 2:])], pa.binary()),
+                pa.array(n.astype(np.int64)),
+                pa.array(pos.astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["unseen", "kind", "bins", "n", "pos"])
+
+    table = some.mapInArrow(binned, "unseen boolean, kind int, bins binary, n bigint, pos bigint")
+    table = staged(table.groupBy("unseen", "kind", "bins").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), "personal-bins")
+    seen, unseen = table.filter("not unseen"), table.filter("unseen").select("kind", "bins", "n", "pos")
+    n, pos = seen.agg(F.sum("n"), F.sum("pos")).first()
+    if not n or pos in (0, n):
         return None, thresholds
-    model = Boosted().fit(x[seen], y[seen])
-    p = model.probability(x[~seen])
+    model = Boosted().fit_spread(seen.select("bins", "n", "pos"), cuts)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width).astype(np.int64)
+            cell = np.floor(model.judged(b) * GRID).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), *batch.columns[2:]], ["kind", "cell", "n", "pos"])
+
+    cells = unseen.mapInArrow(judged, "kind int, cell bigint, n bigint, pos bigint").groupBy("kind", "cell")
+    ranked = sorted(cells.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect(), key=lambda r: -r.cell)  # the grid's rows at most
     for k in range(len(KINDS)):
-        own = kind[~seen] == k
-        order = np.argsort(-p[own], kind="stable")
-        ranked, truth = p[own][order], y[~seen][own][order]
-        precision = np.cumsum(truth) / np.arange(1, len(truth) + 1)
-        good = np.flatnonzero((precision >= PRECISION) & (np.cumsum(truth) >= SUPPORT))
+        own = [r for r in ranked if r.kind == k]
+        n, pos = np.cumsum([r.n for r in own]), np.cumsum([r.pos for r in own])
+        good = np.flatnonzero((pos >= PRECISION * n) & (pos >= SUPPORT))
         if len(good):
-            thresholds[k] = max(float(ranked[good[-1]]), 0.5)
+            thresholds[k] = max(own[good[-1]].cell, GRID // 2)
     return model, thresholds
 
 
+def decided(base: list[list[Span]], extra: list[tuple[int, Span]], x: np.ndarray, model: Boosted, thresholds: list[float]) -> list[list[Span]]:
+    """Per text the rules' spans and those of ``extra`` (text, span) that the trees accept; of two that overlap the likelier."""
+    added: list[list[tuple[int, int, int]]] = [[] for _ in base]  # start, end, kind: apart, by start
+    if extra:
+        p = model.probability(x)
+        limit = np.array([thresholds[s[0]] for _, s in extra])
+        for i in np.argsort(-p, kind="stable"):
+            if np.floor(p[i] * GRID) < limit[i]:
+                continue
+            k, (kind, a, b) = extra[i]
+            held = added[k]
+            at = bisect_left(held, (a, a, -1))
+            if (at == 0 or held[at - 1][1] <= a) and (at == len(held) or b <= held[at][0]):
+                held.insert(at, (a, b, kind))
+    return [sorted(own + [(k, a, b) for a, b, k in more], key=lambda s: (s[1], s[0], s[2])) for own, more in zip(base, added)]
+
+
 def spans_of(texts: list[str], model: Boosted | None, thresholds: list[float]) -> list[tuple[list[Span], list[Span]]]:
     """Per text: the rules' spans, and all spans. Added ones overlap no other; the likelier of two wins."""
     base = [base_spans(t) for t in texts]
@@ -205,16 +296,10 @@ def spans_of(texts: list[str], model: Boosted | None, thresholds: list[float]) -
         return [(b, b) for b in base]
     extra: list[tuple[int, Span]] = []
     for k, (text, own) in enumerate(zip(texts, base)):
-        extra += [(k, s) for s in proposals(text) if not any(a < s[2] and s[1] < b for _, a, b in own)]
-    added: list[list[Span]] = [[] for _ in texts]
-    if extra:
-        p = model.probability(np.array([features(texts[k], s) for k, s in extra]))
-        limit = np.array([thresholds[s[0]] for _, s in extra])
-        for i in np.argsort(-p, kind="stable"):
-            k, s = extra[i]
-            if p[i] >= limit[i] and not any(a < s[2] and s[1] < b for _, a, b in added[k]):
-                added[k].append(s)
-    return [(b, sorted(b + a, key=lambda s: (s[1], s[0], s[2]))) for b, a in zip(base, added)]
+        found = proposals(text)
+        extra += [(k, s) for s, free in zip(found, apart(found, [(a, b) for _, a, b in own])) if free]
+    x = np.array([features(texts[k], s) for k, s in extra])
+    return list(zip(base, decided(base, extra, x, model, thresholds)))
 
 
 def written(spans: list[Span]) -> str:
@@ -237,34 +322,50 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Counts and ``base_spans`` are the rules' alone; ``spans`` adds what the trees accept. Spans are
     kind:start:end in code points, comma-joined, by start, then kind. A NULL or empty text has none
     (``redacted`` of NULL is empty). Repeated rows get equal rows; NULL ids are kept; an empty table gives none.
-    Texts are read whole; rules and proposals take time in proportion to them. One job when called: the fit.
+    Texts are read whole; rules and proposals take time in proportion to them. The spans of all documents are a staged
+    table, from which the trees are fitted when called.
     """
     plain = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    shared = shared_value(docs.sparkSession, fit(plain))
+    found_spans = staged_spans(plain)
+    shared = shared_value(docs.sparkSession, fit(found_spans))
     names = ["id", *[f"n_{k}" for k in KINDS], "base_spans", "spans", "redacted"]
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, thresholds = shared.value
+    def columns(spans: list[tuple[list[Span], list[Span]]], text: list[str | None]) -> list[pa.Array]:
+        counts = [pa.array([sum(s[0] == k for s in b) for b, _ in spans], pa.int64()) for k in range(len(KINDS))]
+        return counts + [pa.array(v, pa.string()) for v in ([written(b) for b, _ in spans], [written(s) for _, s in spans], text)]
+
+    def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            spans = spans_of(texts, model, thresholds)
-            counts = [pa.array([sum(s[0] == k for s in b) for b, _ in spans], pa.int64()) for k in range(len(KINDS))]
-            text = [redacted(t, s) if keep_text else None for t, (_, s) in zip(texts, spans)]
-            strings = [pa.array(v, pa.string()) for v in ([written(b) for b, _ in spans], [written(s) for _, s in spans], text)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *strings], names)
+            spans = spans_of(texts, *shared.value)
+            text = [redacted(t, s) for t, (_, s) in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(spans, text)], names)
+
+    def from_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, thresholds = shared.value
+        width = len(features("", (0, 0, 0)))
+        for batch in batches:
+            base, extra, x = [], [], []
+            for k, (own, marked, values) in enumerate(zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)])):
+                base.append(list(zip(own[::3], own[1::3], own[2::3])))
+                for at, mark in enumerate(marked[3::4]):
+                    if mark & APART:
+                        extra.append((k, tuple(marked[4 * at : 4 * at + 3])))
+                        x.append(values[width * at : width * at + width])
+            every = base if model is None else decided(base, extra, np.array(x), model, thresholds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(list(zip(base, every)), [None] * len(base))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_spans string, spans string, redacted string"
-    out = plain.mapInArrow(found, schema).withColumnRenamed("id", id_col)
-    return out if keep_text else out.drop("redacted")
-
-
+    if keep_text:
+        return plain.mapInArrow(from_texts, schema).withColumnRenamed("id", id_col)
+    return found_spans.select("id", "base", "spans", "x").mapInArrow(from_spans, schema).withColumnRenamed("id", id_col).drop("redacted")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of personal data in the text replaced by its kind; NULL stays NULL."""
     plain = docs.select(F.col(text_col).alias("id"), text_of(text_col).alias("text"))
-    shared = shared_value(docs.sparkSession, fit(plain))
+    shared = shared_value(docs.sparkSession, fit(staged_spans(plain).drop("id")))
     at = docs.columns.index(text_col)
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,3 +82,25 @@ def test_without_anything_to_learn(spark):
     df = spark.createDataFrame([(1, "plain words only"), (2, "a@b.cd")], "doc_id long, text string")
     assert sorted(r.spans for r in personal.find_personal(df).collect()) == ["", "email:0:6"]
     assert personal.find_personal(df.limit(0)).count() == 0
+
+
+def test_trees_from_a_table_equal_those_from_rows(spark):
+    """Sums over tasks give the trees that the rows give in one place."""
+    draw = np.random.default_rng(0)
+    x = draw.random((3000, 4))
+    y = (x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)
+    own = Boosted(trees=10).fit(x, y.astype(float))
+    table = [(bytes(b), 1, int(p)) for b, p in zip(own.binned(x).astype(np.uint8), y)]
+    spread = Boosted(trees=10).fit_spread(spark.createDataFrame(table, "bins binary, n long, pos long").repartition(5), own.cuts)
+    assert np.abs(spread.probability(x) - own.probability(x)).max() < 0.02
+
+
+def test_fit_reads_every_span(spark):
+    """The only confirmed phone numbers stand behind forty other spans of their texts."""
+    draw = random.Random(3)
+    texts = [" ".join(f"{draw.randint(10, 99)}-{draw.randint(1000, 9999)}-{draw.randint(10, 99)}" for _ in range(45)) + f" call +1 (234) 555-{k:04}" for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    spans = personal.staged_spans(df)
+    assert spans.selectExpr("min(size(spans)) AS n").first().n > 4 * 40
+    model, thresholds = personal.fit(spans)
+    assert model is not None and thresholds[3] < np.inf
