@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from rinkspark.llm.near_texts import candidates, representatives
+from rinkspark.llm.near_texts import candidates, probed, representatives
 
 
 def shingle_set(text):
@@ -110,3 +110,17 @@ def test_candidates_hold_every_similar_pair(spark):
     sets = [set(s) for s in sets]
     want = {(a, b) for a, b in combinations(range(len(sets)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert want and want <= got
+
+
+def test_probes_find_near_fingerprints(spark):
+    """Candidates of the stage's own method: every pair of fingerprints within two bits, equal ones by their first."""
+    draw, prints = random.Random(9), []
+    for _ in range(60):
+        fp = draw.getrandbits(64)
+        prints += [fp, fp ^ 1 << draw.randrange(64), fp ^ 1 << draw.randrange(64) ^ 1 << draw.randrange(64), fp]
+    nodes = [(k, fp - (1 << 64) if fp >> 63 else fp) for k, fp in enumerate(prints)]
+    got = {(r.a, r.b) for r in probed(spark.createDataFrame(nodes, "id long, fp long")).collect()}
+    first = {fp: k for k, fp in reversed(list(enumerate(prints)))}
+    want = {(a, b) for a, b in combinations(sorted(first.values()), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    want |= {(first[fp], k) for k, fp in enumerate(prints) if first[fp] != k}
+    assert want and got == want
