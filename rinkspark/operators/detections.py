@@ -78,6 +78,10 @@ def explode_detections(trimmed: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
+#: Shares of a class in the join with the label map.
+SHARES = 1024
+
+
 def above_score(det: DataFrame, threshold: float = DRAW_SCORE, strict: bool = True) -> DataFrame:
     """Strict for drawing, inclusive for evaluation and goals."""
     score = F.col("score")
@@ -105,9 +109,13 @@ def one_name_per_id(label_map: DataFrame) -> DataFrame:
 
 def with_labels(det: DataFrame, label_map: DataFrame) -> DataFrame:
     """Add ``name`` by class id; ids without a label become ``N/A``. Which ids count is the map's affair."""
-    labels = one_name_per_id(label_map).toDF("_label_id", "_label")
-    joined = det.join(labels, F.col("class_id") == F.col("_label_id"), "left")
-    return joined.withColumn("name", F.coalesce("_label", F.lit("N/A"))).drop("_label_id", "_label")
+    # Detections have few classes: shuffled by class alone, each would be one task. A copy of the map per share spreads them.
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_label_share")
+    labels = one_name_per_id(label_map).toDF("_label_id", "_label").select("*", copies)
+    spread = [c for c in (*FRAME, "det_id", "det_pos", "score") if c in det.columns] or det.columns
+    shared = det.withColumn("_share", F.pmod(F.hash(*spread), F.lit(SHARES)))
+    joined = shared.join(labels, (F.col("class_id") == F.col("_label_id")) & (F.col("_share") == F.col("_label_share")), "left")
+    return joined.withColumn("name", F.coalesce("_label", F.lit("N/A"))).drop("_label_id", "_label", "_share", "_label_share")
 
 
 def display_text(name: Column, score: Column) -> Column:

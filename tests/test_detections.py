@@ -168,3 +168,19 @@ def test_union_keeps_copies(spark):
     one = spark.createDataFrame([(1, "a")], "frame_idx long, name string")
     other = spark.createDataFrame([("a", 1)], "name string, frame_idx long")
     assert frames.training_frames(one, other).count() == 2
+
+
+def test_a_class_is_not_one_task_of_the_label_join(spark):
+    """Detections of one class are spread over the shuffle's partitions."""
+    det = spark.range(20_000).selectExpr("id % 4 AS video_id", "id AS frame_idx", "1 AS class_id", "id AS det_id")
+    labels = spark.createDataFrame([(1, "player")], "id int, name string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        named = detections.with_labels(det, labels).select("name", F.spark_partition_id().alias("part"))
+        sizes = [r["count"] for r in named.filter("name = 'player'").groupBy("part").count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
