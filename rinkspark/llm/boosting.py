@@ -14,6 +14,8 @@ from rinkspark.llm.common import staged
 BINS = 32
 #: Trees between two writings of the margins; sums of gradients are whole multiples of 1 / ``UNIT``, equal on any layout.
 WRITTEN, UNIT = 8, 1 << 20
+#: Rows of a task at least: each sends a sum per cell that it meets, so that what is sent follows the rows, not the files they lie in.
+TASK_ROWS = 1 << 16
 
 
 class Boosted:
@@ -76,10 +78,11 @@ class Boosted:
         Each level is one job that sums gradients by node, feature and bin; only those sums, of fixed number, are collected.
         """
         self.cuts, width = cuts, len(cuts)
-        n, pos = counted.agg(F.sum("n"), F.sum("pos")).first()
+        n, pos, rows = counted.agg(F.sum("n"), F.sum("pos"), F.count("*")).first()
+        tasks = max(1, rows // TASK_ROWS)
         share = float(np.clip(pos / n, 1e-4, 1 - 1e-4))
         self.start = float(np.log(share / (1 - share)))
-        table, since = counted.select("bins", "n", "pos", F.lit(self.start).alias("margin")), 0
+        table, since = counted.select("bins", "n", "pos", F.lit(self.start).alias("margin")).coalesce(tasks), 0
 
         def margins(batch: pa.RecordBatch, trees: list) -> tuple[np.ndarray, np.ndarray]:
             b = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, width).astype(np.int64)
@@ -93,7 +96,7 @@ class Boosted:
                 for batch in batches:
                     yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(margins(batch, trees)[1])], batch.schema.names)
 
-            return staged(table.mapInArrow(found, table.schema), "boosting-margins")
+            return staged(table.mapInArrow(found, table.schema), "boosting-margins").coalesce(tasks)
 
         def sums(trees: list, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
             nodes = 2**level

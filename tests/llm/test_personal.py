@@ -104,3 +104,25 @@ def test_fit_reads_every_span(spark):
     assert spans.selectExpr("min(size(spans)) AS n").first().n > 4 * 40
     model, thresholds = personal.fit(spans)
     assert model is not None and thresholds[3] < np.inf
+
+
+def test_sums_sent_do_not_grow_with_the_files(spark, monkeypatch):
+    """However many files hold the table, it is read in as many tasks as its rows ask for."""
+    draw = np.random.default_rng(3)
+    rows = [(bytes(draw.integers(0, 32, 3).astype(np.uint8)), 1, int(draw.integers(0, 2))) for _ in range(300)]
+    kind = type(spark.range(0))
+    tasks, plain = [], kind.mapInArrow
+
+    def watched(df, *args, **more):
+        tasks.append(df.rdd.getNumPartitions())
+        return plain(df, *args, **more)
+
+    cuts = np.tile(np.arange(31.0), (3, 1))
+    models = []
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    for parts in (1, 24):
+        table = spark.createDataFrame(rows, "bins binary, n bigint, pos bigint").repartition(parts)
+        models.append(Boosted(trees=9, depth=2).fit_spread(table, cuts))
+    assert len(tasks) == 38 and set(tasks) == {1}
+    for one, two in zip(*(m.nodes for m in models)):
+        assert all((a == b).all() for a, b in zip(one, two))
