@@ -124,3 +124,29 @@ def test_probes_find_near_fingerprints(spark):
     want = {(a, b) for a, b in combinations(sorted(first.values()), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
     want |= {(first[fp], k) for k, fp in enumerate(prints) if first[fp] != k}
     assert want and got == want
+
+
+def test_groups_leave_no_crumbs(spark, monkeypatch, tmp_path):
+    """Short tables of links shuffle nothing within a round, and tables that nothing reads any more are removed."""
+    import os
+
+    from rinkspark.llm import common, components
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    plans, plain = [], components.staged
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(components, "staged", watched)
+    links = [(k, k + 1) for k in range(40) if k != 20] + [(50, 50)]
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()
+    assert {(r.node, r.component) for r in got} == {(k, 0 if k <= 20 else 21) for k in range(41)}
+    assert len(plans) > 2 and not any("hashpartitioning" in p for p in plans[1:])
+    draw = random.Random(8)
+    texts = [" ".join(str(draw.randrange(500)) for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts])), "id long, text string")
+    assert sorted(r.id for r in representatives(docs, "id").collect()) == list(range(30))
+    left = {name.rsplit("-", 1)[0] for name in os.listdir(tmp_path)}
+    assert "copies-groups" in left and not left & {"copies-pairs", "copies-sets"}
