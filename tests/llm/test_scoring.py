@@ -106,3 +106,63 @@ def test_registered_setting_reads_every_training_token(spark, monkeypatch, tmp_p
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op8_scoring(spark, str(tmp_path)).collect()
     assert seen == [got[0].train_tokens]
+
+
+def test_driver_gets_one_set_of_parameters_from_many_trainers(spark, monkeypatch):
+    from rinkspark.llm import scoring
+
+    df = spark.createDataFrame(documents(), "doc_id long, text string").repartition(2)
+    kept, seen = type(df).collect, []
+
+    def watched(self):
+        rows = kept(self)
+        if "p" in self.columns:
+            seen.append(sum(len(r.p) for r in rows))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", watched)
+    monkeypatch.setattr(scoring, "SHARE", 1)
+    monkeypatch.setattr(scoring, "TRAINERS", 8)
+    score_documents(df, short=4)
+    assert seen == [sum(v.nbytes for v in gru.fresh(4).values())] * scoring.ROUNDS
+
+
+def test_parameters_are_averaged_by_tokens_seen():
+    import pyarrow as pa
+
+    from rinkspark.llm.scoring import averaged
+
+    sets = [np.array(x, np.float32).tobytes() for x in ([1, 2], [5, 10])]
+    got = averaged(pa.table({"block": [3, 3], "trainer": [1, 0], "p": sets, "n": [3, 1]}))
+    assert got["block"].to_pylist() == [3] and np.frombuffer(got["p"][0].as_py(), np.float32).tolist() == [2, 4]
+
+
+def test_ids_of_every_document_are_staged_once(spark, monkeypatch):
+    from rinkspark.llm import scoring
+
+    kept, seen = scoring.staged, []
+
+    def watched(df, name):
+        back = kept(df, name)
+        if "ids" in df.columns and "n_tokens" in df.columns:
+            seen.extend((r.id, r.held_out, len(r.ids) // 2) for r in back.collect())
+        return back
+
+    monkeypatch.setattr(scoring, "staged", watched)
+    got = score_documents(spark.createDataFrame(documents(), "doc_id long, text string").repartition(2)).collect()
+    assert sorted(map(str, seen)) == sorted(str((r.doc_id, r.held_out, r.n_tokens)) for r in got)
+
+
+def test_many_lanes_against_one_by_one():
+    p = gru.fresh(70, seed=5)
+    draw = np.random.default_rng(2)
+    inputs, targets = draw.integers(0, 97, (6, 9)), draw.integers(0, 70, (6, 9))
+    targets[3:, 4], targets[5, 2], targets[1, 1] = -1, -1, 96
+    h = draw.normal(size=(9, gru.HIDDEN)).astype(np.float32)
+    got, last, loss = gru.gradients(p, inputs, targets, h)
+    alone = [gru.gradients(p, inputs[:, [k]], targets[:, [k]], h[[k]]) for k in range(9)]
+    weights = (targets >= 0).sum(axis=0) / (targets >= 0).sum()
+    assert loss == pytest.approx(sum(w * a[2] for w, a in zip(weights, alone)), rel=1e-5)
+    assert np.allclose(last, np.vstack([a[1] for a in alone]), atol=1e-6)
+    for k in p:
+        assert np.allclose(got[k], sum(w * a[0][k] for w, a in zip(weights, alone)), atol=1e-6)
