@@ -154,7 +154,7 @@ def score(p: Params, texts: list[np.ndarray], start: int) -> np.ndarray:
 def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
     """One window, ``inputs[t, lane]``; targets below 0 are padding. Also the last state and the loss."""
     steps, lanes = inputs.shape
-    size, kind = h.shape[1], h.dtype
+    size, kind = h.shape[1], np.result_type(h, p["turn"])
     gates, turn = np.ascontiguousarray(p["gates"].T), np.ascontiguousarray(p["turn"].T)
     states, saved = np.empty((size, steps + 1, lanes), kind), np.empty((4, size, steps, lanes), kind)
     states[:, 0] = h.T
